@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from headerwise.operators.pairing import header_fields, header_struct
 from headerwise.operators.rules import Rule, RuleSet
 
 
@@ -47,20 +49,14 @@ def label_differences(
     test: str = "headers_test",
     domain: str = "domain",
 ) -> DataFrame:
-    """Add ``error`` for two header maps. Each header is looked up once per side."""
+    """Add ``error`` for two columns with header maps, or structs of header values."""
     headers = rules.headers()
-
-    def looked_up(column: str) -> Column:
-        values = [F.element_at(F.col(column), F.lit(h)).alias(f"h{i}") for i, h in enumerate(headers)]
-        return F.struct(*values)
-
-    def fields(column: str) -> dict[str, Column]:
-        return {h: F.col(column)[f"h{i}"] for i, h in enumerate(headers)}
-
+    sides = {"_prod": F.col(prod), "_test": F.col(test)}
+    if isinstance(rows.schema[prod].dataType, T.MapType):
+        sides = {name: header_struct(column, headers) for name, column in sides.items()}
+    fields = [header_fields(F.col(name), headers) for name in sides]
     return (
-        rows.withColumns({"_prod": looked_up(prod), "_test": looked_up(test)})
-        .withColumn(
-            "error", first_difference(rules, F.col(domain), fields("_prod"), fields("_test"))
-        )
-        .drop("_prod", "_test")
+        rows.withColumns(sides)
+        .withColumn("error", first_difference(rules, F.col(domain), *fields))
+        .drop(*sides)
     )

@@ -1,48 +1,75 @@
-"""From single captured responses to one row per request with four header sets."""
+"""From single captured responses to one row per request with both sides' headers."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SLOTS = {
+# Column of a header set: the side it comes from and the round.
+SLOTS = {
     "headers_prod_1st": ("prod", 1),
     "headers_test_1st": ("test", 1),
     "headers_prod": ("prod", 2),
     "headers_test": ("test", 2),
 }
+COMPARED = ("headers_prod", "headers_test")
 REQUEST = ["req_id", "domain", "url", "method"]
+_ALL = (1 << len(SLOTS)) - 1
+_FAILED = 1 << len(SLOTS)
 
 
-def pair_captures(captures: DataFrame, headers: Sequence[str] | None = None) -> DataFrame:
-    """One row per request whose four responses all arrived; others are dropped.
+def _by_request(
+    captures: DataFrame, value: Column, slots: Sequence[str], finish: Callable[[Column], Column]
+) -> DataFrame:
+    """One aggregation: captures are read and shuffled once, whatever the slots.
 
-    With ``headers`` only the second round comes out, reduced to those headers
-    before anything is shuffled: that is all a comparison needs.
-
-    One aggregation, so captures are read and shuffled once. It combines map-side
-    and picks the greatest header set, hence repeated captures of one request
-    collapse early and always to the same result.
+    Each response sets a bit; a request is complete when exactly the four bits of
+    fine responses are set. Responses combine map-side and the greatest value wins,
+    so repeated captures of one request collapse early and always alike.
     """
-    sets = F.col("headers")
-    if headers is not None:
-        sets = F.map_filter(sets, lambda name, _: name.isin(list(headers)))
-    compared = [slot for slot, (_, turn) in _SLOTS.items() if headers is None or turn == 2]
-
-    def arrived(side: str, turn: int) -> Column:
-        return (F.col("side") == side) & (F.col("round") == turn) & F.col("headers").isNotNull()
-
-    entries = F.array_sort(F.map_entries(sets))
-    grouped = captures.groupBy(*REQUEST).agg(
-        F.min(F.coalesce(F.col("status") == "ok", F.lit(False))).alias("_ok"),
-        *[F.max(arrived(*at)).alias(f"_has_{slot}") for slot, at in _SLOTS.items()],
-        *[F.max(F.when(arrived(*_SLOTS[slot]), entries)).alias(slot) for slot in compared],
+    at = {
+        slot: (F.col("side") == side) & (F.col("round") == turn)
+        for slot, (side, turn) in SLOTS.items()
+    }
+    fine = (F.col("status") == "ok") & F.col("headers").isNotNull()
+    bit = reduce(
+        lambda rest, i: F.when(at[list(SLOTS)[i]], F.lit(1 << i)).otherwise(rest),
+        range(len(SLOTS)),
+        F.lit(0),
     )
-    complete = F.col("_ok")
-    for slot in _SLOTS:
-        complete = complete & F.col(f"_has_{slot}")
-    return grouped.where(complete).select(
-        *REQUEST, *[F.map_from_entries(slot).alias(slot) for slot in compared]
+    return (
+        captures.groupBy("req_id")
+        .agg(
+            F.first(F.struct(*REQUEST[1:])).alias("_request"),
+            F.bit_or(F.when(fine, bit).otherwise(F.lit(_FAILED))).alias("_seen"),
+            *[F.max(F.when(at[slot], value)).alias(slot) for slot in slots],
+        )
+        .where(F.col("_seen") == _ALL)
+        .select("req_id", "_request.*", *[finish(F.col(slot)).alias(slot) for slot in slots])
     )
+
+
+def pair_captures(captures: DataFrame) -> DataFrame:
+    """One row per request with its four header sets; requests that lack one of the
+    four responses, or have a failed one, are dropped."""
+    entries = F.sort_array(F.map_entries("headers"))
+    return _by_request(captures, entries, list(SLOTS), F.map_from_entries)
+
+
+def header_struct(column: Column, headers: Sequence[str]) -> Column:
+    """The named headers of a header map as a struct; each is looked up once."""
+    return F.struct(*[F.element_at(column, F.lit(name)).alias(name) for name in headers])
+
+
+def header_fields(column: Column, headers: Sequence[str]) -> Mapping[str, Column]:
+    return {name: column[name] for name in headers}
+
+
+def pair_compared(captures: DataFrame, headers: Sequence[str]) -> DataFrame:
+    """Like :func:`pair_captures` with the named headers of the second round only,
+    as structs: that is all a comparison needs, and all that is shuffled."""
+    values = header_struct(F.col("headers"), headers)
+    return _by_request(captures, values, COMPARED, lambda column: column)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from headerwise import settings
 from headerwise.functions.text import url_domain
 from headerwise.operators.difference import label_differences
-from headerwise.operators.pairing import REQUEST, pair_captures
+from headerwise.operators.pairing import REQUEST, pair_captures, pair_compared
 from headerwise.operators.rules import RuleSet
 from headerwise.sources.request_files import write_diffs
 from headerwise.sources.scratch import Stored, stored, written
@@ -22,7 +22,7 @@ def compare_captures(captures: DataFrame, rules: RuleSet) -> DataFrame:
     is ``''`` when both sides agree. Failed captures are gone before anything is
     counted, and only the compared headers of the second round are shuffled.
     """
-    paired = pair_captures(captures, rules.headers())
+    paired = pair_compared(captures, rules.headers())
     return label_differences(paired, rules).select(*REQUEST, "error")
 
 
