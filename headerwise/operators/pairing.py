@@ -41,7 +41,8 @@ def _by_request(
         F.lit(0),
     )
     return (
-        captures.groupBy("req_id")
+        captures.where(F.col("req_id").isNotNull())
+        .groupBy("req_id")
         .agg(
             F.first(F.struct(*REQUEST[1:])).alias("_request"),
             F.bit_or(F.when(fine, bit).otherwise(F.lit(_FAILED))).alias("_seen"),

@@ -48,6 +48,11 @@ class Level:
     # last level only: keep the count of rows without a value, if above min_count
     missing: bool = False
 
+    def __post_init__(self) -> None:
+        for value in (self.size, self.min_count):
+            if isinstance(value, int) and value < 1:
+                raise ValueError("size and min_count must be at least 1")
+
 
 def _number(value: int | str) -> Column:
     return F.col(value) if isinstance(value, str) else F.lit(value)
@@ -106,10 +111,6 @@ def nested_top_terms(
         largest = None if largest is None else max([largest, *literal])
     else:
         largest = max(literal)
-    for level in levels:
-        if isinstance(level.min_count, int) and level.min_count < 1:
-            raise ValueError("min_count must be at least 1")
-
     def contribution(i: int) -> Column:
         level = levels[i]
         terms = [

@@ -25,8 +25,10 @@ class Options:
     top_referers: int | None = None
 
     def __post_init__(self) -> None:
-        if self.min_count is not None and self.min_count < 1:
-            raise ValueError("min_count must be at least 1")
+        for f in fields(self):
+            value = getattr(self, f.name)
+            if value is not None and value < 1:
+                raise ValueError(f"{f.name} must be at least 1")
 
 
 DEFAULTS = Options(

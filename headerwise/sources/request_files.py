@@ -48,7 +48,8 @@ def read_requests(
 
 
 def broken_request_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per array file with a syntax error: ``file``."""
+    """One row per array file with a syntax error: ``file`` and the ``rows`` that
+    could still be read from it."""
     schema = T.StructType([*TOP_REQUEST.fields, T.StructField(_CORRUPT, T.StringType())])
     return (
         spark.read.schema(schema)
@@ -56,9 +57,10 @@ def broken_request_files(spark: SparkSession, paths: str | Sequence[str]) -> Dat
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .json(paths)
-        .where(F.col(_CORRUPT).isNotNull())
-        .select(F.col("_metadata.file_path").alias("file"))
-        .distinct()
+        .groupBy(F.col("_metadata.file_path").alias("file"))
+        .agg(F.count("domain").alias("rows"), F.count(_CORRUPT).alias("broken"))
+        .where(F.col("broken") > 0)
+        .select("file", "rows")
     )
 
 
