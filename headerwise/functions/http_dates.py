@@ -11,15 +11,13 @@ def parse_http_date(text: Column) -> Column:
 
     ``Sun, 06 Nov 1994 08:49:37 GMT``, ``Sunday, 06-Nov-94 08:49:37 GMT`` and
     ``Sun Nov  6 08:49:37 1994`` (UTC). Two-digit years from 50 on are 19xx.
+
+    The other two forms are rewritten to the first, so that one parse does.
     """
-    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]+,?\s+", "")
-    bare = F.regexp_replace(bare, r"\s+", " ")
-    century = F.regexp_replace(bare, r"^(\d{1,2}-[A-Za-z]{3})-([5-9]\d) ", "$1-19$2 ")
-    century = F.regexp_replace(century, r"^(\d{1,2}-[A-Za-z]{3})-([0-4]\d) ", "$1-20$2 ")
-    return F.coalesce(
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss z")),
-        F.try_to_timestamp(century, F.lit("d-MMM-yyyy HH:mm:ss z")),
-        F.try_to_timestamp(
-            F.concat(bare, F.lit(" GMT")), F.lit("MMM d HH:mm:ss yyyy z")
-        ),
+    date = F.regexp_replace(F.trim(text), r"^[A-Za-z]+,?\s+", "")
+    date = F.regexp_replace(date, r"^(\d{1,2})-([A-Za-z]{3})-(?=[5-9]\d )", "$1 $2 19")
+    date = F.regexp_replace(date, r"^(\d{1,2})-([A-Za-z]{3})-(?=[0-4]\d )", "$1 $2 20")
+    date = F.regexp_replace(
+        date, r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\S+)\s+(\d{4})$", "$2 $1 $4 $3 GMT"
     )
+    return F.try_to_timestamp(date, F.lit("d MMM yyyy HH:mm:ss z"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from headerwise.operators.pairing import header_fields, header_struct
+from headerwise.operators.pairing import header_struct
 from headerwise.operators.rules import Rule, RuleSet
 
 
@@ -16,29 +16,28 @@ def header_label(rule: Rule, prod: Column, test: Column) -> Column:
     """NULL when the header passes the rule or is absent on both sides; else
     ``<header>``, or ``<header> existence`` when one side lacks it."""
     same = F.coalesce(rule.check(prod, test), F.lit(False))
-    return F.when(
-        prod.isNull() != test.isNull(), F.lit(f"{rule.header} existence")
-    ).when(prod.isNotNull() & ~same, F.lit(rule.header))
+    return (
+        F.when(prod.isNull() & test.isNull(), F.lit(None))
+        .when(prod.isNull() | test.isNull(), F.lit(f"{rule.header} existence"))
+        .when(~same, F.lit(rule.header))
+    )
 
 
-def first_difference(
-    rules: RuleSet, domain: Column, prod: Mapping[str, Column], test: Mapping[str, Column]
-) -> Column:
-    """Label of the first rule that fails, ``''`` when none does.
+def first_difference(rules: RuleSet, domain: Column, labels: Mapping[Rule, Column]) -> Column:
+    """Label of the first rule that fails in the domain's order, ``''`` when none does.
 
     Domains with the same effective rules share one branch, so the expression grows
     with the number of different rule lists, not with the number of domains.
     """
 
-    def labels(sequence: Sequence[Rule]) -> Column:
-        steps = [header_label(r, prod[r.header], test[r.header]) for r in sequence]
-        return F.coalesce(*steps, F.lit(""))
+    def first(sequence: Sequence[Rule]) -> Column:
+        return F.coalesce(*[labels[rule] for rule in sequence], F.lit(""))
 
-    default = labels(rules.effective(None))
+    default = first(rules.effective(None))
     branches = None
     for sequence, domains in rules.groups().items():
         chain = F if branches is None else branches
-        branches = chain.when(domain.isin(domains), labels(sequence))
+        branches = chain.when(domain.isin(domains), first(sequence))
     return default if branches is None else branches.otherwise(default)
 
 
@@ -49,14 +48,26 @@ def label_differences(
     test: str = "headers_test",
     domain: str = "domain",
 ) -> DataFrame:
-    """Add ``error`` for two columns with header maps, or structs of header values."""
+    """Add ``error`` for two columns with header maps, or structs of header values.
+
+    Every different rule is evaluated once per row, whatever the number of lists it
+    is in, and rules of single domains only on rows of these domains. This keeps
+    the generated code small enough for the JVM to compile.
+    """
     headers = rules.headers()
     sides = {"_prod": F.col(prod), "_test": F.col(test)}
     if isinstance(rows.schema[prod].dataType, T.MapType):
         sides = {name: header_struct(column, headers) for name, column in sides.items()}
-    fields = [header_fields(F.col(name), headers) for name in sides]
+    labels = {}
+    for i, (rule, domains) in enumerate(rules.uses().items()):
+        label = header_label(rule, F.col("_prod")[rule.header], F.col("_test")[rule.header])
+        if domains is not None:
+            label = F.when(F.col(domain).isin(domains), label)
+        labels[f"_rule{i}"] = label
+    by_rule = dict(zip(rules.uses(), map(F.col, labels), strict=True))
     return (
         rows.withColumns(sides)
-        .withColumn("error", first_difference(rules, F.col(domain), *fields))
-        .drop(*sides)
+        .withColumns(labels)
+        .withColumn("error", first_difference(rules, F.col(domain), by_rule))
+        .drop(*sides, *labels)
     )

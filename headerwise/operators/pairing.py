@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +28,8 @@ def _by_request(
 
     Each response sets a bit; a request is complete when exactly the four bits of
     fine responses are set. Responses combine map-side and the greatest value wins,
-    so repeated captures of one request collapse early and always alike.
+    so repeated captures of one request collapse early and always alike. Values are
+    cut out before the aggregation, which sorts and carries nothing else.
     """
     at = {
         slot: (F.col("side") == side) & (F.col("round") == turn)
@@ -40,14 +41,20 @@ def _by_request(
         range(len(SLOTS)),
         F.lit(0),
     )
+    wanted = reduce(lambda a, b: a | b, [at[slot] for slot in slots])
+    responses = captures.where(F.col("req_id").isNotNull()).select(
+        "req_id",
+        F.when(at["headers_prod"], F.struct(*REQUEST[1:])).alias("_request"),
+        F.when(fine, bit).otherwise(F.lit(_FAILED)).alias("_bit"),
+        F.when(wanted, value).alias("_value"),
+    )
+    values = [
+        F.max(F.when(F.col("_bit") == 1 << list(SLOTS).index(slot), F.col("_value"))).alias(slot)
+        for slot in slots
+    ]
     return (
-        captures.where(F.col("req_id").isNotNull())
-        .groupBy("req_id")
-        .agg(
-            F.first(F.struct(*REQUEST[1:])).alias("_request"),
-            F.bit_or(F.when(fine, bit).otherwise(F.lit(_FAILED))).alias("_seen"),
-            *[F.max(F.when(at[slot], value)).alias(slot) for slot in slots],
-        )
+        responses.groupBy("req_id")
+        .agg(F.max("_request").alias("_request"), F.bit_or("_bit").alias("_seen"), *values)
         .where(F.col("_seen") == _ALL)
         .select("req_id", "_request.*", *[finish(F.col(slot)).alias(slot) for slot in slots])
     )
@@ -65,10 +72,6 @@ def header_struct(column: Column, headers: Sequence[str]) -> Column:
     return F.struct(*[F.element_at(column, F.lit(name)).alias(name) for name in headers])
 
 
-def header_fields(column: Column, headers: Sequence[str]) -> Mapping[str, Column]:
-    return {name: column[name] for name in headers}
-
-
 def pair_compared(captures: DataFrame, headers: Sequence[str]) -> DataFrame:
     """Like :func:`pair_captures` with the named headers of the second round only,
     as structs: that is all a comparison needs, and all that is shuffled."""

@@ -97,10 +97,20 @@ class RuleSet:
                 shared.setdefault(rules, []).append(domain)
         return shared
 
+    def uses(self) -> dict[Rule, list[str] | None]:
+        """Every different rule with the domains that use it, None for the default ones."""
+        found: dict[Rule, list[str] | None] = dict.fromkeys(self.effective(None))
+        for rules, domains in self.groups().items():
+            for rule in rules:
+                if rule not in found:
+                    found[rule] = []
+                if found[rule] is not None:
+                    found[rule] += domains
+        return found
+
     def headers(self) -> list[str]:
         """All headers any rule looks at."""
-        lists = [self.effective(None), *self.groups()]
-        return list(dict.fromkeys(rule.header for rules in lists for rule in rules))
+        return list(dict.fromkeys(rule.header for rule in self.uses()))
 
 
 _KINDS: dict[str, Callable[[str | None], Check | None]] = {
