@@ -32,7 +32,10 @@ def differing(labelled: DataFrame) -> DataFrame:
 
 def error_histogram(labelled: DataFrame) -> DataFrame:
     """``error, n`` over the failing rows."""
-    return differing(labelled).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+    counts = labelled.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+    # tied to the count, so the filter stays above the aggregation: pushed below it,
+    # Spark would evaluate all rules a second time to compute the label
+    return counts.where(F.when(F.col("error") != "", F.col("n")) > 0)
 
 
 def pass_ratio(labelled: DataFrame, threshold: float = settings.PASSED_RATIO) -> DataFrame:

@@ -23,6 +23,16 @@ def duck():
     con.close()
 
 
+# The same types by their names in both systems.
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
 def canonical(rows):
     def cell(value):
         if isinstance(value, float):
@@ -42,6 +52,8 @@ def test_query_equals_oracle(spark, duck, name):
     theirs = duck.execute(contract.oracle_sql()[name])
     columns = [c[0] for c in theirs.description]
     assert sorted(ours.columns) == sorted(columns)
+    types = {c[0]: str(c[1]) for c in theirs.description}
+    assert {n: TYPES[t] for n, t in ours.dtypes} == types
     expected = theirs.fetchall()
     got = [tuple(row) for row in ours.select(*columns).collect()]
     assert canonical(got) == canonical(expected)

@@ -217,8 +217,8 @@ SELECT domain, CAST(min_count AS BIGINT) AS min_count, CAST(top_urls AS BIGINT)
     "log_top_urls_methods": f"""WITH {ACCESS_LOG}, {OPTIONS},
 {_urls("WHERE a.method IN ('get', 'post')")} {TOP_URLS}""",
     "log_top_urls_ranked": f"""WITH {WIDE_LOG}, {WIDE_OPTIONS}, {_urls()}
-SELECT u.domain, u.method, u.ipport, u.request, u.n AS "count", m.rk AS method_rank,
-       p.rk AS ipport_rank, u.rk AS request_rank
+SELECT u.domain, u.method, u.ipport, u.request, u.n AS "count", CAST(m.rk AS INTEGER) AS method_rank,
+       CAST(p.rk AS INTEGER) AS ipport_rank, CAST(u.rk AS INTEGER) AS request_rank
 FROM u JOIN p ON (u.domain, u.method, u.ipport) = (p.domain, p.method, p.ipport)
        JOIN m ON (u.domain, u.method) = (m.domain, m.method)""",
     "log_missing_referer": f"""WITH {ACCESS_LOG}
