@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from headerwise import settings
 from headerwise.functions.text import leading_number
+from headerwise.sources.scratch import written
 
 
 def build_requests(rows: DataFrame, timeout_ms: int = settings.REQUEST_TIMEOUT_MS) -> DataFrame:
@@ -35,6 +36,15 @@ def shuffled(rows: DataFrame, seed: int = 0) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), *plain))
 
 
+def request_plan(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """The requests in replay order with a ``req_id`` each, as a written table.
+
+    Writing it fixes the ids: captures refer to them, also those of equal requests.
+    """
+    plan = build_requests(shuffled(rows, seed))
+    return written(plan.withColumn("req_id", F.monotonically_increasing_id()), "request-plan")
+
+
 def guard_verdict(
     method: Column,
     content_length: Column,

@@ -103,17 +103,21 @@ def top_urls(
 
 
 def top_requests(
-    logs: DataFrame, options: DataFrame, methods: Sequence[str] | None = None
+    logs: DataFrame,
+    options: DataFrame,
+    methods: Sequence[str] | None = None,
+    ranks: bool = False,
 ) -> DataFrame:
     """The most frequent requests with user agent and referer, for all domains at once.
 
     Runs the first level right away and keeps it as a small written table: it
     decides which log rows the second level reads, and its size is measured before
     it is broadcast. Requests without a referer come out with referer ``''``, and
-    separately from requests whose referer is the empty text.
+    separately from requests whose referer is the empty text. ``ranks`` adds the
+    positions that give the report order; a missing referer has position 0.
     """
     scope = Scope.of(options)
-    urls = stored(_top_urls(logs, scope, methods, False).select(*URL_KEYS), "top-urls")
+    urls = stored(_top_urls(logs, scope, methods, ranks), "top-urls")
     counts = member_counts(_in_scope(logs, scope, methods), REQUEST_KEYS, urls, URL_KEYS)
     nested = nested_top_terms(
         scope.attach(counts, ["min_count_2", "top_agents", "top_referers"]),
@@ -123,10 +127,9 @@ def top_requests(
             Level("referer", "top_referers", "min_count_2", missing=True),
         ],
         largest=max(scope.largest["top_agents"], scope.largest["top_referers"]),
-    )
-    return nested.select(
-        *URL_KEYS, "agent", F.coalesce("referer", F.lit("")).alias("referer"), COUNT
-    )
+        ranks=ranks,
+    ).withColumn("referer", F.coalesce("referer", F.lit("")))
+    return nested.join(urls.table.drop(COUNT), URL_KEYS) if ranks else nested
 
 
 def collect(

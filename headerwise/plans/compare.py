@@ -92,11 +92,16 @@ def compare_run(
     name: str | None = None,
     threshold: float = settings.PASSED_RATIO,
     as_of: dt.datetime | None = None,
+    plan: DataFrame | None = None,
 ) -> Report:
     """The whole compare run. The labels are written once and every report reads
-    them; the failing rows are saved with their headers under ``out`` if there are any."""
+    them; the failing rows are saved with their headers under ``out`` if there are
+    any. With the replay ``plan`` they also get the ``request`` that was sent."""
     labelled = written(compare_captures(captures, rules), "compared")
     diffs = with_header_sets(stored(differing(labelled), "failing"), captures)
+    if plan is not None:
+        request = F.struct("url", "method", "headers").alias("request")
+        diffs = diffs.join(plan.select("req_id", request), "req_id", "left")
     return Report(
         diffs,
         error_histogram(labelled),

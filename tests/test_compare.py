@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from headerwise.functions.http_dates import parse_http_date
 from headerwise.operators.difference import label_differences
 from headerwise.operators.pairing import pair_captures
+from headerwise.operators.replay import request_plan
 from headerwise.operators.rules import (
     Exact,
     Rule,
@@ -28,7 +29,7 @@ from headerwise.plans.compare import (
     error_histogram,
     pass_ratio,
 )
-from headerwise.schemas import CAPTURE
+from headerwise.schemas import CAPTURE, TOP_REQUEST
 from headerwise.sources.local import small_table
 from headerwise.sources.scratch import Stored
 
@@ -281,6 +282,18 @@ def test_many_failing_rows_take_the_other_way(spark, tmp_path, monkeypatch):
     }
 
 
+def test_failing_rows_tell_the_request_that_was_sent(spark, tmp_path):
+    row = ("x.example", "get", "80", "/a", "UA", "/r", 7)
+    plan = request_plan(small_table(spark, TOP_REQUEST, [row, row, (*row[:3], "/b", *row[4:])]))
+    ids = {r.req_id: r.url for r in plan.collect()}
+    assert len(ids) == 3  # equal requests are requests of their own
+    rows = [r for i, url in ids.items() for r in quad(i, "x.example", {"etag": "1"}, {"etag": url})]
+    report = compare_run(captures(spark, rows), RULES, str(tmp_path), plan=plan)
+    saved = spark.read.json(report.diff_path).collect()
+    assert {r.req_id: r.request.url for r in saved} == ids
+    assert {tuple(r.request.headers) for r in saved} == {("/r", "UA")}
+
+
 def test_nothing_differs_nothing_is_written(spark, tmp_path):
     rows = [r for i in range(20) for r in quad(i, "x", {"etag": "1"}, {"etag": "1"})]
     report = compare_run(captures(spark, rows), RULES, str(tmp_path))

@@ -124,6 +124,10 @@ def _top_requests_wide(spark: SparkSession, sf: str) -> DataFrame:
     return top_requests(views.wide_log(spark, sf), _wide_options(spark, sf))
 
 
+def _top_requests_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return top_requests(views.wide_log(spark, sf), _wide_options(spark, sf), ranks=True)
+
+
 def _missing_referer(spark: SparkSession, sf: str) -> DataFrame:
     return missing_counts(views.access_log(spark, sf), "referer", [*URL_KEYS, "agent"], 63)
 
@@ -244,6 +248,7 @@ QUERIES: dict[str, Query] = {
     "log_missing_referer": _missing_referer,
     "log_top_requests": _top_requests,
     "log_top_requests_wide": _top_requests_wide,
+    "log_top_requests_ranked": _top_requests_ranked,
     "req_build": _req_build,
     "req_load": _req_load,
     "req_shuffle": _req_shuffle,

@@ -21,7 +21,7 @@ WIDE_LOG = """access_log AS (
     CASE WHEN l_orderkey % 3 = 0 OR l_returnflag <> 'R' THEN 'get' ELSE 'post' END AS method,
     CASE WHEN l_orderkey % 3 = 0 THEN '443' WHEN l_quantity >= 49 THEN NULL
          WHEN l_quantity >= 40 THEN '8080' WHEN l_linestatus = 'O' THEN '443' ELSE '80' END AS ipport,
-    CASE WHEN l_orderkey % 3 = 0 THEN '/' ELSE '/p/' || CAST(l_partkey AS VARCHAR) END AS request,
+    CASE WHEN l_orderkey % 3 = 0 THEN '/' ELSE '/p/' || CAST(l_partkey % 300 AS VARCHAR) END AS request,
     CASE WHEN l_orderkey % 3 = 0 THEN 'ua-hot'
          ELSE 'ua-' || CAST(l_linenumber AS VARCHAR) END AS agent,
     CASE WHEN l_discount < 0.035 THEN NULL WHEN l_orderkey % 3 = 0 THEN '/hot'
@@ -83,18 +83,19 @@ ag AS (
     GROUP BY domain, method, ipport, request, agent, min_count_2, top_agents
     HAVING count(*) >= min_count_2) WHERE rk <= top_agents),
 inside AS (SELECT * FROM picked SEMI JOIN ag USING (domain, method, ipport, request, agent)),
-top_requests AS (
-  SELECT domain, method, ipport, request, agent, '' AS referer, count(*) AS "count"
+ranked AS (
+  SELECT domain, method, ipport, request, agent, '' AS referer, count(*) AS "count", 0 AS rk
   FROM inside WHERE referer IS NULL
   GROUP BY domain, method, ipport, request, agent, min_count_2 HAVING count(*) > min_count_2
   UNION ALL
-  SELECT domain, method, ipport, request, agent, referer, n FROM (
+  SELECT domain, method, ipport, request, agent, referer, n, rk FROM (
     SELECT domain, method, ipport, request, agent, referer, count(*) AS n, top_referers,
            row_number() OVER (PARTITION BY domain, method, ipport, request, agent
                               ORDER BY count(*) DESC, referer) AS rk
     FROM inside WHERE referer IS NOT NULL
     GROUP BY domain, method, ipport, request, agent, referer, min_count_2, top_referers
-    HAVING count(*) >= min_count_2) WHERE rk <= top_referers)"""
+    HAVING count(*) >= min_count_2) WHERE rk <= top_referers),
+top_requests AS (SELECT * EXCLUDE (rk) FROM ranked)"""
 
 TOP_URLS = 'SELECT domain, method, ipport, request, n AS "count" FROM u'
 TOP_REQUESTS = f"WITH {ACCESS_LOG}, {OPTIONS}, {_urls()}, {REQUESTS}"
@@ -227,6 +228,13 @@ WHERE referer IS NULL AND ipport IS NOT NULL GROUP BY ALL HAVING count(*) > 63""
     "log_top_requests": f"{TOP_REQUESTS} SELECT * FROM top_requests",
     "log_top_requests_wide": f"""WITH {WIDE_LOG}, {WIDE_OPTIONS}, {_urls()}, {REQUESTS}
 SELECT * FROM top_requests""",
+    "log_top_requests_ranked": f"""WITH {WIDE_LOG}, {WIDE_OPTIONS}, {_urls()}, {REQUESTS}
+SELECT ranked.* EXCLUDE (rk), CAST(m.rk AS INTEGER) AS method_rank,
+       CAST(p.rk AS INTEGER) AS ipport_rank, CAST(u.rk AS INTEGER) AS request_rank,
+       CAST(ag.rk AS INTEGER) AS agent_rank, CAST(ranked.rk AS INTEGER) AS referer_rank
+FROM ranked JOIN ag USING (domain, method, ipport, request, agent)
+     JOIN u USING (domain, method, ipport, request)
+     JOIN p USING (domain, method, ipport) JOIN m USING (domain, method)""",
     "req_build": f"""{TOP_REQUESTS}
 SELECT domain,
        CASE WHEN ipport = '443' THEN 'https://' ELSE 'http://' END || domain || request AS url,

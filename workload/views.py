@@ -37,7 +37,7 @@ def wide_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_orderkey % 3 = 0 THEN '443' WHEN l_quantity >= 49 THEN NULL"
         " WHEN l_quantity >= 40 THEN '8080' WHEN l_linestatus = 'O' THEN '443' ELSE '80' END"
         " AS ipport",
-        "CASE WHEN l_orderkey % 3 = 0 THEN '/' ELSE concat('/p/', l_partkey) END AS request",
+        "CASE WHEN l_orderkey % 3 = 0 THEN '/' ELSE concat('/p/', l_partkey % 300) END AS request",
         "CASE WHEN l_orderkey % 3 = 0 THEN 'ua-hot' ELSE concat('ua-', l_linenumber) END AS agent",
         "CASE WHEN l_discount < 0.035 THEN NULL WHEN l_orderkey % 3 = 0 THEN '/hot'"
         " ELSE concat('/r/', l_suppkey % 5) END AS referer",
@@ -49,7 +49,9 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _http_date(ts: str) -> str:
-    return f"concat(date_format({ts}, 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT')"
+    # the time is cut from the text, so that no session time zone can shift it
+    day = f"date_format(CAST({ts} AS DATE), 'EEE, dd MMM yyyy')"
+    return f"concat({day}, ' ', substring(CAST({ts} AS STRING), 12, 8), ' GMT')"
 
 
 def header_values(spark: SparkSession, sf_dir: str) -> DataFrame:
