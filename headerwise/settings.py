@@ -29,20 +29,32 @@ SPARK_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # one input split fits comfortably in an executor core's memory share
-    "spark.sql.files.maxPartitionBytes": "256m",
     # HotSpot leaves longer methods uncompiled; Spark then generates shorter ones
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
 }
 
+# Starting points for a cluster. The scans read few columns of wide rows, so big
+# splits still make short tasks and keep the number of shuffle blocks down; many
+# initial shuffle partitions keep the biggest job's partitions in memory, and
+# adaptive execution merges them for the small jobs.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "1g",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+}
+
 
 def session(app: str = "headerwise", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings above; ``conf`` keys use ``__`` for dots."""
+    """A session with the settings above; ``conf`` keys use ``__`` for dots.
+
+    The cluster settings apply unless ``master`` is a local one.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in SPARK_CONF.items():
+    local = (master or "").startswith("local")
+    for key, value in (SPARK_CONF if local else SPARK_CONF | CLUSTER_CONF).items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
