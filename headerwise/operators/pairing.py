@@ -63,8 +63,8 @@ def _by_request(
 def pair_captures(captures: DataFrame) -> DataFrame:
     """One row per request with its four header sets; requests that lack one of the
     four responses, or have a failed one, are dropped."""
-    entries = F.sort_array(F.map_entries("headers"))
-    return _by_request(captures, entries, list(SLOTS), F.map_from_entries)
+    # as entries, because maps have no order to take the greatest of
+    return _by_request(captures, F.map_entries("headers"), list(SLOTS), F.map_from_entries)
 
 
 def header_struct(column: Column, headers: Sequence[str]) -> Column:
