@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,14 +22,15 @@ _FAILED = 1 << len(SLOTS)
 
 
 def _by_request(
-    captures: DataFrame, value: Column, slots: Sequence[str], finish: Callable[[Column], Column]
+    captures: DataFrame, slots: Sequence[str], value: Column, order: Column | None = None
 ) -> DataFrame:
     """One aggregation: captures are read and shuffled once, whatever the slots.
 
     Each response sets a bit; a request is complete when exactly the four bits of
-    fine responses are set. Responses combine map-side and the greatest value wins,
-    so repeated captures of one request collapse early and always alike. Values are
-    cut out before the aggregation, which sorts and carries nothing else.
+    fine responses are set. Responses combine map-side and the greatest value (by
+    ``order``) wins, so repeated captures of one request collapse early and always
+    alike. Values are cut out before the aggregation, which sorts and carries
+    nothing else.
     """
     at = {
         slot: (F.col("side") == side) & (F.col("round") == turn)
@@ -47,24 +48,33 @@ def _by_request(
         F.when(at["headers_prod"], F.struct(*REQUEST[1:])).alias("_request"),
         F.when(fine, bit).otherwise(F.lit(_FAILED)).alias("_bit"),
         F.when(wanted, value).alias("_value"),
+        *([] if order is None else [F.when(wanted, order).alias("_order")]),
     )
-    values = [
-        F.max(F.when(F.col("_bit") == 1 << list(SLOTS).index(slot), F.col("_value"))).alias(slot)
-        for slot in slots
-    ]
+
+    def best(slot: str) -> Column:
+        def here(name: str) -> Column:
+            return F.when(F.col("_bit") == 1 << list(SLOTS).index(slot), F.col(name))
+
+        return F.max(here("_value")) if order is None else F.max_by(here("_value"), here("_order"))
+
     return (
         responses.groupBy("req_id")
-        .agg(F.max("_request").alias("_request"), F.bit_or("_bit").alias("_seen"), *values)
+        .agg(
+            F.max("_request").alias("_request"),
+            F.bit_or("_bit").alias("_seen"),
+            *[best(slot).alias(slot) for slot in slots],
+        )
         .where(F.col("_seen") == _ALL)
-        .select("req_id", "_request.*", *[finish(F.col(slot)).alias(slot) for slot in slots])
+        .select("req_id", "_request.*", *slots)
     )
 
 
 def pair_captures(captures: DataFrame) -> DataFrame:
     """One row per request with its four header sets; requests that lack one of the
     four responses, or have a failed one, are dropped."""
-    # as entries, because maps have no order to take the greatest of
-    return _by_request(captures, F.map_entries("headers"), list(SLOTS), F.map_from_entries)
+    # maps have no order of their own to take the greatest of
+    order = F.xxhash64(F.map_entries("headers"))
+    return _by_request(captures, list(SLOTS), F.col("headers"), order)
 
 
 def header_struct(column: Column, headers: Sequence[str]) -> Column:
@@ -75,5 +85,4 @@ def header_struct(column: Column, headers: Sequence[str]) -> Column:
 def pair_compared(captures: DataFrame, headers: Sequence[str]) -> DataFrame:
     """Like :func:`pair_captures` with the named headers of the second round only,
     as structs: that is all a comparison needs, and all that is shuffled."""
-    values = header_struct(F.col("headers"), headers)
-    return _by_request(captures, values, COMPARED, lambda column: column)
+    return _by_request(captures, COMPARED, header_struct(F.col("headers"), headers))

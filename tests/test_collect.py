@@ -260,6 +260,14 @@ def test_options_layers(spark):
         Level("method", 0, 1)
 
 
+def test_no_domains_no_rows(spark):
+    logs = log(spark, random_log(8, 100))
+    none = resolve_options(domain_list(logs, 5, 10**6))
+    assert requests_of(top_requests(logs, none)) == []
+    unknown = resolve_options(domain_names(spark, ["nope.example", None]))
+    assert requests_of(top_requests(logs, unknown)) == []
+
+
 def test_index_inventory(spark):
     schema = T.StructType().add("index_date", "date").add("ts", "timestamp")
     rows = [(dt.date(2015, 10, d), dt.datetime(2015, 10, d, h)) for d in (9, 10) for h in (1, 5)]
