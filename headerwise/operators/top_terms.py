@@ -70,14 +70,15 @@ def _with_rank(
     spark = nodes.sparkSession
     threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
 
-    def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-        return rows.where(F.col("_rank") <= F.col("_size"))
+    def ranked(rows: DataFrame, by: list[str], within: Column) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return rows.withColumn("_rank", place).where(within)
 
+    within = F.col("_rank") <= F.col("_size")
     if largest is not None and largest <= threshold:
-        return ranked(nodes, group).where(F.col("_rank") <= largest)
+        return ranked(nodes, group, within & (F.col("_rank") <= largest))
     sliced = nodes.withColumn("_salt", F.pmod(F.xxhash64("_term"), F.lit(_SALTS)))
-    return ranked(ranked(sliced, [*group, "_salt"]), group).drop("_salt")
+    return ranked(ranked(sliced, [*group, "_salt"], within), group, within).drop("_salt")
 
 
 def nested_top_terms(
@@ -111,6 +112,7 @@ def nested_top_terms(
         largest = None if largest is None else max([largest, *literal])
     else:
         largest = max(literal)
+
     def contribution(i: int) -> Column:
         level = levels[i]
         terms = [
@@ -133,20 +135,20 @@ def nested_top_terms(
         (F.col("_level") <= i) | F.col(c).isNotNull() | (F.col("_missing") & F.lit(i == depth - 1))
         for i, c in enumerate(path)
     ]
+    useful = reduce(lambda a, b: a & b, has_terms) & ((F.col("_level") < depth) | frequent)
+    above = {
+        f"_above_{c}": F.when(F.col("_level") > i + 1, F.col(c)) for i, c in enumerate(path[:-1])
+    }
     nodes = (
         counts.select(
             *parents, COUNT, F.inline(F.array(*[contribution(i) for i in range(depth)]))
         )
-        .where(reduce(lambda a, b: a & b, has_terms))
-        .where((F.col("_level") < depth) | frequent)
+        .where(useful)
         .groupBy(*parents, "_level", *path, "_missing", "_size", "_floor")
         .agg(F.sum(COUNT).alias(COUNT))
         .where(frequent)
-        .withColumn("_term", F.coalesce(*[F.col(c) for c in reversed(path)]))
+        .withColumns({**above, "_term": F.coalesce(*[F.col(c) for c in reversed(path)])})
     )
-    above = [f"_above_{c}" for c in path[:-1]]
-    for i, c in enumerate(path[:-1]):
-        nodes = nodes.withColumn(f"_above_{c}", F.when(F.col("_level") > i + 1, F.col(c)))
     nodes = _with_rank(
         nodes,
         [*parents, "_level", *above, "_missing"],
