@@ -2,7 +2,10 @@ import datetime as dt
 import random
 from collections import Counter
 
+import hypothesis
+import hypothesis.strategies as st
 import pytest
+from hypothesis import given
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +85,29 @@ def test_matches_brute_force(spark, seed):
     assert expected and requests_of(top_requests(logs, opts)) == expected
 
 
+@hypothesis.settings(max_examples=8, deadline=None, derandomize=True, database=None)
+@given(
+    rows=st.lists(
+        st.tuples(
+            st.sampled_from(["a", "b"]),
+            st.sampled_from(["get", "post", None]),
+            st.sampled_from(["80", "443", "81", None]),
+            st.sampled_from(["/", "/x", None]),
+            st.sampled_from(["u", "v", None]),
+            st.sampled_from([None, "", "/r"]),
+        ),
+        min_size=20,
+        max_size=120,
+    ),
+    minimum=st.integers(1, 6),
+    sizes=st.tuples(*[st.integers(1, 2)] * 3),
+)
+def test_any_log_matches_brute_force(spark, rows, minimum, sizes):
+    params = {"a": (minimum, *sizes), "b": (1, 2, 2, 2)}
+    found = top_requests(log(spark, rows), resolved(spark, params))
+    assert requests_of(found) == brute.top_requests(rows, params)
+
+
 def test_long_lists_and_big_tables_give_the_same(spark, monkeypatch):
     """Nothing inlined, nothing broadcast: the join after the aggregation is taken."""
     rows = random_log(4)
