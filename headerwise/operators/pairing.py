@@ -69,19 +69,26 @@ def _by_request(
     )
 
 
-def pair_captures(captures: DataFrame) -> DataFrame:
-    """One row per request with its four header sets; requests that lack one of the
-    four responses, or have a failed one, are dropped."""
-    # maps have no order of their own to take the greatest of
-    order = F.xxhash64(F.map_entries("headers"))
-    return _by_request(captures, list(SLOTS), F.col("headers"), order)
-
-
 def header_struct(column: Column, headers: Sequence[str]) -> Column:
     """The named headers of a header map as a struct; each is looked up once."""
     return F.struct(*[F.element_at(column, F.lit(name)).alias(name) for name in headers])
 
 
+def pair_captures(captures: DataFrame, compared: Sequence[str] = ()) -> DataFrame:
+    """One row per request with its four header sets; requests that lack one of the
+    four responses, or have a failed one, are dropped.
+
+    Of repeated captures the one is kept that :func:`pair_compared` keeps for the
+    same compared headers.
+    """
+    headers = F.col("headers")
+    order = F.struct(
+        header_struct(headers, compared).alias("compared"),
+        F.xxhash64(F.map_entries(headers)).alias("rest"),
+    )
+    return _by_request(captures, list(SLOTS), headers, order)
+
+
 def pair_compared(captures: DataFrame, headers: Sequence[str]) -> DataFrame:
     """Like :func:`pair_captures` with the named headers of the second round only,
     as structs: that is all a comparison needs, and all that is shuffled."""

@@ -61,11 +61,11 @@ def compare_url(captures: DataFrame, url: str, rules: RuleSet, method: str = "GE
     The domain whose rules apply is read from the URL.
     """
     wanted = captures.where((F.col("url") == url) & (F.upper("method") == method.upper()))
-    paired = pair_captures(wanted).withColumn("domain", url_domain(F.col("url")))
+    paired = pair_captures(wanted, rules.headers()).withColumn("domain", url_domain(F.col("url")))
     return label_differences(paired, rules)
 
 
-def with_header_sets(failing: Stored, captures: DataFrame) -> DataFrame:
+def with_header_sets(failing: Stored, captures: DataFrame, rules: RuleSet) -> DataFrame:
     """The failing rows with all four header sets.
 
     While the failing rows are measured to be few, the captures are filtered by
@@ -74,7 +74,8 @@ def with_header_sets(failing: Stored, captures: DataFrame) -> DataFrame:
     if failing.fits_broadcast():
         ids = F.broadcast(failing.table.select("req_id"))
         captures = captures.join(ids, "req_id", "left_semi")
-    return pair_captures(captures).join(failing.table.select("req_id", "error"), "req_id")
+    paired = pair_captures(captures, rules.headers())
+    return paired.join(failing.table.select("req_id", "error"), "req_id")
 
 
 @dataclass(frozen=True)
@@ -98,10 +99,11 @@ def compare_run(
     them; the failing rows are saved with their headers under ``out`` if there are
     any. With the replay ``plan`` they also get the ``request`` that was sent."""
     labelled = written(compare_captures(captures, rules), "compared")
-    diffs = with_header_sets(stored(differing(labelled), "failing"), captures)
+    diffs = with_header_sets(stored(differing(labelled), "failing"), captures, rules)
     if plan is not None:
         request = F.struct("url", "method", "headers").alias("request")
         diffs = diffs.join(plan.select("req_id", request), "req_id", "left")
+    diffs = written(diffs, "diffs")
     return Report(
         diffs,
         error_histogram(labelled),

@@ -72,7 +72,9 @@ def write_by_domain(rows: DataFrame, path: str, domains: DataFrame | None = None
     With ``domains``, ``rows`` is read twice: pass a written table.
     """
     fields = [F.col(f.name) for f in TOP_REQUEST.fields]
-    lines = rows.select(F.col("domain").alias("folder"), F.to_json(F.struct(*fields)).alias("value"))
+    lines = rows.select(
+        F.col("domain").alias("folder"), F.to_json(F.struct(*fields)).alias("value")
+    )
     if domains is not None:
         empty = domains.select(F.col("domain").alias("folder")).distinct()
         empty = empty.join(lines.select("folder").distinct(), "folder", "left_anti")
@@ -94,7 +96,10 @@ def diff_name(as_of: dt.datetime | None = None) -> str:
 def write_diffs(
     diffs: DataFrame, folder: str, name: str | None = None, as_of: dt.datetime | None = None
 ) -> str | None:
-    """Write the failing rows as JSON; nothing is written (None) when there are none."""
+    """Write the failing rows as JSON; nothing is written (None) when there are none.
+
+    ``diffs`` is read twice: pass a written table.
+    """
     if diffs.isEmpty():
         return None
     path = f"{folder.rstrip('/')}/{name or diff_name(as_of)}"

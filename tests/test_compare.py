@@ -240,6 +240,26 @@ def test_hot_request_captured_many_times_collapses(spark):
     assert labelled.where("req_id = 1").count() == 1
 
 
+def test_repeated_captures_that_differ(spark, tmp_path):
+    """Whatever the order they arrive in, label and saved headers belong together."""
+    rows = []
+    for i in range(60):
+        rows += quad(i, "x", {"etag": "m"}, {"etag": "m", "age": "1"})
+        rows += quad(i, "x", {"etag": "m"}, {"etag": "z" if i % 2 else "a", "age": "2"})
+        rows += quad(i, "x", {"etag": "m"}, {"etag": "m", "age": "3"})
+    seen = set()
+    for parts in (1, 9):
+        frame = captures(spark, rows).repartition(parts)
+        report = compare_run(frame, RULES, str(tmp_path / str(parts)))
+        diffs = report.diffs.collect()
+        assert {r.req_id for r in diffs} == set(range(1, 60, 2))
+        assert all(r.error == "etag" and r.headers_test["etag"] == "z" for r in diffs)
+        one = compare_url(frame, "http://x/1", RULES).first()
+        assert one.error == "etag" and one.headers_test["age"] == "2"
+        seen.add(str(sorted(compare_url(frame, "http://x/2", RULES).first().headers_test.items())))
+    assert len(seen) == 1
+
+
 def run_pairs(seed):
     rows, expected = [], {}
     for i, (domain, prod, test) in enumerate(random_pairs(seed, 200)):
