@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
@@ -43,11 +42,6 @@ _SCHEMA = T.StructType(
 )
 
 
-def second_min_count(min_count: int) -> int:
-    """Least count on the agent and referer levels: a quarter, rounded up."""
-    return math.ceil(min_count / 4)
-
-
 def resolve_options(
     domains: DataFrame,
     call: Options = Options(),
@@ -56,7 +50,8 @@ def resolve_options(
 ) -> DataFrame:
     """One row of resolved parameters per distinct domain name.
 
-    The first ``per_domain`` entry of a name counts, later ones are ignored.
+    The first ``per_domain`` entry of a name counts, later ones are ignored. The
+    second level's minimum ``min_count_2`` is a quarter of the first, rounded up.
     """
     first: dict[str, Options] = {}
     for name, options in per_domain:
@@ -71,7 +66,9 @@ def resolve_options(
         "domain",
         *[
             F.coalesce(
-                F.lit(getattr(call, n)).cast("long"), F.col(n), F.lit(getattr(defaults, n))
+                F.lit(getattr(call, n)).cast("long"),
+                F.col(n),
+                F.lit(getattr(defaults, n) or getattr(DEFAULTS, n)),
             ).alias(n)
             for n in _NAMES
         ],

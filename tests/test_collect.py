@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from headerwise import settings
 from headerwise.operators.top_terms import Level, nested_top_terms, term_counts
 from headerwise.plans.collect import domain_list, index_inventory, top_requests, top_urls
-from headerwise.plans.options import Options, resolve_options, second_min_count
+from headerwise.plans.options import Options, resolve_options
 from headerwise.schemas import REQUEST_KEYS
 from headerwise.sources import scratch
 from headerwise.sources.local import small_table
@@ -278,7 +278,11 @@ def test_options_layers(spark):
         "y": (5, 3, 50, 100, 2),
         "z": (100, 3, 50, 100, 25),
     }
-    assert [second_min_count(n) for n in (1, 4, 5, 250)] == [1, 1, 2, 63]
+    part = resolve_options(domain_names(spark, ["x"]), defaults=Options(min_count=9)).first()
+    assert tuple(part) == ("x", 9, 100, 50, 100, 3)
+    for minimum, second in ((1, 1), (4, 1), (5, 2), (250, 63)):
+        row = resolve_options(domain_names(spark, ["x"]), Options(min_count=minimum)).first()
+        assert row.min_count_2 == second
     for bad in ({"min_count": 0}, {"top_urls": 0}):
         with pytest.raises(ValueError):
             Options(**bad)

@@ -32,6 +32,7 @@ from headerwise.plans.compare import (
 from headerwise.schemas import CAPTURE, TOP_REQUEST
 from headerwise.sources.local import small_table
 from headerwise.sources.scratch import Stored
+from workload import catalog, views
 
 DAY = "Wed, 16 Sep 2015 12:40:52 GMT"
 
@@ -202,6 +203,27 @@ def test_first_difference_matches_brute_force(spark):
         assert row.error == plain_label(RULES, row.domain, row.headers_prod, row.headers_test)
 
 
+def test_known_numbers(spark):
+    sf = "/root/testdata/sf0.01"
+    labelled = label_differences(views.header_pairs(spark, sf), catalog.RULES)
+    total, diffs, ratio, failing = pass_ratio(labelled).first()
+    assert (total, diffs, round(ratio, 4), failing) == (15000, 7342, 51.0533, True)
+    passed = labelled.where("error = ''").groupBy("domain").count().collect()
+    assert {r.domain[:2]: r["count"] for r in passed} == {
+        "d0": 1577, "d1": 2498, "d2": 1865, "d3": 1718,
+    }
+    assert error_histogram(labelled).count() == 6
+
+    paired = pair_captures(views.captures(spark, sf))
+
+    def cache(column):
+        return F.element_at(column, F.lit("x-cache"))
+
+    second = paired.where(cache("headers_prod") != cache("headers_test")).count()
+    first = paired.where(cache("headers_prod_1st") != cache("headers_test_1st")).count()
+    assert (paired.count(), second, first) == (14516, 501, 0)
+
+
 def captures(spark, rows):
     full = [
         (i, domain, f"http://{domain}/{i}", "GET", side, turn, status, headers and list(headers.items()))
