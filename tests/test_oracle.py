@@ -60,6 +60,17 @@ def test_query_equals_oracle(spark, duck, name):
     assert expected, "the query should not be empty at this scale"
 
 
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_plan_stays_declarative(spark, name):
+    """No Python in the plan, no cross joins, and no table read with all its columns."""
+    query = contract.queries()[name](spark, SF)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    for banned in ("Python", "CartesianProduct", "NestedLoopJoin"):
+        assert banned not in plan
+    for unused in ("l_extendedprice:", "o_orderpriority:", "html:", "props:"):
+        assert unused not in plan  # of the columns in a ReadSchema
+
+
 def test_entry(spark):
     rows = contract.entry(spark)
     assert rows.columns == [
