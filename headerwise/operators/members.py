@@ -11,16 +11,26 @@ from headerwise.operators.top_terms import term_counts
 from headerwise.sources.scratch import Stored
 
 
+def hash_members(rows: DataFrame, members: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows whose keys occur in ``members``, and a few strangers that share a hash."""
+    hashes = F.broadcast(members.select(F.xxhash64(*on).alias("_hash")))
+    return rows.join(hashes, F.xxhash64(*on) == F.col("_hash"), "left_semi")
+
+
 def member_counts(
     rows: DataFrame, by: Sequence[str], members: Stored, on: Sequence[str]
 ) -> DataFrame:
     """``term_counts`` of the rows whose ``on`` columns occur in ``members``.
 
     A member table that was measured to be small filters each task's rows by a
-    broadcast semi join. A bigger one is joined after the aggregation, so that
-    neither raw rows nor a hot key's rows are shuffled for the join.
+    broadcast semi join. If only 64-bit hashes of its keys are small enough, these
+    are broadcast: the few strangers that share a hash fall out in the exact join
+    after the aggregation. A bigger table is joined after the aggregation only, so
+    that neither raw rows nor a hot key's rows are ever shuffled for a join.
     """
     keys = members.table.select(*on)
     if members.fits_broadcast():
         return term_counts(rows.join(F.broadcast(keys), list(on), "left_semi"), by)
+    if members.number_fits_broadcast():
+        rows = hash_members(rows, keys, on)
     return term_counts(rows, by).join(keys, list(on), "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from headerwise import settings
 from headerwise.functions.text import url_domain
 from headerwise.operators.difference import label_differences
+from headerwise.operators.members import hash_members
 from headerwise.operators.pairing import REQUEST, pair_captures, pair_compared
 from headerwise.operators.rules import RuleSet
 from headerwise.sources.request_files import write_diffs
@@ -68,12 +69,12 @@ def compare_url(captures: DataFrame, url: str, rules: RuleSet, method: str = "GE
 def with_header_sets(failing: Stored, captures: DataFrame, rules: RuleSet) -> DataFrame:
     """The failing rows with all four header sets.
 
-    While the failing rows are measured to be few, the captures are filtered by
-    them first, so that full header sets are shuffled for failing requests only.
+    While hashes of the failing ids are measured to fit a broadcast, the captures are
+    filtered by them first, so that full header sets are shuffled for failing requests
+    only; the join at the end is exact.
     """
-    if failing.fits_broadcast():
-        ids = F.broadcast(failing.table.select("req_id"))
-        captures = captures.join(ids, "req_id", "left_semi")
+    if failing.number_fits_broadcast():
+        captures = hash_members(captures, failing.table, ["req_id"])
     paired = pair_captures(captures, rules.headers())
     return paired.join(failing.table.select("req_id", "error"), "req_id")
 

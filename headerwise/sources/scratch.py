@@ -45,6 +45,10 @@ class Stored:
         # per row: the text itself and about 100 bytes of row and hash-map overhead
         return self.text_bytes + 100 * self.rows <= limit
 
+    def number_fits_broadcast(self, limit: int = BROADCAST_BYTES) -> bool:
+        # per row: one 64-bit key in a compact map, less than 64 bytes in all
+        return 64 * self.rows <= limit
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: later jobs neither recompute it nor

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headerwise import settings
+from headerwise.operators import members
 from headerwise.operators.top_terms import Level, nested_top_terms, term_counts
 from headerwise.plans.collect import domain_list, index_inventory, top_requests, top_urls
 from headerwise.plans.options import Options, resolve_options
@@ -108,21 +109,33 @@ def test_any_log_matches_brute_force(spark, rows, minimum, sizes):
     assert requests_of(found) == brute.top_requests(rows, params)
 
 
-def test_long_lists_and_big_tables_give_the_same(spark, monkeypatch):
-    """Nothing inlined, nothing broadcast: the join after the aggregation is taken."""
+@pytest.mark.parametrize("hashes", [False, True])
+def test_long_lists_and_big_tables_give_the_same(spark, monkeypatch, hashes):
+    """No list inlined and no member table broadcast: its hashes are, or nothing is."""
     rows = random_log(4)
     monkeypatch.setattr(settings, "INLINE_DOMAINS", 1)
     monkeypatch.setattr(scratch.Stored, "fits_broadcast", lambda self: False)
+    monkeypatch.setattr(scratch.Stored, "number_fits_broadcast", lambda self: hashes)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         found = top_requests(log(spark, rows), resolved(spark, PARAMS))
         plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" not in plan
+        assert plan.count("BroadcastHashJoin") == hashes
+        assert plan.count("xxhash64(domain") == 2 * hashes
         assert requests_of(found) == brute.top_requests(rows, PARAMS)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_strangers_with_a_member_hash_fall_out(spark, monkeypatch):
+    """Even if all hashes are equal, the exact join after the aggregation decides."""
+    rows = random_log(9)
+    monkeypatch.setattr(scratch.Stored, "fits_broadcast", lambda self: False)
+    monkeypatch.setattr(members.F, "xxhash64", lambda *_: F.lit(7))
+    found = top_requests(log(spark, rows), resolved(spark, PARAMS))
+    assert requests_of(found) == brute.top_requests(rows, PARAMS)
+
+
 @pytest.mark.parametrize("largest", [None, 5000])
 def test_sizes_beyond_the_window_limit(spark, largest):
     """The salted ranking keeps exactly the terms the plain one keeps."""

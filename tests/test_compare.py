@@ -317,7 +317,7 @@ def test_batch_compare(spark, tmp_path):
 
 def test_many_failing_rows_take_the_other_way(spark, tmp_path, monkeypatch):
     rows, expected = run_pairs(3)
-    monkeypatch.setattr(Stored, "fits_broadcast", lambda self: False)
+    monkeypatch.setattr(Stored, "number_fits_broadcast", lambda self: False)
     report = compare_run(captures(spark, rows), RULES, str(tmp_path), name="x.json")
     assert {r.req_id: r.error for r in report.diffs.collect()} == {
         i: e for i, e in expected.items() if e
