@@ -16,13 +16,17 @@ SLOTS = {
     "headers_test": ("test", 2),
 }
 COMPARED = ("headers_prod", "headers_test")
-REQUEST = ["req_id", "domain", "url", "method"]
+REQUEST = ("domain", "url", "method")
 _ALL = (1 << len(SLOTS)) - 1
 _FAILED = 1 << len(SLOTS)
 
 
 def _by_request(
-    captures: DataFrame, slots: Sequence[str], value: Column, order: Column | None = None
+    captures: DataFrame,
+    slots: Sequence[str],
+    request: Sequence[str],
+    value: Column,
+    order: Column | None = None,
 ) -> DataFrame:
     """One aggregation: captures are read and shuffled once, whatever the slots.
 
@@ -45,7 +49,7 @@ def _by_request(
     wanted = reduce(lambda a, b: a | b, [at[slot] for slot in slots])
     responses = captures.where(F.col("req_id").isNotNull()).select(
         "req_id",
-        F.when(at["headers_prod"], F.struct(*REQUEST[1:])).alias("_request"),
+        F.when(at["headers_prod"], F.struct(*request)).alias("_request"),
         F.when(fine, bit).otherwise(F.lit(_FAILED)).alias("_bit"),
         F.when(wanted, value).alias("_value"),
         *([] if order is None else [F.when(wanted, order).alias("_order")]),
@@ -86,10 +90,13 @@ def pair_captures(captures: DataFrame, compared: Sequence[str] = ()) -> DataFram
         header_struct(headers, compared).alias("compared"),
         F.xxhash64(F.map_entries(headers)).alias("rest"),
     )
-    return _by_request(captures, list(SLOTS), headers, order)
+    return _by_request(captures, list(SLOTS), REQUEST, headers, order)
 
 
-def pair_compared(captures: DataFrame, headers: Sequence[str]) -> DataFrame:
-    """Like :func:`pair_captures` with the named headers of the second round only,
-    as structs: that is all a comparison needs, and all that is shuffled."""
-    return _by_request(captures, COMPARED, header_struct(F.col("headers"), headers))
+def pair_compared(
+    captures: DataFrame, headers: Sequence[str], request: Sequence[str] = REQUEST
+) -> DataFrame:
+    """Like :func:`pair_captures` with the named headers of the second round only, as
+    structs, and the named ``request`` columns: nothing else is shuffled."""
+    values = header_struct(F.col("headers"), headers)
+    return _by_request(captures, COMPARED, request, values)

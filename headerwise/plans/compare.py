@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,13 +19,16 @@ from headerwise.sources.request_files import write_diffs
 from headerwise.sources.scratch import Stored, stored, written
 
 
-def compare_captures(captures: DataFrame, rules: RuleSet) -> DataFrame:
-    """``req_id, domain, url, method, error`` of every complete request; the label
-    is ``''`` when both sides agree. Failed captures are gone before anything is
-    counted, and only the compared headers of the second round are shuffled.
+def compare_captures(
+    captures: DataFrame, rules: RuleSet, request: Sequence[str] = REQUEST
+) -> DataFrame:
+    """``req_id``, the ``request`` columns (``domain`` at least) and ``error`` of every
+    complete request; the label is ``''`` when both sides agree. Failed captures are
+    gone before anything is counted. Only these columns and the compared headers of
+    the second round are shuffled.
     """
-    paired = pair_compared(captures, rules.headers())
-    return label_differences(paired, rules).select(*REQUEST, "error")
+    paired = pair_compared(captures, rules.headers(), request)
+    return label_differences(paired, rules).select("req_id", *request, "error")
 
 
 def differing(labelled: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def with_header_sets(failing: Stored, captures: DataFrame, rules: RuleSet) -> Da
     if failing.number_fits_broadcast():
         captures = hash_members(captures, failing.table, ["req_id"])
     paired = pair_captures(captures, rules.headers())
-    return paired.join(failing.table.select("req_id", "error"), "req_id")
+    return paired.join(failing.table, "req_id")
 
 
 @dataclass(frozen=True)
@@ -99,7 +103,8 @@ def compare_run(
     """The whole compare run. The labels are written once and every report reads
     them; the failing rows are saved with their headers under ``out`` if there are
     any. With the replay ``plan`` they also get the ``request`` that was sent."""
-    labelled = written(compare_captures(captures, rules), "compared")
+    labels = compare_captures(captures, rules, ["domain"]).select("req_id", "error")
+    labelled = written(labels, "compared")
     diffs = with_header_sets(stored(differing(labelled), "failing"), captures, rules)
     if plan is not None:
         request = F.struct("url", "method", "headers").alias("request")

@@ -207,11 +207,11 @@ def _labelled(rules: RuleSet) -> Query:
 
 
 def _compared(spark: SparkSession, sf: str) -> DataFrame:
-    return compare_captures(views.captures(spark, sf), RULES)
+    return compare_captures(views.captures(spark, sf), RULES, ["domain"])
 
 
 def _diffs(spark: SparkSession, sf: str) -> DataFrame:
-    return differing(_compared(spark, sf))
+    return differing(compare_captures(views.captures(spark, sf), RULES))
 
 
 def _errors(spark: SparkSession, sf: str) -> DataFrame:
