@@ -26,14 +26,13 @@ def _by_request(
     slots: Sequence[str],
     request: Sequence[str],
     value: Column,
-    order: Column | None = None,
 ) -> DataFrame:
     """One aggregation: captures are read and shuffled once, whatever the slots.
 
     Each response sets a bit; a request is complete when exactly the four bits of
-    fine responses are set. Responses combine map-side and the greatest value (by
-    ``order``) wins, so repeated captures of one request collapse early and always
-    alike. Values are cut out before the aggregation, which sorts and carries
+    fine responses are set. Responses combine map-side. Of repeated captures the one
+    with the greatest hash of its headers wins, so they collapse early and always to
+    the same one. Values are cut out before the aggregation, which sorts and carries
     nothing else.
     """
     at = {
@@ -52,14 +51,12 @@ def _by_request(
         F.when(at["headers_prod"], F.struct(*request)).alias("_request"),
         F.when(fine, bit).otherwise(F.lit(_FAILED)).alias("_bit"),
         F.when(wanted, value).alias("_value"),
-        *([] if order is None else [F.when(wanted, order).alias("_order")]),
+        F.when(wanted, F.xxhash64(F.map_entries("headers"))).alias("_hash"),
     )
 
     def best(slot: str) -> Column:
-        def here(name: str) -> Column:
-            return F.when(F.col("_bit") == 1 << list(SLOTS).index(slot), F.col(name))
-
-        return F.max(here("_value")) if order is None else F.max_by(here("_value"), here("_order"))
+        here = F.col("_bit") == 1 << list(SLOTS).index(slot)
+        return F.max_by(F.when(here, F.col("_value")), F.when(here, F.col("_hash")))
 
     return (
         responses.groupBy("req_id")
@@ -78,19 +75,10 @@ def header_struct(column: Column, headers: Sequence[str]) -> Column:
     return F.struct(*[F.element_at(column, F.lit(name)).alias(name) for name in headers])
 
 
-def pair_captures(captures: DataFrame, compared: Sequence[str] = ()) -> DataFrame:
+def pair_captures(captures: DataFrame) -> DataFrame:
     """One row per request with its four header sets; requests that lack one of the
-    four responses, or have a failed one, are dropped.
-
-    Of repeated captures the one is kept that :func:`pair_compared` keeps for the
-    same compared headers.
-    """
-    headers = F.col("headers")
-    order = F.struct(
-        header_struct(headers, compared).alias("compared"),
-        F.xxhash64(F.map_entries(headers)).alias("rest"),
-    )
-    return _by_request(captures, list(SLOTS), REQUEST, headers, order)
+    four responses, or have a failed one, are dropped."""
+    return _by_request(captures, list(SLOTS), REQUEST, F.col("headers"))
 
 
 def pair_compared(

@@ -15,7 +15,7 @@ from headerwise.operators.difference import label_differences
 from headerwise.operators.members import hash_members
 from headerwise.operators.pairing import REQUEST, pair_captures, pair_compared
 from headerwise.operators.rules import RuleSet
-from headerwise.sources.request_files import write_diffs
+from headerwise.sources.request_files import read_diffs, write_diffs
 from headerwise.sources.scratch import Stored, stored, written
 
 
@@ -66,11 +66,11 @@ def compare_url(captures: DataFrame, url: str, rules: RuleSet, method: str = "GE
     The domain whose rules apply is read from the URL.
     """
     wanted = captures.where((F.col("url") == url) & (F.upper("method") == method.upper()))
-    paired = pair_captures(wanted, rules.headers()).withColumn("domain", url_domain(F.col("url")))
+    paired = pair_captures(wanted).withColumn("domain", url_domain(F.col("url")))
     return label_differences(paired, rules)
 
 
-def with_header_sets(failing: Stored, captures: DataFrame, rules: RuleSet) -> DataFrame:
+def with_header_sets(failing: Stored, captures: DataFrame) -> DataFrame:
     """The failing rows with all four header sets.
 
     While hashes of the failing ids are measured to fit a broadcast, the captures are
@@ -79,8 +79,7 @@ def with_header_sets(failing: Stored, captures: DataFrame, rules: RuleSet) -> Da
     """
     if failing.number_fits_broadcast():
         captures = hash_members(captures, failing.table, ["req_id"])
-    paired = pair_captures(captures, rules.headers())
-    return paired.join(failing.table, "req_id")
+    return pair_captures(captures).join(failing.table, "req_id")
 
 
 @dataclass(frozen=True)
@@ -105,14 +104,12 @@ def compare_run(
     any. With the replay ``plan`` they also get the ``request`` that was sent."""
     labels = compare_captures(captures, rules, ["domain"]).select("req_id", "error")
     labelled = written(labels, "compared")
-    diffs = with_header_sets(stored(differing(labelled), "failing"), captures, rules)
+    failing = stored(differing(labelled), "failing")
+    diffs = with_header_sets(failing, captures)
     if plan is not None:
         request = F.struct("url", "method", "headers").alias("request")
         diffs = diffs.join(plan.select("req_id", request), "req_id", "left")
-    diffs = written(diffs, "diffs")
-    return Report(
-        diffs,
-        error_histogram(labelled),
-        pass_ratio(labelled, threshold),
-        write_diffs(diffs, out, name, as_of),
-    )
+    path = write_diffs(diffs, out, name, as_of, failing.rows)
+    if path is not None:
+        diffs = read_diffs(captures.sparkSession, path, diffs.schema)
+    return Report(diffs, error_histogram(labelled), pass_ratio(labelled, threshold), path)

@@ -94,14 +94,22 @@ def diff_name(as_of: dt.datetime | None = None) -> str:
 
 
 def write_diffs(
-    diffs: DataFrame, folder: str, name: str | None = None, as_of: dt.datetime | None = None
+    diffs: DataFrame,
+    folder: str,
+    name: str | None = None,
+    as_of: dt.datetime | None = None,
+    rows: int | None = None,
 ) -> str | None:
     """Write the failing rows as JSON; nothing is written (None) when there are none.
 
-    ``diffs`` is read twice: pass a written table.
+    Give their number as ``rows`` if it is known, or they are computed twice.
     """
-    if diffs.isEmpty():
+    if diffs.isEmpty() if rows is None else rows == 0:
         return None
     path = f"{folder.rstrip('/')}/{name or diff_name(as_of)}"
     diffs.write.json(path)
     return path
+
+
+def read_diffs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
