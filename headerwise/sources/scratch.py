@@ -7,7 +7,7 @@ import uuid
 from dataclasses import dataclass
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,18 +50,30 @@ class Stored:
         return 64 * self.rows <= limit
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: later jobs neither recompute it nor
-    depend on the executors that did."""
+def measured(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """Write ``df`` once, taking the aggregates ``measures`` on the way, and read it
+    back: later jobs neither recompute it nor depend on the executors that did.
+
+    A task that is repeated may be measured twice, so sizes are upper bounds.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    (df.observe(seen, *measures) if measures else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get if measures else {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return measured(df, name)[0]
 
 
 def stored(df: DataFrame, name: str) -> Stored:
-    table = written(df, name)
-    texts = [f.name for f in table.schema if isinstance(f.dataType, T.StringType)]
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     length = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
-    rows, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
-    return Stored(table, rows, size)
+    table, size = measured(
+        df,
+        name,
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(length.cast("long")), F.lit(0)).alias("text_bytes"),
+    )
+    return Stored(table, size["rows"], size["text_bytes"])
