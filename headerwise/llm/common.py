@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,15 @@ def joined(left: DataFrame, right: DataFrame, on, how: str, rows: int, row_bytes
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """A value of bounded size for the Python workers, with its class if it is ours."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(value: Broadcast):
+    return pickle.loads(value.value)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -51,6 +62,11 @@ def text_column(docs: DataFrame, name: str) -> DataFrame:
     return docs
 
 
+def extended(rows: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``rows`` with the columns of ``ddl`` added."""
+    return T.StructType([*rows.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def free_name(taken: Sequence[str], wish: str) -> str:
     """``wish``, or it with underscores put before it, so that it clashes with no column."""
     low = {c.lower() for c in taken}
