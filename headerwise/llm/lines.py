@@ -138,8 +138,9 @@ def deduplicated_lines(docs: DataFrame, report: bool = False) -> DataFrame:
         rows = rows.drop(*[c for c in added if c in docs.columns])
     text = F.when(F.col(gone).isNotNull(), rest).otherwise(F.col("text"))
     order = [c for c in docs.columns if c not in added]
-    rows = rows.withColumns({"text": text} | added)
-    return rows.select(*order, *added)
+    # as a generated column the text is computed once, whatever is then asked of it
+    rows = rows.withColumns(added).withColumn(own, F.explode(F.array(text)))
+    return rows.select(*[F.col(own).alias("text") if c == "text" else c for c in order], *added)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
