@@ -10,7 +10,8 @@ Within a bucket the first document is the centre and only centre-to-member edges
 compared, on the full sets. That finds all links of a bucket whose members form one
 component, which nearly all do. A bucket whose members still lie in several
 components gets further centres, more in each round, compared to members of other
-components only, until every pair between different components has been compared.
+components only, until every pair between different components has been compared or
+cannot be similar enough by its sizes and sketches, which the join itself sees to.
 So the pairs of a bucket grow with its size times its number of components, never
 with the square of a group of copies, and no link between components is lost.
 """
@@ -18,7 +19,7 @@ with the square of a group of copies, and no link between components is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,10 @@ from headerwise.sources.scratch import stored, written
 #: 0.8 once in 10^7.
 BANDS, ROWS = 32, 4
 
-_SIGNED = "doc_id long, n_shingles int, set_id binary, bands array<long>"
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
+
+_SIGNED = "doc_id long, n_shingles int, set_id binary, bands array<long>, sketch array<long>"
 
 
 class WordHashes(dict):
@@ -109,6 +113,12 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketch(codes: np.ndarray) -> np.ndarray:
+    """One bit per residue of the codes: whether an odd number of them has it."""
+    odd = np.bincount((codes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int):
     known = WordHashes()
     for batch in by_batch(batches, 500):
@@ -126,8 +136,9 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int):
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array(keys, pa.list_(pa.int64())),
+                pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n_shingles", "set_id", "bands"],
+            names=["doc_id", "n_shingles", "set_id", "bands", "sketch"],
         )
 
 
@@ -163,15 +174,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _fitting(n: str, m: str, percent: int):
-    """Whether sets of these sizes can be similar enough at all."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _possible(percent: int):
+    """Whether two sets can be similar enough, by their sizes and parity sketches.
+
+    Every shingle that one set has and the other has not flips one bit, so the sketches
+    never differ in more bits than the sets do in shingles.
+    """
+    n, m = F.col("n"), F.col("n_a")
+    bits = [F.bit_count(F.get("sketch", i).bitwiseXOR(F.get("sketch_a", i))) for i in range(SKETCH)]
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
+        reduce(lambda x, y: x + y, bits) * (100 + percent) <= (n + m) * (100 - percent)
+    )
+
+
+def _star_pairs(rows: DataFrame, centres: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's centres and its members of other components, and the
+    centres; ``rows`` has ``bucket, id, n, sketch, label, top``."""
+    if centres == 1:
+        first = rows.groupBy("bucket").agg(F.min("id").alias("c"))
+        chosen = rows.join(first.hint("merge"), "bucket").where("id = c")
+    else:
+        # members outside the component ``top`` come first: when those are used up, the
+        # rest is one component
+        rank = Window.partitionBy("bucket").orderBy(F.col("label") == F.col("top"), "id", "n")
+        chosen = rows.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= centres)
+    chosen = chosen.select(
+        "bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "sketch", "label")]
+    )
+    pairs = rows.join(chosen.hint("merge"), "bucket").where(
+        (F.col("label") != F.col("label_a")) & _possible(percent)
+    )
+    pairs = pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b"))
+    return pairs.distinct(), chosen
+
+
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets whose members lie in several components."""
+    rows = rows.select("bucket", "id", "n", "sketch").join(labels.hint("merge"), "id", "left")
+    rows = rows.withColumn("label", F.coalesce("component", "id")).drop("component")
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("top"))
+    mixed = mixed.where("low != top").select("bucket", "top")
+    return rows.join(mixed.hint("merge"), "bucket")
 
 
 def _star_labels(
     docs: DataFrame, copies: DataFrame, buckets: DataFrame, width: int, percent: int
 ) -> DataFrame:
-    """Components of ``copies`` and of all links among rows ``(bucket, id, n)``."""
+    """Components of ``copies`` and of all links among rows ``(bucket, id, n, sketch)``."""
     nodes = stored(buckets.select("id").distinct(), "minhash-nodes")
     members = joined(
         docs.select("doc_id", "text"),
@@ -186,51 +235,20 @@ def _star_labels(
         members.mapInArrow(partial(_sets, width=width), "doc_id long, codes binary").distinct(),
         "minhash-sets",
     )
-    links, labels = copies, None
-    open_rows, centres = buckets, 1
+    links, labels, centres = copies, None, 1
+    rows = buckets.withColumns({"label": F.col("id"), "top": F.col("id")})
     while True:
-        if centres == 1:
-            first = open_rows.groupBy("bucket").agg(F.min("id").alias("c"))
-            marked = open_rows.join(first.hint("merge"), "bucket")
-            chosen = marked.where("id = c")
-        else:
-            # members outside the component of the bucket's first member come first:
-            # when those are used up, the rest is one component
-            rank = Window.partitionBy("bucket").orderBy(
-                F.col("label") == F.col("top"), F.col("id"), F.col("n")
-            )
-            chosen = open_rows.withColumn("r", F.row_number().over(rank)).where(
-                F.col("r") <= centres
-            )
-        centre = chosen.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"))
-        if centres > 1:
-            centre = chosen.select(
-                "bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")
-            )
-        pairs = open_rows.join(centre.hint("merge"), "bucket").where(
-            (F.col("id") != F.col("a")) & _fitting("n", "n_a", percent)
-        )
-        if centres > 1:
-            pairs = pairs.where("label != label_a")
-        pairs = pairs.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b"))
-        found = stored(_verified(pairs.distinct(), sets, percent), "minhash-links")
+        pairs, chosen = _star_pairs(rows, centres, percent)
+        found = stored(_verified(pairs, sets, percent), "minhash-links")
         if labels is None or found.rows:
             labels = components(links.union(found.table))
             links = labels.select("component", "id")
-        used = centre.select("bucket", F.col("a").alias("id"), F.col("n_a").alias("n"))
-        rest = open_rows.select("bucket", "id", "n").join(
-            used.hint("merge"), ["bucket", "id", "n"], "left_anti"
-        )
-        rest = rest.join(labels.hint("merge"), "id", "left").select(
-            "bucket", "id", "n", F.coalesce("component", "id").alias("label")
-        )
-        mixed = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("top"))
-        mixed = mixed.where("low != top").select("bucket", "top")
-        left = stored(rest.join(mixed.hint("merge"), "bucket"), "minhash-open")
+        used = chosen.select("bucket", F.col("id_a").alias("id"), F.col("n_a").alias("n"))
+        rest = rows.join(used.hint("merge"), ["bucket", "id", "n"], "left_anti")
+        left = stored(_open(rest, labels), "minhash-open")
         if not left.rows:
             return labels
-        open_rows = left.table
-        centres = 8 * centres
+        rows, centres = left.table, 32 * centres
 
 
 def near_duplicates(
@@ -258,7 +276,10 @@ def near_duplicates(
     # equal sets are one node, under the smallest doc_id that has the set
     nodes = written(
         held.groupBy("set_id").agg(
-            F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("id"),
+            F.first("n_shingles").alias("n"),
+            F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
         ),
         "minhash-classes",
     )
@@ -266,10 +287,10 @@ def near_duplicates(
         nodes.select("set_id", "id").hint("merge"), "set_id"
     )
     copies = copies.where("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    rows_of = nodes.select("id", "n", F.explode("bands").alias("bucket"))
+    rows_of = nodes.select("id", "n", "sketch", F.explode("bands").alias("bucket"))
     shared = rows_of.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = written(
-        rows_of.join(shared.select("bucket").hint("merge"), "bucket").select("bucket", "id", "n"),
+        rows_of.join(shared.select("bucket").hint("merge"), "bucket").select("bucket", "id", "n", "sketch"),
         "minhash-buckets",
     )
     labels = _star_labels(docs, copies, buckets, width, percent).withColumnRenamed("id", "doc_id")
