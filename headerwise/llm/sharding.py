@@ -9,14 +9,17 @@ before: no source, however large, is sorted or held in one place.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headerwise.llm.common import free_name, joined
 from headerwise.sources.scratch import stored, written
 
-#: Rows per cell, on average. A cell is what one task sorts at a time.
-CELL_ROWS = 20_000
+#: Fewest rows per cell, on average. A cell is what one task sorts at a time; with the
+#: square root of all rows neither the cells nor their number grow out of hand.
+CELL_ROWS = 1000
 _FRACTION = 1 << 52
 
 
@@ -54,7 +57,7 @@ def interleaved_shards(
     key: Column,
     ties: list[str],
     source: str = "source",
-    cell_rows: int = CELL_ROWS,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """Adds ``shard`` (int, 0 to ``shards`` - 1) and ``slot`` (long, gapless from 0 in
     each shard) to ``docs``.
@@ -77,6 +80,7 @@ def interleaved_shards(
     strata = stored(counted, "strata")
     n = strata.table.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
     sizes = strata.table.withColumnRenamed(stratum, "_s")
+    cell_rows = cell_rows or max(CELL_ROWS, isqrt(n))
     # texts of source names count, too
     row_bytes = 100 + strata.text_bytes // max(1, strata.rows)
     rows = joined(
