@@ -40,18 +40,20 @@ def check_no_wildcard(index: str | Sequence[str], allow_wildcards: bool = False)
         raise ValueError(f"index patterns with wildcards are not allowed here: {index!r}")
 
 
+def index_day(name: str) -> dt.date:
+    """The day of an exact index name; an error for anything else."""
+    exact = _EXACT.fullmatch(name)
+    try:
+        return dt.date(*(int(part) for part in exact.groups()))
+    except (AttributeError, ValueError):
+        raise ValueError(f"not a daily index name or a pattern: {name!r}") from None
+
+
 def _matches(name: str, date: Column) -> Column:
     if has_wildcard(name):
         pattern = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in name)
         return index_name(date).rlike(f"^{pattern}$")
-    exact = _EXACT.fullmatch(name)
-    if not exact:
-        return F.lit(False)
-    try:
-        day = dt.date(*(int(part) for part in exact.groups()))
-    except ValueError:
-        return F.lit(False)
-    return date == F.lit(day)
+    return date == F.lit(index_day(name))
 
 
 def in_index(index: str | Sequence[str], date: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headerwise.operators.joins import measured_join
 from headerwise.operators.top_terms import term_counts
 from headerwise.sources.scratch import Stored
 
@@ -30,7 +31,7 @@ def member_counts(
     """
     keys = members.table.select(*on)
     if members.fits_broadcast():
-        return term_counts(rows.join(F.broadcast(keys), list(on), "left_semi"), by)
+        return term_counts(measured_join(rows, keys, on, "left_semi", True), by)
     if members.number_fits_broadcast():
         rows = hash_members(rows, keys, on)
-    return term_counts(rows, by).join(keys, list(on), "left_semi")
+    return measured_join(term_counts(rows, by), keys, on, "left_semi", False)

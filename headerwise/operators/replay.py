@@ -64,6 +64,24 @@ def guard_verdict(
     return F.coalesce(verdict, F.lit("keep"))
 
 
+def guarded_plan(
+    plan: DataFrame, probes: DataFrame, limit: int = settings.TOO_BIG_CONTENT
+) -> DataFrame:
+    """``plan`` without the requests that the size probes speak against.
+
+    A GET needs a probe that was answered; other methods are not probed and stay.
+    Of several probes of one request the worst counts. Both sides meet by ``req_id``
+    and only the verdicts are shuffled.
+    """
+    refused = guard_content(probes, limit).groupBy("req_id").agg(
+        F.max(F.col("verdict") != "keep").alias("_refused")
+    )
+    joined = plan.join(refused.hint("merge"), "req_id", "left")
+    needed = F.upper("method") == "GET"
+    keep = ~needed | ~F.coalesce(F.col("_refused"), F.lit(True))
+    return joined.where(F.coalesce(keep, F.lit(True))).drop("_refused")
+
+
 def guard_content(probes: DataFrame, limit: int = settings.TOO_BIG_CONTENT) -> DataFrame:
     """Add ``verdict`` to probe rows (``method, status, headers``)."""
     headers = F.col("headers")

@@ -83,9 +83,9 @@ class RuleSet:
 
     def effective(self, domain: str | None) -> tuple[Rule, ...]:
         """The domain's own rules in their order, then the defaults for other headers."""
-        own = tuple(self.by_domain.get(domain, ()))
+        own = _once(self.by_domain.get(domain, ()))
         named = {rule.header for rule in own}
-        merged = own + tuple(rule for rule in self.default if rule.header not in named)
+        merged = own + tuple(r for r in _once(self.default) if r.header not in named)
         return tuple(rule for rule in merged if rule.check is not None)
 
     def groups(self) -> dict[tuple[Rule, ...], list[str]]:
@@ -113,11 +113,22 @@ class RuleSet:
         return list(dict.fromkeys(rule.header for rule in self.uses()))
 
 
+def _tolerance(param: str | None, symmetric: bool) -> TimeTolerance:
+    seconds = TimeTolerance.seconds if param is None else int(param)
+    return TimeTolerance(seconds, symmetric)
+
+
+def _once(rules: Iterable[Rule]) -> tuple[Rule, ...]:
+    """One rule per header: the last one named, at the place of the first."""
+    return tuple({rule.header: rule for rule in rules}.values())
+
+
 _KINDS: dict[str, Callable[[str | None], Check | None]] = {
     "exact": lambda _: Exact(),
     "weak_etag": lambda _: WeakETag(),
-    "suffix": lambda param: Suffix(int(param or 6)),
-    "time_tolerance": lambda param: TimeTolerance(int(param or 3600)),
+    "suffix": lambda param: Suffix() if param is None else Suffix(int(param)),
+    "time_tolerance": lambda param: _tolerance(param, False),
+    "time_tolerance_both": lambda param: _tolerance(param, True),
     "skip": lambda _: None,
 }
 
@@ -125,7 +136,8 @@ _KINDS: dict[str, Callable[[str | None], Check | None]] = {
 def rules_from_rows(rows: Iterable[Mapping[str, object]]) -> RuleSet:
     """A rule set from rows ``domain, seq, header, kind, param``.
 
-    Rows of domain ``default`` replace the built-in defaults.
+    Rows of domain ``default`` replace the built-in defaults. A null ``param`` means
+    the kind's own default; ``time_tolerance_both`` is the symmetric tolerance.
     """
     by_domain: dict[str, list[Rule]] = {}
     for row in sorted(rows, key=lambda r: r["seq"]):

@@ -15,6 +15,7 @@ from headerwise.functions.index_names import (
     in_index,
     index_name,
 )
+from headerwise.operators.joins import measured_join
 from headerwise.operators.members import member_counts
 from headerwise.operators.top_terms import (
     COUNT,
@@ -23,9 +24,9 @@ from headerwise.operators.top_terms import (
     term_counts,
     top_terms,
 )
-from headerwise.plans.options import Options, Scope, resolve_options
+from headerwise.plans.options import DEFAULTS, Options, Scope, resolve_options
 from headerwise.schemas import REQUEST_KEYS, URL_KEYS
-from headerwise.sources.access_log import read_access_log
+from headerwise.sources.access_log import check_index, read_access_log
 from headerwise.sources.request_files import domain_names, write_by_domain
 from headerwise.sources.scratch import stored, written
 
@@ -129,7 +130,9 @@ def top_requests(
         largest=max(scope.largest["top_agents"], scope.largest["top_referers"]),
         ranks=ranks,
     ).withColumn("referer", F.coalesce("referer", F.lit("")))
-    return nested.join(urls.table.drop(COUNT), URL_KEYS) if ranks else nested
+    if not ranks:
+        return nested
+    return measured_join(nested, urls.table.drop(COUNT), URL_KEYS, "inner", urls.fits_broadcast())
 
 
 def collect(
@@ -142,13 +145,23 @@ def collect(
     per_domain: Sequence[tuple[str, Options]] = (),
     allow_wildcards: bool = False,
     as_of: dt.date | None = None,
+    methods: Sequence[str] | None = None,
+    defaults: Options = DEFAULTS,
+    ranks: bool = False,
 ) -> DataFrame:
     """The whole collect run: read the index, find the top requests of the domains,
-    write them as JSON per domain, and return them."""
+    write them as JSON per domain, and return them.
+
+    An index without rows is an error before anything is written; a domain without
+    rows in it gets an empty array. ``ranks`` adds the report order to the returned
+    rows, not to the files.
+    """
     index = index or default_index(as_of)
     check_no_wildcard(index, allow_wildcards)
+    logs = read_access_log(spark, root, index)
+    check_index(logs, index)
     names = domain_names(spark, domains)
-    options = resolve_options(names, call, per_domain)
-    rows = written(top_requests(read_access_log(spark, root, index), options), "top-requests")
+    options = resolve_options(names, call, per_domain, defaults)
+    rows = written(top_requests(logs, options, methods, ranks), "top-requests")
     write_by_domain(rows, out, names)
     return rows

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from headerwise import settings
 from headerwise.functions.text import url_domain
 from headerwise.operators.difference import label_differences
+from headerwise.operators.joins import measured_join
 from headerwise.operators.members import hash_members
 from headerwise.operators.pairing import REQUEST, pair_captures, pair_compared
 from headerwise.operators.rules import RuleSet
@@ -79,7 +80,9 @@ def with_header_sets(failing: Stored, captures: DataFrame) -> DataFrame:
     """
     if failing.number_fits_broadcast():
         captures = hash_members(captures, failing.table, ["req_id"])
-    return pair_captures(captures).join(failing.table, "req_id")
+    return measured_join(
+        pair_captures(captures), failing.table, "req_id", "inner", failing.fits_broadcast()
+    )
 
 
 @dataclass(frozen=True)
@@ -108,7 +111,8 @@ def compare_run(
     diffs = with_header_sets(failing, captures)
     if plan is not None:
         request = F.struct("url", "method", "headers").alias("request")
-        diffs = diffs.join(plan.select("req_id", request), "req_id", "left")
+        # the plan's header maps are not measured, so it is never broadcast
+        diffs = measured_join(diffs, plan.select("req_id", request), "req_id", "left", False)
     path = write_diffs(diffs, out, name, as_of, failing.rows)
     if path is not None:
         diffs = read_diffs(captures.sparkSession, path, diffs.schema)

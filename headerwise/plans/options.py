@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headerwise import settings
+from headerwise.operators.joins import measured_join
 from headerwise.sources.local import small_table
 from headerwise.sources.scratch import Stored, stored
 
@@ -28,6 +29,8 @@ class Options:
             value = getattr(self, f.name)
             if value is not None and value < 1:
                 raise ValueError(f"{f.name} must be at least 1")
+            if value is not None and f.name != "min_count" and value > settings.LARGEST_TOP:
+                raise ValueError(f"{f.name} must be at most {settings.LARGEST_TOP}")
 
 
 DEFAULTS = Options(
@@ -104,7 +107,8 @@ class Scope:
     def attach(self, rows: DataFrame, names: Sequence[str]) -> DataFrame:
         """Add parameters to rows that are already aggregated, dropping other domains.
 
-        The options are a table of known size, so Spark broadcasts them when small
-        and otherwise joins by domain with its splitting of skewed partitions.
+        Options of known size are broadcast; a longer table that does not fit is joined
+        by domain, with Spark's splitting of skewed partitions.
         """
-        return rows.join(self.options.select("domain", *names), "domain")
+        fits = self.size is None or self.size.fits_broadcast()
+        return measured_join(rows, self.options.select("domain", *names), "domain", "inner", fits)

@@ -24,7 +24,12 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # Domain lists up to this length are turned into a literal filter for the scan.
 INLINE_DOMAINS = 1000
 
+# The largest top-K there is; ranking then always starts inside the tasks.
+LARGEST_TOP = 10_000
+
 SPARK_CONF = {
+    # top-K up to this size is cut down before the shuffle
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(LARGEST_TOP),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headerwise.functions.index_names import default_index, in_index
+from headerwise.functions.index_names import as_names, default_index, has_wildcard, in_index
 from headerwise.schemas import ACCESS_LOG
 
 
@@ -19,6 +19,21 @@ def select_index(
     return logs.where(in_index(index or default_index(as_of), F.col("index_date")))
 
 
+def check_index(
+    logs: DataFrame, index: str | Sequence[str] | None = None, as_of: dt.date | None = None
+) -> None:
+    """An error unless every named day, and at least one day of all patterns, has rows.
+
+    Each look reads one row of the matching folders.
+    """
+    names = as_names(index or default_index(as_of))
+    exact = [n for n in names if not has_wildcard(n)]
+    patterns = [n for n in names if has_wildcard(n)]
+    for wanted in [[n] for n in exact] + ([patterns] if patterns else []):
+        if logs.where(in_index(wanted, F.col("index_date"))).select("index_date").isEmpty():
+            raise ValueError(f"no such index: {', '.join(wanted)}")
+
+
 def read_access_log(
     spark: SparkSession,
     root: str,

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import cache
 
@@ -14,9 +19,47 @@ from pyspark.sql import types as T
 from headerwise.settings import BROADCAST_BYTES
 
 
+_RUN: ContextVar[str] = ContextVar("headerwise_run", default="")
+
+
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="headerwise-")
+    folder = tempfile.mkdtemp(prefix="headerwise-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def replace_folder(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the complete folder ``fresh`` in the place of ``path``."""
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), at):
+        raise OSError(f"{fresh} could not be renamed to {path}")
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables of the block are removed at its end, also after an error.
+
+    What the block returns must be written or read before that.
+    """
+    folder = f"{shared_folder(spark)}/headerwise/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        remove_folder(spark, folder)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,7 +73,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/headerwise/{name}-{uuid.uuid4().hex}"
+    folder = _RUN.get() or f"{shared_folder(spark)}/headerwise"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 @dataclass(frozen=True)

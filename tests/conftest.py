@@ -16,6 +16,7 @@ def spark():
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="4g",
         spark__driver__bindAddress="127.0.0.1",
+        spark__driver__host="127.0.0.1",
     )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark

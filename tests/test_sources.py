@@ -16,8 +16,10 @@ from headerwise.sources.request_files import (
     broken_request_files,
     diff_name,
     domain_names,
+    read_diffs,
     read_requests,
     write_by_domain,
+    write_diffs,
 )
 
 ROW = {
@@ -66,9 +68,6 @@ def days_read(df):
         ("logstash-2015.10.1?", [13, 14, 15]),
         (["logstash-*.14", "logstash-2015.10.13"], [13, 14]),
         ("logstash-2016*", []),
-        ("other-2015.10.14", []),
-        ("logstash-2015.13.40", []),
-        ("logstash-2015.10.1", []),
         (None, [15]),
     ],
 )
@@ -82,6 +81,33 @@ def test_index_selection_reads_only_matching_folders(spark, log_root, index, day
         assert all(any(f"index_date=2015-10-{d}" in f for d in days) for f in files)
 
 
+@pytest.mark.parametrize(
+    "index", ["other-2015.10.14", "logstash-2015.13.40", ["logstash-2015*", "logstash-2015.10.1"]]
+)
+def test_malformed_index_is_an_error(spark, log_root, index):
+    with pytest.raises(ValueError, match="not a daily index"):
+        read_access_log(spark, log_root, index)
+
+
+@pytest.mark.parametrize("index", ["other-2015.10.14", "logstash-2015.10.20", "logstash-2016*"])
+def test_absent_index_keeps_earlier_rows(spark, log_root, tmp_path, index):
+    out = str(tmp_path / "top")
+    write_by_domain(top_rows(spark, dict(ROW, domain="a.example")), out)
+    with pytest.raises(ValueError, match="index"):
+        collect(spark, log_root, ["a.example"], out, index, allow_wildcards=True)
+    assert [r.domain for r in read_requests(spark, out).collect()] == ["a.example"]
+
+
+def test_collect_passes_methods_defaults_and_ranks(spark, log_root, tmp_path):
+    run = lambda **kw: collect(
+        spark, log_root, ["a.example"], str(tmp_path / "top"), "logstash-2015.10.14",
+        defaults=Options(min_count=4), **kw
+    ).collect()
+    assert [r["count"] for r in run()] == [12]
+    assert run(methods=["post"]) == []
+    assert run(ranks=True)[0].method_rank == 1
+
+
 def test_only_named_columns_are_read(spark, log_root):
     logs = read_access_log(spark, log_root, "logstash-2015*").where(F.col("domain") == "a.example")
     plan = logs.select("method")._jdf.queryExecution().executedPlan().toString()
@@ -140,12 +166,47 @@ def test_broken_file_is_named(spark, tmp_path):
     assert [(r.file.split("/")[-1], r.rows) for r in found] == [("bad.json", 0)]
 
 
+@pytest.mark.parametrize("text", ["[] []", '[{"domain": "x"}]]', "[],[]", '[{"domain": "x"}] and', '{"domain": '])
+def test_text_after_the_array_is_an_error(spark, tmp_path, text):
+    path = put(tmp_path / "odd.json", "\n" + text)
+    with pytest.raises(Exception, match=r"odd\.json"):
+        read_requests(spark, path).collect()
+    assert [r.file.split("/")[-1] for r in broken_request_files(spark, path).collect()] == ["odd.json"]
+
+
+def test_both_forms_in_one_call(spark, tmp_path):
+    put(tmp_path / "array.json", [ROW, ROW])
+    put(tmp_path / "lines.json", json.dumps(ROW) + "\n[]\n\n" + json.dumps(ROW))
+    put(tmp_path / "blank.json", "\n")
+    assert read_requests(spark, str(tmp_path)).count() == 4
+    assert read_requests(spark, str(tmp_path / "blank.json")).count() == 0
+    assert broken_request_files(spark, str(tmp_path)).count() == 0
+
+
+def test_a_closed_run_leaves_no_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_folder", lambda _: str(tmp_path))
+    with pytest.raises(KeyError), scratch.scratch_run(spark):
+        assert scratch.stored(top_rows(spark, ROW), "kept").rows == 1
+        assert list((tmp_path / "headerwise").glob("run-*/kept-*"))
+        raise KeyError
+    assert not list((tmp_path / "headerwise").iterdir())
+
+
+def test_diffs_replace_those_they_are_read_from(spark, tmp_path):
+    rows = top_rows(spark, ROW, dict(ROW, count=1))
+    path = write_diffs(rows, str(tmp_path), "same")
+    again = read_diffs(spark, path, TOP_REQUEST).where("count > 1")
+    assert write_diffs(again, str(tmp_path), "same") == path
+    assert read_diffs(spark, path, TOP_REQUEST).count() == 1
+    assert [p.name for p in tmp_path.iterdir()] == ["same"]
+
+
 def test_one_folder_per_domain(spark, tmp_path):
     path = str(tmp_path / "out")
     names = domain_names(spark, ["s.example.com", "empty.example.com"])
     other = dict(ROW, domain="t.example.com", referer='q"uo\nte')
     write_by_domain(top_rows(spark, ROW, other), path, names)
-    back = read_requests(spark, path, array_files=False)
+    back = read_requests(spark, path)
     assert back.schema == TOP_REQUEST
     assert sorted(r.domain for r in back.collect()) == ["s.example.com", "t.example.com"]
     assert other in [r.asDict() for r in back.collect()]
@@ -155,7 +216,7 @@ def test_one_folder_per_domain(spark, tmp_path):
     # a rerun for one domain that now has nothing replaces only that domain's rows
     nothing = top_rows(spark, ROW).where("count < 0")
     write_by_domain(nothing, path, domain_names(spark, ["s.example.com"]))
-    left = read_requests(spark, path, array_files=False).collect()
+    left = read_requests(spark, path).collect()
     assert [r.domain for r in left] == ["t.example.com"]
 
 
@@ -171,7 +232,7 @@ def test_collect_run(spark, log_root, tmp_path):
     )
     expected = [("a.example", "get", "443", "/", "ua", "", 12)]
     assert [tuple(r) for r in rows.collect()] == expected
-    back = read_requests(spark, out, array_files=False)
+    back = read_requests(spark, out)
     assert [tuple(r) for r in back.collect()] == expected
     with pytest.raises(ValueError):
         collect(spark, log_root, domains, out, index="logstash-*")
