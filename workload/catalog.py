@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +13,31 @@ from headerwise.functions.index_names import index_name
 from headerwise.functions.text import url_domain
 from headerwise.operators.difference import header_label, label_differences
 from headerwise.operators.pairing import pair_captures
-from headerwise.operators.replay import build_requests, guard_content, shuffled
+from headerwise.operators.replay import (
+    build_requests,
+    guard_content,
+    guarded_plan,
+    shuffled,
+)
 from headerwise.operators.rules import (
     Rule,
     RuleSet,
     Suffix,
     TimeTolerance,
     WeakETag,
+    rules_from_rows,
 )
 from headerwise.operators.top_terms import missing_counts
-from headerwise.plans.collect import domain_list, index_inventory, top_requests, top_urls
+from headerwise.plans.collect import (
+    collect,
+    domain_list,
+    index_inventory,
+    top_requests,
+    top_urls,
+)
 from headerwise.plans.compare import (
     compare_captures,
+    compare_run,
     compare_url,
     differing,
     error_histogram,
@@ -31,8 +45,14 @@ from headerwise.plans.compare import (
 )
 from headerwise.plans.options import Options, resolve_options
 from headerwise.schemas import URL_KEYS
-from headerwise.sources.access_log import select_index
-from headerwise.sources.request_files import domain_names, read_requests, write_by_domain
+from headerwise.settings import NO_DOMAIN
+from headerwise.sources.access_log import read_access_log, select_index
+from headerwise.sources.request_files import (
+    broken_request_files,
+    domain_names,
+    read_requests,
+    write_by_domain,
+)
 from headerwise.sources.scratch import new_path, written
 from workload import views
 
@@ -40,14 +60,24 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = dt.date(2024, 1, 15)
 GROUP = ["d0.example.com", "d1.example.com", "d1.example.com", "nope.example.com"]
-PER_DOMAIN = [
-    ("d0.example.com", Options(min_count=250)),
-    ("d1.example.com", Options(min_count=270)),
-    ("d1.example.com", Options(min_count=10)),
-    ("d2.example.com", Options(min_count=265, top_urls=5, top_referers=1)),
-]
+
+
+def layers(rows: int) -> tuple[list[tuple[str, Options]], Options]:
+    """Domain options and defaults; minimums in proportion to the rows of the log."""
+
+    def least(of_60000: int) -> int:
+        return max(1, rows * of_60000 // 60_000)
+
+    per_domain = [
+        ("d0.example.com", Options(min_count=least(250))),
+        ("d1.example.com", Options(min_count=least(270))),
+        ("d1.example.com", Options(min_count=least(10))),
+        ("d2.example.com", Options(min_count=least(265), top_urls=5, top_referers=1)),
+    ]
+    return per_domain, Options(min_count=least(280), top_urls=3, top_agents=10, top_referers=2)
+
+
 CALL = Options(top_agents=50)
-DEFAULTS = Options(min_count=280, top_urls=3, top_agents=10, top_referers=2)
 WIDE = Options(min_count=7, top_urls=40, top_agents=3, top_referers=2)
 
 RULES = RuleSet(
@@ -59,6 +89,15 @@ RULES = RuleSet(
 SKIP_RULES = RuleSet(
     by_domain={"d2.example.com": [Rule("content-length", None), Rule("etag", None)]}
 )
+RULE_ROWS = [
+    {"domain": "d0.example.com", "seq": 1, "header": "etag", "kind": "skip", "param": None},
+    {"domain": "d0.example.com", "seq": 2, "header": "etag", "kind": "suffix", "param": None},
+    {"domain": "d1.example.com", "seq": 1, "header": "last-modified", "kind": "time_tolerance_both", "param": "3600"},
+    {"domain": "d2.example.com", "seq": 1, "header": "last-modified", "kind": "time_tolerance", "param": "0"},
+]
+CUSTOM_RULES = RuleSet(
+    by_domain={"d3.example.com": [Rule("etag", lambda p, t: F.length(p) == F.length(t))]}
+)
 ONE_URL = "http://d1.example.com/o/33"
 
 
@@ -89,14 +128,16 @@ def _as_text(inventory: DataFrame) -> DataFrame:
 
 
 def _domain_group(spark: SparkSession, sf: str) -> DataFrame:
-    names = domain_names(spark, GROUP)
-    logs = views.access_log(spark, sf).join(names, "domain", "left_semi")
-    return logs.groupBy("domain").agg(F.count(F.lit(1)).alias("count"))
+    options = resolve_options(domain_names(spark, GROUP), Options(min_count=1))
+    found = top_urls(views.access_log(spark, sf), options, methods=["get"])
+    return found.groupBy("domain").agg(F.sum("count").alias("count"))
 
 
 def _log_options(spark: SparkSession, sf: str) -> DataFrame:
     logs = views.access_log(spark, sf)
-    return resolve_options(domain_list(logs, 100, 1000), CALL, PER_DOMAIN, DEFAULTS)
+    per_domain, defaults = layers(logs.count())
+    names = views.domains_of(logs).where(F.col("domain") != NO_DOMAIN)
+    return resolve_options(names, CALL, per_domain, defaults)
 
 
 def _wide_options(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,7 +192,80 @@ def _req_load(spark: SparkSession, sf: str) -> DataFrame:
     options = written(_log_options(spark, sf), "options")
     rows = written(top_requests(views.access_log(spark, sf), options), "top-requests")
     write_by_domain(rows, path, options)
-    return read_requests(spark, path, array_files=False)
+    return read_requests(spark, path)
+
+
+def _array_files(rows: DataFrame, path: str, text: str = "value") -> None:
+    """One file with one JSON array per domain; ``text`` may spoil some of them."""
+    array = F.to_json(F.collect_list(F.struct(*[F.col(c) for c in rows.columns])))
+    arrays = rows.groupBy("domain").agg(array.alias("value"))
+    arrays.selectExpr("domain AS folder", f"{text} AS value").write.partitionBy("folder").text(path)
+
+
+def _req_load_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows from two sets of array files, and a file with an empty array."""
+    path = new_path(spark, "arrays")
+    rows = written(_top_requests(spark, sf), "top-requests")
+    _array_files(rows, f"{path}/one")
+    _array_files(rows, f"{path}/two")
+    spark.range(1).select(F.lit("[]").alias("value")).write.text(f"{path}/none")
+    return read_requests(spark, f"{path}/*")
+
+
+def _req_broken_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One file is cut off, one has more text after its array."""
+    path = new_path(spark, "broken")
+    spoilt = (
+        "CASE domain WHEN 'd1.example.com' THEN left(value, length(value) - 1)"
+        " WHEN 'd2.example.com' THEN concat(value, ' and more') ELSE value END"
+    )
+    _array_files(written(_top_requests(spark, sf), "top-requests"), path, spoilt)
+    found = broken_request_files(spark, path)
+    return found.select(F.regexp_extract("file", "folder=([^/]+)", 1).alias("domain"), "rows")
+
+
+def _stored_log(spark: SparkSession, sf: str) -> str:
+    path = new_path(spark, "log")
+    views.daily_log(spark, sf).write.partitionBy("index_date").parquet(path)
+    return path
+
+
+def _scan_partitioned(spark: SparkSession, sf: str) -> DataFrame:
+    index = ["logstash-2024.01.02", "logstash-2024.0?.06"]
+    logs = read_access_log(spark, _stored_log(spark, sf), index)
+    day = index_name(F.col("index_date")).alias("index")
+    return logs.groupBy(day, "domain").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _collect_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole collect program, its domains from a file, its output read back."""
+    root, out, names = _stored_log(spark, sf), new_path(spark, "top"), new_path(spark, "names")
+    listed = F.lit(json.dumps([f"d{i}.example.com" for i in range(3)])).alias("value")
+    spark.range(1).select(listed).write.text(names)
+    per_domain, defaults = layers(spark.read.parquet(root).count())
+    index = "logstash-2024.01.*"
+    collect(
+        spark, root, [f"@{names}"], out, index, CALL, per_domain, True, defaults=defaults
+    )
+    return read_requests(spark, out)
+
+
+def _compare_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole compare program, its saved failing rows read back."""
+    captures, plan = views.captures(spark, sf), views.replay_plan(spark, sf)
+    report = compare_run(captures, RULES, new_path(spark, "diffs"), "saved", plan=plan)
+    return report.diffs.select(
+        "req_id",
+        "error",
+        F.col("request.url").alias("url"),
+        F.col("request.method").alias("sent"),
+        F.element_at("headers_prod", F.lit("etag")).alias("prod_etag"),
+    )
+
+
+def _guarded_plan(spark: SparkSession, sf: str) -> DataFrame:
+    probes = views.probes(spark, sf).where("req_id % 43 <> 0")
+    return guarded_plan(views.replay_plan(spark, sf), probes).select("req_id", "url", "method")
 
 
 def _req_shuffle(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,6 +355,8 @@ QUERIES: dict[str, Query] = {
     "log_index_select": _index_select,
     "log_default_index": _default_index,
     "log_domain_group": _domain_group,
+    "log_scan_partitioned": _scan_partitioned,
+    "log_collect_run": _collect_run,
     "log_options_resolve": _log_options,
     "log_top_urls": _top_urls,
     "log_top_urls_methods": _top_urls_methods,
@@ -251,7 +367,10 @@ QUERIES: dict[str, Query] = {
     "log_top_requests_ranked": _top_requests_ranked,
     "req_build": _req_build,
     "req_load": _req_load,
+    "req_load_arrays": _req_load_arrays,
+    "req_broken_files": _req_broken_files,
     "req_shuffle": _req_shuffle,
+    "req_guarded_plan": _guarded_plan,
     "req_content_guard": _content_guard,
     "url_domain": _url_domain,
     "cmp_pair": _pair,
@@ -262,6 +381,9 @@ QUERIES: dict[str, Query] = {
     "cmp_existence": _one_rule(Rule("content-length")),
     "cmp_skip_rule": _labelled(SKIP_RULES),
     "cmp_first_diff": _labelled(RULES),
+    "cmp_rules_rows": _labelled(rules_from_rows(RULE_ROWS)),
+    "cmp_custom_rule": _labelled(CUSTOM_RULES),
+    "cmp_run_saved": _compare_run,
     "cmp_diffs": _diffs,
     "cmp_errors": _errors,
     "cmp_ratio": _ratio,

@@ -28,17 +28,17 @@ WIDE_LOG = """access_log AS (
          ELSE '/r/' || CAST(l_suppkey % 5 AS VARCHAR) END AS referer
   FROM lineitem)"""
 
-# Domains with at least 1000 rows, and the parameters the catalog gives them.
+# All named domains, and the parameters the catalog gives them for this many rows.
 OPTIONS = """options AS (
-  SELECT l.domain,
-         CASE l.domain WHEN 'd0.example.com' THEN 250 WHEN 'd1.example.com' THEN 270
-                       WHEN 'd2.example.com' THEN 265 ELSE 280 END AS min_count,
-         CASE l.domain WHEN 'd2.example.com' THEN 5 ELSE 3 END AS top_urls,
-         50 AS top_agents,
-         CASE l.domain WHEN 'd2.example.com' THEN 1 ELSE 2 END AS top_referers,
-         CASE l.domain WHEN 'd0.example.com' THEN 63 WHEN 'd1.example.com' THEN 68
-                       WHEN 'd2.example.com' THEN 67 ELSE 70 END AS min_count_2
-  FROM access_log l WHERE l.domain <> '-' GROUP BY l.domain HAVING count(*) >= 1000)"""
+  SELECT *, (min_count + 3) // 4 AS min_count_2 FROM (
+    SELECT domain,
+           greatest(1, n * CASE domain WHEN 'd0.example.com' THEN 250 WHEN 'd1.example.com' THEN 270
+                                       WHEN 'd2.example.com' THEN 265 ELSE 280 END // 60000) AS min_count,
+           CASE domain WHEN 'd2.example.com' THEN 5 ELSE 3 END AS top_urls,
+           50 AS top_agents,
+           CASE domain WHEN 'd2.example.com' THEN 1 ELSE 2 END AS top_referers
+    FROM (SELECT DISTINCT domain FROM access_log WHERE domain <> '-'),
+         (SELECT count(*) AS n FROM access_log)))"""
 
 WIDE_OPTIONS = """options AS (
   SELECT DISTINCT domain, 7 AS min_count, 40 AS top_urls, 3 AS top_agents, 2 AS top_referers,
@@ -132,6 +132,11 @@ _SAME = {
     "exact": "{p} = {t}",
     "weak": "({p} = {t} OR (substr({p}, 1, 2) = 'W/' AND substr({t}, 1, 2) = 'W/'))",
     "suffix": "({p} = {t} OR substr({p}, 7) = substr({t}, 7))",
+    "both": "coalesce(abs(epoch(try_strptime(substr({p}, 6), '%d %b %Y %H:%M:%S GMT'))"
+    " - epoch(try_strptime(substr({t}, 6), '%d %b %Y %H:%M:%S GMT'))) < 3600, false)",
+    "zero": "coalesce(epoch(try_strptime(substr({p}, 6), '%d %b %Y %H:%M:%S GMT'))"
+    " - epoch(try_strptime(substr({t}, 6), '%d %b %Y %H:%M:%S GMT')) < 0, false)",
+    "length": "length({p}) = length({t})",
     "time": "coalesce(epoch(try_strptime(substr({p}, 6), '%d %b %Y %H:%M:%S GMT'))"
     " - epoch(try_strptime(substr({t}, 6), '%d %b %Y %H:%M:%S GMT')) < 3600, false)",
 }
@@ -159,6 +164,18 @@ FIRST_DIFF = f"""CASE domain
   WHEN 'd1.example.com' THEN CASE {_TIME}{_TYPE}{_LENGTH}{_WEAK}{_CACHE} ELSE '' END
   ELSE CASE {_TYPE}{_LENGTH}{_WEAK}{_MODIFIED}{_CACHE} ELSE '' END END"""
 
+_BOTH = _step("last-modified", "modified", "both")
+_ZERO = _step("last-modified", "modified", "zero")
+ROWS_DIFF = f"""CASE domain
+  WHEN 'd0.example.com' THEN CASE {_SUFFIX}{_TYPE}{_LENGTH}{_MODIFIED}{_CACHE} ELSE '' END
+  WHEN 'd1.example.com' THEN CASE {_BOTH}{_TYPE}{_LENGTH}{_WEAK}{_CACHE} ELSE '' END
+  WHEN 'd2.example.com' THEN CASE {_ZERO}{_TYPE}{_LENGTH}{_WEAK}{_CACHE} ELSE '' END
+  ELSE CASE {_TYPE}{_LENGTH}{_WEAK}{_MODIFIED}{_CACHE} ELSE '' END END"""
+
+CUSTOM_DIFF = f"""CASE domain
+  WHEN 'd3.example.com' THEN CASE {_step("etag", "etag", "length")}{_TYPE}{_LENGTH}{_MODIFIED}{_CACHE} ELSE '' END
+  ELSE CASE {_TYPE}{_LENGTH}{_WEAK}{_MODIFIED}{_CACHE} ELSE '' END END"""
+
 SKIP_DIFF = f"""CASE domain
   WHEN 'd2.example.com' THEN CASE {_TYPE}{_MODIFIED}{_CACHE} ELSE '' END
   ELSE CASE {_TYPE}{_LENGTH}{_WEAK}{_MODIFIED}{_CACHE} ELSE '' END END"""
@@ -209,7 +226,13 @@ GROUP BY domain HAVING count(*) >= 1000 ORDER BY 2 DESC, 1 LIMIT 3""",
 FROM events WHERE ts >= '2024-01-14' AND ts < '2024-01-15' HAVING count(*) > 0""",
     "log_domain_group": f"""WITH {ACCESS_LOG}
 SELECT domain, count(*) AS "count" FROM access_log
-WHERE domain IN ('d0.example.com', 'd1.example.com', 'nope.example.com') GROUP BY domain""",
+WHERE domain IN ('d0.example.com', 'd1.example.com', 'nope.example.com')
+  AND method = 'get' AND ipport IS NOT NULL GROUP BY domain""",
+    "log_scan_partitioned": f"""WITH {ACCESS_LOG.replace("FROM lineitem", ", l_linenumber AS day FROM lineitem")}
+SELECT 'logstash-2024.01.0' || day AS "index", domain, count(*) AS "count" FROM access_log
+WHERE day IN (2, 6) GROUP BY ALL""",
+    "log_collect_run": f"""{TOP_REQUESTS} SELECT * FROM top_requests
+WHERE domain IN ('d0.example.com', 'd1.example.com', 'd2.example.com')""",
     "log_options_resolve": f"""WITH {ACCESS_LOG}, {OPTIONS}
 SELECT domain, CAST(min_count AS BIGINT) AS min_count, CAST(top_urls AS BIGINT) AS top_urls,
        CAST(top_agents AS BIGINT) AS top_agents, CAST(top_referers AS BIGINT) AS top_referers,
@@ -241,9 +264,22 @@ SELECT domain,
        upper(method) AS method, false AS tunnel, agent AS user_agent, referer,
        false AS follow_redirect, 15000 AS timeout FROM top_requests""",
     "req_load": f"{TOP_REQUESTS} SELECT * FROM top_requests",
+    "req_load_arrays": f"""{TOP_REQUESTS}
+SELECT * FROM top_requests UNION ALL SELECT * FROM top_requests""",
+    "req_broken_files": f"""{TOP_REQUESTS}
+SELECT domain, CASE domain WHEN 'd1.example.com' THEN 0 ELSE count(*) END AS "rows"
+FROM top_requests WHERE domain IN ('d1.example.com', 'd2.example.com') GROUP BY domain""",
+    "req_guarded_plan": """SELECT k AS req_id,
+  'http://d' || CAST(k % 4 AS VARCHAR) || '.example.com/o/' || CAST(k AS VARCHAR) AS url,
+  CASE WHEN k % 5 = 0 THEN 'HEAD' ELSE 'GET' END AS method
+FROM (SELECT o_orderkey AS k, o_totalprice AS price FROM orders)
+WHERE k % 5 = 0
+   OR (k % 43 <> 0 AND k % 37 <> 0 AND NOT (k % 7 = 0 AND k % 3 = 0)
+       AND (k % 7 = 0 OR k % 41 = 0 OR CAST(round(price * 4) AS BIGINT) <= 1048576))""",
     "req_shuffle": f"{TOP_REQUESTS} SELECT * FROM top_requests",
     "req_content_guard": """SELECT req_id,
   CASE WHEN method <> 'GET' THEN 'keep'
+       WHEN req_id % 37 = 0 THEN 'probe_error'
        WHEN length IS NULL THEN CASE WHEN kind = 'video/mp4' THEN 'video_unknown_length' ELSE 'keep' END
        WHEN TRY_CAST(length AS BIGINT) > 1048576 THEN 'too_big' ELSE 'keep' END AS verdict
 FROM (SELECT o_orderkey AS req_id,
@@ -265,6 +301,12 @@ FROM hv SEMI JOIN complete USING (req_id)""",
     "cmp_existence": _one_rule(_LENGTH),
     "cmp_skip_rule": f"WITH {HEADER_VALUES} SELECT req_id, domain, {SKIP_DIFF} AS error FROM hv",
     "cmp_first_diff": f"WITH {HEADER_VALUES} SELECT req_id, domain, {FIRST_DIFF} AS error FROM hv",
+    "cmp_rules_rows": f"WITH {HEADER_VALUES} SELECT req_id, domain, {ROWS_DIFF} AS error FROM hv",
+    "cmp_custom_rule": f"WITH {HEADER_VALUES} SELECT req_id, domain, {CUSTOM_DIFF} AS error FROM hv",
+    "cmp_run_saved": f"""WITH {CAPTURES}
+SELECT req_id, error, url, CASE WHEN req_id % 5 = 0 THEN 'HEAD' ELSE 'GET' END AS sent,
+       p_etag AS prod_etag
+FROM compared JOIN hv USING (req_id, domain, url) WHERE error <> ''""",
     "cmp_diffs": f"WITH {CAPTURES} SELECT * FROM compared WHERE error <> ''",
     "cmp_errors": f"""WITH {CAPTURES}
 SELECT error, count(*) AS n FROM compared WHERE error <> '' GROUP BY error""",

@@ -14,7 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few distinct values, many rows of each."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    rows = table(spark, sf_dir, "lineitem")
+    return access_log_of(rows.withColumn("index_date", F.col("l_shipdate").cast("date")))
+
+
+def access_log_of(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
         "CASE WHEN l_suppkey % 6 = 5 THEN '-' ELSE concat('d', l_suppkey % 6, '.example.com') END"
         " AS domain",
         "CASE l_returnflag WHEN 'A' THEN 'get' WHEN 'N' THEN 'head' ELSE 'post' END AS method",
@@ -24,7 +29,7 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_linenumber <= 5 THEN 'ua-0' ELSE 'ua-1' END AS agent",
         "CASE WHEN l_discount < 0.035 THEN NULL WHEN l_discount < 0.045 THEN ''"
         " WHEN l_discount < 0.075 THEN '/r/0' ELSE '/r/1' END AS referer",
-        "CAST(l_shipdate AS DATE) AS index_date",
+        "index_date",
     )
 
 
@@ -133,10 +138,27 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS req_id",
         "IF(o_orderkey % 5 = 0, 'HEAD', 'GET') AS method",
-        "'ok' AS status",
+        "IF(o_orderkey % 37 = 0, 'timeout', 'ok') AS status",
         f"map('content-length', {length}, 'content-type', {kind}) AS headers",
     )
 
 
+def daily_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``access_log`` over seven days, with all columns of the log table."""
+    day = "date_add(DATE'2024-01-01', CAST(l_linenumber - 1 AS INT)) AS index_date"
+    days = table(spark, sf_dir, "lineitem").selectExpr(day, "*")
+    return access_log_of(days).withColumn("ts", F.col("index_date").cast("timestamp"))
+
+
+def replay_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per order; those of every 43rd have no probe."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS req_id",
+        f"concat('{SCHEME}', 'd', o_orderkey % 4, '.example.com/o/', o_orderkey) AS url",
+        "IF(o_orderkey % 5 = 0, 'HEAD', 'GET') AS method",
+        "map('User-Agent', 'ua') AS headers",
+    )
+
+
 def domains_of(logs: DataFrame) -> DataFrame:
     return logs.where(F.col("domain").isNotNull()).select("domain").distinct()
