@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headerwise.llm.common import read_table
+from headerwise.llm.common import free_name, read_table
 from headerwise.llm.decontaminate import decontaminated
 from headerwise.llm.lines import deduplicated_lines
 from headerwise.llm.minhash import without_near_duplicates
@@ -27,11 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages stay at their first place; a document of which nothing is left goes."""
     before = F.coalesce(F.length(F.btrim("text", F.lit(" \t\r\n"))), F.lit(0)) == 0
-    marked = docs.withColumn("_blank", before)
-    rest = deduplicated_lines(marked)
-    return rest.where(F.col("_blank") | (F.length(F.btrim("text", F.lit(" \t\r\n"))) > 0)).select(
-        *docs.columns
-    )
+    blank = free_name(docs.columns, "_blank")
+    rest = deduplicated_lines(docs.withColumn(blank, before))
+    left = F.length(F.btrim("text", F.lit(" \t\r\n"))) > 0
+    return rest.where(F.col(blank) | left).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

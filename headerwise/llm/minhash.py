@@ -32,6 +32,7 @@ from headerwise.llm.common import (
     GOLDEN,
     by_batch,
     column_bytes,
+    free_name,
     joined,
     mix,
     text_column,
@@ -313,5 +314,6 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80)
     rows with a null doc_id stay.
     """
     found = near_duplicates(docs, width, percent)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    own = free_name(docs.columns, "_gone")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(own), "left_anti")

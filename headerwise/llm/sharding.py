@@ -38,16 +38,18 @@ def _numbered(rows: DataFrame, group: list[str], cell: str, order: list, out: st
     """Adds ``out``: the number of rows of the group before the row, in cell order and
     then in ``order``, counted from 0."""
     by = [*group, cell]
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    keys = [free_name(rows.columns, f"_k{i}") for i in range(len(by))]
+    sum_before, size = free_name(rows.columns, "_before"), free_name(rows.columns, "_size")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias(size))
     before = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    sizes = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_before")
+    sizes = sizes.withColumn(sum_before, F.coalesce(F.sum(size).over(before), F.lit(0)))
+    sizes = sizes.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], sum_before)
     ranked = rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)]
     return (
         ranked.join(sizes.hint("merge"), same, "left")
-        .withColumn(out, F.col(out) - 1 + F.col("_before"))
-        .drop("_before", *[f"_k{i}" for i in range(len(by))])
+        .withColumn(out, F.col(out) - 1 + F.col(sum_before))
+        .drop(sum_before, *keys)
     )
 
 
@@ -79,13 +81,14 @@ def interleaved_shards(
     counted = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias(total))
     strata = stored(counted, "strata")
     n = strata.table.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
-    sizes = strata.table.withColumnRenamed(stratum, "_s")
+    own = free_name([*rows.columns, total], "_s")
+    sizes = strata.table.withColumnRenamed(stratum, own)
     cell_rows = cell_rows or max(CELL_ROWS, isqrt(n))
     # texts of source names count, too
     row_bytes = 100 + strata.text_bytes // max(1, strata.rows)
     rows = joined(
-        rows, sizes, F.col(stratum).eqNullSafe(F.col("_s")), "inner", strata.rows, row_bytes
-    ).drop("_s")
+        rows, sizes, F.col(stratum).eqNullSafe(F.col(own)), "inner", strata.rows, row_bytes
+    ).drop(own)
     cells = F.ceil(F.col(total) / F.lit(cell_rows))
     rows = rows.withColumn(cell, F.floor(F.col(part) * cells).cast("long"))
     rows = _numbered(rows, [stratum], cell, [order_by, *ties], rank)
