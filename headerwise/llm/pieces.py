@@ -16,12 +16,21 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from headerwise.llm.common import CACHE_WORDS, by_batch, column_text, extended, text_column
+from headerwise.llm.common import (
+    CACHE_WORDS,
+    by_batch,
+    column_text,
+    extended,
+    opened,
+    shipped,
+    text_column,
+)
 
 #: Public 32,000-piece model with byte fallback.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -171,29 +180,39 @@ def build_tokenizer(model: PieceModel):
     return tokenizer
 
 
+def codec_parts(data: bytes) -> tuple[bytes, PieceModel, str]:
+    """What a ``Codec`` is made from: at most a few times the model file."""
+    model = parse_model(data)
+    return data, model, build_tokenizer(model).to_str()
+
+
 class Codec:
     """Encodes and decodes batches of texts."""
 
-    def __init__(self, data: bytes, tokenizer_json: str, threads: int = THREADS):
+    def __init__(self, data: bytes, model: PieceModel, tokenizer_json: str, threads: int = THREADS):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence
 
-        self.model = parse_model(data)
+        self.model, self.separable, self.identity = model, model.separable, model.identity
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.normalizer = self.tokenizer.normalizer
-        self.by_stretch = Tokenizer.from_str(tokenizer_json)
-        self.by_stretch.normalizer = Sequence([])
+        if self.separable:
+            # what it gets are stretches of normal text
+            self.tokenizer.normalizer = Sequence([])
+        self.line_ends = not any("\n" in p and len(p) > 1 for p in model.pieces)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.bytes_of = [
             bytes([int(p[1:-1], 16)]) if k == _BYTE
             else b"" if k == _CONTROL
             else " ⁇ ".encode() if k == _UNKNOWN
             else p.replace(_MARK, " ").encode()
-            for p, k in zip(self.model.pieces, self.model.kinds, strict=True)
+            for p, k in zip(model.pieces, model.kinds, strict=True)
         ]
+        whole = zip(model.pieces, model.kinds, strict=True)
+        self.bytes_in = np.array([1 if k == _BYTE else len(p.encode()) for p, k in whole], np.int64)
         self._restart()
 
     def _restart(self) -> None:
@@ -203,35 +222,86 @@ class Codec:
         self.flat = np.zeros(0, np.int32)
 
     def stretches(self, text: str) -> list[str]:
-        """What the text's normal form consists of, each without its first marker."""
-        if self.model.identity and _MARK not in text and "  " not in text and text[:1] != " ":
+        """What the text's normal form consists of, each without its first marker, or
+        with a zero character if it has none: what follows a line end, and line ends,
+        when these are in no longer piece."""
+        plain = self.identity and _MARK not in text and "\x00" not in text
+        if plain and "  " not in text and text[:1] != " ":
+            if self.line_ends:
+                text = text.replace("\n", " \x00\n \x00")
             return text.split(" ")
         normal = self.normalizer.normalize_str(text)
         return [s[1:] if s[0] == _MARK else f"\x00{s}" for s in _STRETCH.findall(normal)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _together(self, words: list[str], marked: bool):
+        """Ids of several stretches in one go: all ids, the number of each, and parity.
+
+        They are joined by their markers, or by line ends. The bytes that each piece
+        stands for tell where a stretch ends; None if they do not, or if SentencePiece
+        disagrees somewhere.
+        """
+        lead = _MARK if marked else "\n"
+        whole = "".join([lead + w for w in words])
+        skip = 0 if marked else len(_MARK.encode())
+        whole = whole if marked else _MARK + whole
+        ids = np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, np.int32)
+        other = self.reference.encode(whole[1:].replace(_MARK, " "), out_type=int)
+        length = [len(w.encode("utf-8", "replace")) for w in words]
+        wanted = np.cumsum(np.array(length, np.int64) + len(lead.encode())) + skip
+        ends = np.cumsum(self.bytes_in[ids])
+        at = np.searchsorted(ends, wanted)
+        if len(ids) != len(other) or (ids != other).any() or at[-1] + 1 != len(ids):
+            return None
+        if (ends[at] != wanted).any():
+            return None
+        first = 0 if marked else 1  # the lone marker before the first line end
+        size = np.diff(at, prepend=first - 1)
+        if not marked:
+            keep = np.ones(len(ids), bool)
+            keep[0] = False
+            keep[at - size + 1] = False
+            ids, size = ids[keep], size - 1
+        return ids, size, np.ones(len(words), bool)
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         whole = [w[1:] if w[:1] == "\x00" else _MARK + w for w in words]
-        found = [e.ids for e in self.by_stretch.encode_batch(whole, add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        equal = np.ones(len(words), bool)
         if self.model.dummy_prefix:
             lone = self.reference.piece_to_id(_MARK)
-            plain = [w.replace(_MARK, " ") for w in words]
+            bare = [w[:1] == "\x00" for w in words]
+            plain = ["\n" + w[1:] if b else w.replace(_MARK, " ") for w, b in zip(words, bare, strict=True)]
             other = self.reference.encode(plain, num_threads=1)
-            other = [o if w else [lone] for w, o in zip(words, other, strict=True)]
-            equal = [a == b for a, b in zip(found, other, strict=True)]
-        else:
-            equal = [True] * len(words)
-        size = np.array([len(f) for f in found], np.int64)
-        first = len(self.size)
-        self.known.update((w, first + i) for i, w in enumerate(words))
-        start = len(self.flat) + np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
-        self.start = np.concatenate((self.start, start))
-        self.size = np.concatenate((self.size, size))
-        self.equal = np.concatenate((self.equal, np.array(equal, bool)))
-        self.flat = np.concatenate((self.flat, np.array([i for f in found for i in f], np.int32)))
+            other = [o[2:] if b else o if w else [lone]
+                     for w, o, b in zip(words, other, bare, strict=True)]
+            equal = np.array([a == b for a, b in zip(found, other, strict=True)], bool)
+        flat = np.array([i for f in found for i in f], np.int32)
+        return flat, np.array([len(f) for f in found], np.int64), equal
+
+    def _learn(self, words: list[str]) -> None:
+        """Add stretches to what is known, many at a time where one ends in a letter."""
+        marked = [w for w in words if self.identity and w.strip(_MARK) and w[0] != "\x00"]
+        bare = [w for w in words if self.identity and self.line_ends and w[:1] == "\x00"]
+        single = sorted(set(words).difference(marked, bare))
+        groups = [(g[i : i + 1000], g is marked) for g in (marked, bare) for i in range(0, len(g), 1000)]
+        for group, has_mark in [*groups, (single, None)]:
+            if not group:
+                continue
+            together = None
+            if has_mark is not None:
+                together = self._together(group if has_mark else [w[1:] for w in group], has_mark)
+            flat, size, equal = together or self._each(group)
+            first = len(self.size)
+            self.known.update((w, first + i) for i, w in enumerate(group))
+            start = len(self.flat) + np.cumsum(size) - size
+            self.start = np.concatenate((self.start, start))
+            self.size = np.concatenate((self.size, size))
+            self.equal = np.concatenate((self.equal, equal))
+            self.flat = np.concatenate((self.flat, flat))
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids of each text, and whether they are SentencePiece's."""
-        if not self.model.separable:
+        if not self.separable:
             found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
             other = self.reference.encode([t or "" for t in texts], num_threads=1)
             same = np.array([f.ids == o for f, o in zip(found, other, strict=True)], bool)
@@ -239,29 +309,33 @@ class Codec:
         if len(self.known) > CACHE_WORDS:
             self._restart()
         words = [self.stretches(t) if t else [] for t in texts]
-        new = {w for ws in words for w in ws} - self.known.keys()
+        places = [self._places(ws) for ws in words]
+        new = {ws[i] for ws, at in zip(words, places, strict=True) for i in np.flatnonzero(at < 0)}
         if new:
             self._learn(sorted(new))
         out, same = [], np.ones(len(texts), bool)
-        for i, ws in enumerate(words):
-            at = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
+        for i, at in enumerate(places):
+            for j in np.flatnonzero(at < 0):
+                at[j] = self.known[words[i][j]]
             size = self.size[at]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
-            places = np.repeat(self.start[at] - (ends - size), size) + np.arange(total)
-            out.append(self.flat[places])
+            out.append(self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)])
             same[i] = self.equal[at].all()
         for w in [w for w in new if len(w) > LONG_WORD]:
             del self.known[w]
         return out, same
 
+    def _places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
     def normal(self, text: str) -> str:
         """The text that decoding gives back."""
-        if self.model.identity:
+        if self.identity:
             return text.replace(_MARK, " ")
         plain = self.normalizer.normalize_str(text).replace(_MARK, " ")
         return plain[1:] if self.model.dummy_prefix else plain
@@ -271,7 +345,7 @@ _ADDED = (("n_tokens", "long"), ("ids", "array<int>"), ("round_trip", "boolean")
 
 
 def _encode(batches: Iterator[pa.RecordBatch], shared, text: str, threads: int):
-    codec = Codec(*shared.value, threads)
+    codec = Codec(*opened(shared), threads)
     for batch in by_batch(batches, 200):
         texts = column_text(batch, text)
         ids, parity = codec.encode(texts)
@@ -298,14 +372,12 @@ def encoded(
     """
     docs = text_column(docs.drop(*[n for n, _ in _ADDED]), text)
     schema = extended(docs, ", ".join(f"{name} {kind}" for name, kind in _ADDED))
-    data = load_model(model)
-    tokenizer = build_tokenizer(parse_model(data))
-    shared = docs.sparkSession.sparkContext.broadcast((data, tokenizer.to_str()))
+    shared = shipped(docs.sparkSession, codec_parts(load_model(model)))
     return docs.mapInArrow(partial(_encode, shared=shared, text=text, threads=threads), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], shared, ids: str, out: str):
-    codec = Codec(*shared.value)
+    codec = Codec(*opened(shared))
     for batch in by_batch(batches, 200):
         lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
         size = len(codec.bytes_of)
@@ -324,7 +396,5 @@ def decoded(rows: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "d
     numbers nothing. A column called ``out`` is replaced."""
     rows = rows.drop(out)
     schema = extended(rows, f"{out} string")
-    data = load_model(model)
-    tokenizer = build_tokenizer(parse_model(data))
-    shared = rows.sparkSession.sparkContext.broadcast((data, tokenizer.to_str()))
+    shared = shipped(rows.sparkSession, codec_parts(load_model(model)))
     return rows.mapInArrow(partial(_decode, shared=shared, ids=ids, out=out), schema)
