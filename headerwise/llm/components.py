@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headerwise.llm.common import joined
 from headerwise.sources.scratch import measured
 
 
-def _hooked(rows: DataFrame, how: str) -> DataFrame:
+def _hooked(rows: DataFrame, size: int) -> DataFrame:
     """Rows ``(u, v)`` with the smallest of u's neighbours and u as ``m``.
 
-    The minimum is combined before the shuffle; the join back is an ordinary
-    equi-join, whose hot keys adaptive execution splits.
+    The minimum is combined before the shuffle. The join back broadcasts the minima
+    while the counted rows bound their size; beyond, it is an equi-join whose hot keys
+    adaptive execution splits.
     """
-    least = rows.groupBy("u").agg(F.min("v").alias("m"))
-    return rows.join(least.withColumnRenamed("u", "k").hint("merge"), F.col("u") == F.col("k"), how)
+    least = rows.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+    return joined(rows, least, F.col("u") == F.col("k"), "inner", size, 64)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, size: int) -> DataFrame:
     """Every neighbour above u hooks to the smallest of u and its neighbours."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    hooked = _hooked(both, "inner").where("v > u")
+    hooked = _hooked(both, 2 * size).where("v > u")
     return hooked.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, size: int) -> DataFrame:
     """u and its neighbours below u hook to the smallest of them."""
-    hooked = _hooked(links, "inner")
+    hooked = _hooked(links, size)
     below = hooked.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return below.union(hooked.select("u", F.col("m").alias("v")))
 
@@ -56,7 +58,8 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while now != before and now[0]:
         before = now
-        links, now = _kept(_small_star(_large_star(links)))
+        # a large star makes no more links than there are
+        links, now = _kept(_small_star(_large_star(links, now[0]), now[0]))
     # every link now leads from an id to the smallest of its component
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
