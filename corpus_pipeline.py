@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from headerwise.llm.common import free_name, read_table
 from headerwise.llm.decontaminate import decontaminated
-from headerwise.llm.lines import deduplicated_lines
+from headerwise.llm.lines import without_passages
 from headerwise.llm.minhash import without_near_duplicates
 from headerwise.llm.pieces import encoded
 from headerwise.llm.quality import of_quality
@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages stay at their first place; a document of which nothing is left goes."""
     before = F.coalesce(F.length(F.btrim("text", F.lit(" \t\r\n"))), F.lit(0)) == 0
     blank = free_name(docs.columns, "_blank")
-    rest = deduplicated_lines(docs.withColumn(blank, before))
+    rest = without_passages(docs.withColumn(blank, before))
     left = F.length(F.btrim("text", F.lit(" \t\r\n"))) > 0
     return rest.where(F.col(blank) | left).select(*docs.columns)
 

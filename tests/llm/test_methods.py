@@ -15,7 +15,7 @@ from headerwise.llm.components import components
 from headerwise.llm.decontaminate import ItemAutomaton, contamination, decontaminated, words_of
 from headerwise.llm.embeddings import similar_vectors
 from headerwise.llm.learning import FEATURES, tables
-from headerwise.llm.lines import deduplicated_lines
+from headerwise.llm.lines import deduplicated_lines, without_passages
 from headerwise.llm.minhash import (
     WordHashes,
     band_keys,
@@ -450,6 +450,50 @@ def test_lines_equal_brute_force(spark):
     assert kept < 0.75  # most of the repeated passages are gone
 
 
+def repeated_windows(texts, window=50):
+    """Words in windows of so many that came before, and all words; in plain Python."""
+    seen, hit, total = set(), 0, 0
+    for text in texts:
+        words = text.split()
+        marked = [False] * len(words)
+        for i in range(len(words) - window + 1):
+            key = tuple(words[i : i + window])
+            if key in seen:
+                marked[i : i + window] = [True] * window
+            seen.add(key)
+        hit, total = hit + sum(marked), total + len(words)
+    return hit, total
+
+
+def test_repeated_passages_go_wherever_they_stand(spark):
+    rng = random.Random(4)
+    cut = lambda n, step: " ".join(sentence(rng, step) + "." for _ in range(n // step))
+    passages = [f(n) for n in (50, 55, 70, 100, 300)
+                for f in (lambda n: sentence(rng, n), lambda n: cut(n, 5), lambda n: cut(n, 14),
+                          lambda n: cut(n, 25))]
+    texts, fresh = [], []
+    for k in range(120):
+        around = [sentence(rng, rng.randrange(1, 30)) for _ in range(3)]
+        fresh.append(around)
+        inside = [rng.choice(passages) for _ in range(2)] if k >= len(passages) else [passages[k], ""]
+        texts.append(" ".join(x for pair in zip(around, [*inside, ""], strict=True) for x in pair if x))
+    found = {r.doc_id: r.text for r in without_passages(docs_of(spark, texts)).collect()}
+    left = [found[i] for i in range(len(texts))]
+    hits, _ = repeated_windows(texts)
+    assert hits > 10_000 and repeated_windows(left)[0] < 0.01 * hits
+    # what came once stays, and so does the first of each passage
+    assert left[: len(passages)] == texts[: len(passages)]
+    assert all(x in left[k] for k, parts in enumerate(fresh) for x in parts)
+
+
+def test_short_repeats_and_scattered_pieces_stay(spark):
+    # each line came before, but no two of them side by side
+    a = ["yes it is.\n", "new one here.\n", "no thank you.\n", "other one there.\n", "good bye now.\n"]
+    texts = ["".join(a), a[0] + a[2] + a[4] + "then " + sentence(random.Random(1), 5), "yes it is.\n"]
+    found = {r.doc_id: r.text for r in without_passages(docs_of(spark, texts)).collect()}
+    assert [found[i] for i in range(3)] == texts
+
+
 # secrets
 
 
