@@ -32,7 +32,17 @@ CUT_BYTES, CUT_WORDS = 80, 5
 NEAR_WORDS = 4
 #: A piece of so many words is marked without a neighbour.
 ALONE_WORDS = 16
-_WORD = r"(?:\S+|(?=\s))\s*"
+#: So many signs of a run without white space count as a word.
+WORD_CHARS = 20
+
+_SPACE = r"\s\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, Kana, Han; and their punctuation.
+_UNSPACED = (
+    r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3001-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
+    r"\uFF01\uFF0C\uFF1F\x{20000}-\x{3FFFF}"
+)
+_WORD = rf"(?:[{_UNSPACED}]|[^{_SPACE}{_UNSPACED}]+|(?=[{_SPACE}]))[{_SPACE}]*"
+_COUNTED = rf"[{_UNSPACED}]|[^{_SPACE}{_UNSPACED}]+"
 _LINE_END = r"(?s)(?:\n|[.!?]\x20)\z"
 
 
@@ -196,7 +206,9 @@ def _joined(parts: Column, first: Column, last: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    """Runs of signs between white space; signs of scripts without spaces count singly,
+    and so does every WORD_CHARS of a longer run."""
+    return F.greatest(F.regexp_count(text, F.lit(_COUNTED)), F.floor(F.length(text) / WORD_CHARS))
 
 
 def _window(pieces: Column, k: Column, n: Column) -> Column:
@@ -297,7 +309,8 @@ def without_passages(docs: DataFrame, report: bool = False) -> DataFrame:
 
     The first occurrence is that of the smallest doc_id (null first), text fingerprint
     and place; the first occurrence of a piece never goes. White space at the ends does
-    not count. Null and empty texts, repeated
+    not count. Words are runs between white space of any kind; in scripts without spaces
+    every sign is one, and 20 signs of any long run are. Null and empty texts, repeated
     rows, ``report`` and columns are treated as in ``deduplicated_lines``; ``n_chunks``
     counts pieces.
     """

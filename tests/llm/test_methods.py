@@ -470,7 +470,7 @@ def test_repeated_passages_go_wherever_they_stand(spark):
     cut = lambda n, step: " ".join(sentence(rng, step) + "." for _ in range(n // step))
     passages = [f(n) for n in (50, 55, 70, 100, 300)
                 for f in (lambda n: sentence(rng, n), lambda n: cut(n, 5), lambda n: cut(n, 14),
-                          lambda n: cut(n, 25))]
+                          lambda n: cut(n, 25), lambda n: sentence(rng, n).replace(" ", "\n"))]
     texts, fresh = [], []
     for k in range(120):
         around = [sentence(rng, rng.randrange(1, 30)) for _ in range(3)]
@@ -486,6 +486,23 @@ def test_repeated_passages_go_wherever_they_stand(spark):
     assert all(x in left[k] for k, parts in enumerate(fresh) for x in parts)
 
 
+@pytest.mark.parametrize("passage", [
+    "\n".join(f"item{i}" for i in range(60)) + "\n",
+    "\t".join(f"cell{i}" for i in range(60)),
+    "one two three four five\nsix seven\teight nine ten eleven\n",
+    "".join(chr(0x4E00 + 37 * i) for i in range(60)),
+    "".join(chr(0x0E01 + random.Random(i).randrange(46)) for i in range(200)),
+    "\n".join("".join(chr(0x4E00 + 37 * i + j) for i in range(8)) for j in range(2)) + "\n",
+    "x" * 1200,
+    "a b c d e f g\u3000h i\nj k l m n o p\n",
+])
+def test_words_are_counted_in_any_white_space_and_script(spark, passage):
+    texts = ["first here\n" + passage, "other there\n" + passage, "third\n" + passage + "\nmore"]
+    found = {r.doc_id: r.text for r in without_passages(docs_of(spark, texts)).collect()}
+    assert found[0] == texts[0]
+    assert found[1] == "other there\n" and found[2].split() == ["third", "more"]
+
+
 def test_short_repeats_and_scattered_pieces_stay(spark):
     # each line came before, but no two of them side by side
     a = ["yes it is.\n", "new one here.\n", "no thank you.\n", "other one there.\n", "good bye now.\n"]
