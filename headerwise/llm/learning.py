@@ -31,19 +31,25 @@ _ROW = "doc_id long, grade int, features array<int>, variants array<array<int>>"
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, grade, rows: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """Rows ``(doc_id, grade, text)`` of at most ``rows`` labelled documents.
+    """At most ``rows`` rows ``(doc_id, grade, text)``, one for each labelled document.
 
-    The documents are chosen by a hash of their doc_id. Of several labels of one
-    document the lowest counts; null labels and documents without text do not.
+    The documents are chosen by a hash of their doc_id among those with a label and a
+    text. Of several labels of one document the lowest counts, of several texts the
+    smallest; null labels and documents without text do not.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade"))
     chosen = chosen.where("doc_id IS NOT NULL AND grade IS NOT NULL")
     chosen = chosen.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    texts = texts.where("text IS NOT NULL")
+    texts = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    # repeated rows collapse before the shuffle; only doc_ids are moved
+    chosen = chosen.join(texts.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most ``rows`` rows of two numbers
-    return written(texts.join(F.broadcast(chosen), "doc_id"), "labelled")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    return written(
+        found.groupBy("doc_id", "grade").agg(F.min("text").alias("text")), "labelled"
+    )
 
 
 def _counts(batches: Iterator[pa.RecordBatch], maker: Callable):

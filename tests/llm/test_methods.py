@@ -9,12 +9,14 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from headerwise.llm import decontaminate, lines
 from headerwise.llm.components import components
 from headerwise.llm.decontaminate import ItemAutomaton, contamination, decontaminated, words_of
 from headerwise.llm.embeddings import similar_vectors
 from headerwise.llm.learning import FEATURES, tables
+from headerwise.llm.learning import labelled_sample
 from headerwise.llm.lines import deduplicated_lines, without_passages
 from headerwise.llm.minhash import (
     WordHashes,
@@ -403,6 +405,23 @@ def test_codec_forgets_and_goes_on(monkeypatch):
         assert codec.decode(ids[0]) == text and same.all() and len(ids[1]) == len(ids[2]) == 0
 
 
+# learning
+
+
+def test_sample_is_bound_in_rows_and_filled_with_documents(spark):
+    rows = [(1, f"copy {i:03}") for i in range(300)] + [(i, f"text {i}") for i in range(2, 8)]
+    rows += [(8, None), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(i, i % 2) for i in range(1, 60)] + [(1, 0), (None, 1), (3, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    texts = {1: "copy 000"} | {i: f"text {i}" for i in range(2, 8)}
+    for n in (3, 7, 100):
+        found = labelled_sample(docs, labels, F.col("toxic"), n).collect()
+        assert len(found) == min(n, 7) == len({r.doc_id for r in found})
+        assert all(r.text == texts[r.doc_id] for r in found)
+        assert all(r.grade == (r.doc_id % 2 if r.doc_id > 1 else 0) for r in found)
+
+
 # lines
 
 
