@@ -112,9 +112,89 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(low, vec_id) AS component_id,
        coalesce(low, vec_id) = vec_id AS kept
 FROM v LEFT JOIN degrees d ON d.id = vec_id LEFT JOIN lowest l ON l.id = vec_id"""
 
+SEARCH = rf"""WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, {_WORDS} AS w FROM documents),
+size AS (
+  SELECT count(*) FILTER (WHERE len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM docs),
+items AS (SELECT row_number() OVER () AS i, item_id, {_WORDS} AS w FROM benchmark),
+asked AS (SELECT DISTINCT i, item_id, unnest(w) AS x FROM items),
+held AS (
+  SELECT d, doc_id, x, count(*) AS tf, 10 + (90 * any_value(m) * any_value(n)) // any_value(l) AS m
+  FROM (SELECT d, doc_id, len(w) AS m, unnest(w) AS x FROM docs), size
+  WHERE x IN (SELECT x FROM asked) GROUP BY d, doc_id, x),
+weights AS (
+  SELECT x, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM held, size GROUP BY x),
+scores AS (
+  SELECT i, item_id, d, doc_id,
+    CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN held USING (x) JOIN weights USING (x) GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS r
+  FROM scores WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 10"""
+
+REPEATS = r"""WITH words AS (
+  SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(
+    coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (
+  SELECT d, unnest(range(1, len(w) - 33)) AS i,
+    unnest(list_transform(range(1, len(w) - 33), lambda i: array_to_string(w[i : i + 34], ' '))) AS x
+  FROM words WHERE len(w) >= 35),
+again AS (SELECT x FROM windows GROUP BY x HAVING count(*) > 1),
+gone AS (
+  SELECT d, list(p) AS ps FROM (
+    SELECT DISTINCT d, unnest(range(i, i + 35)) AS p FROM windows JOIN again USING (x))
+  GROUP BY d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(ps, i), false)), ' '))
+    AS kept_sha256
+FROM words LEFT JOIN gone USING (d)"""
+
+DIVERGENCE = r"""WITH words AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_filter(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+held AS (
+  SELECT d, lang, source, x, count(*) AS n
+  FROM (SELECT d, lang, source, unnest(w) AS x FROM words) GROUP BY ALL),
+kept AS (
+  SELECT lang, x, CAST(sum(n) AS HUGEINT) AS total FROM held GROUP BY lang, x HAVING count(*) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM words),
+counts AS (
+  SELECT lang, source, x, CAST(sum(held.n) AS HUGEINT) AS c
+  FROM held JOIN kept USING (lang, x) GROUP BY ALL),
+sizes AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL),
+shares AS (
+  SELECT lang, source, x, coalesce(c, 0) AS c,
+    1 + (1000000000 * (coalesce(c, 0) + 1)) // (coalesce(s.n, 0) + v) AS p,
+    1 + (1000000000 * (total + 1)) // (l.n + v) AS q
+  FROM groups JOIN kept USING (lang) JOIN langs l USING (lang)
+    LEFT JOIN counts USING (lang, source, x) LEFT JOIN sizes s USING (lang, source)),
+terms AS (
+  SELECT lang, source, 'term' AS part, x AS item, ((p - q) * (p - q)) // q AS value
+  FROM shares WHERE c > 0 AND p > q),
+pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0) AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.x = b.x AND a.source <> b.source
+    GROUP BY ALL) s ON s.lang = g.lang AND s.source = g.source AND s.item = o.source),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r
+  FROM (SELECT * FROM terms UNION ALL SELECT * FROM pairs))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR r <= 200"""
+
 ORACLE: dict[str, str] = {
     "op2_minhash": NEAR,
     "op3_sharding": SHARDS,
     "op5_decontamination": LEAKS,
     "op7_embeddings": VECTORS,
+    "op11_ranking": SEARCH,
+    "op12_substrings": REPEATS,
+    "op13_divergence": DIVERGENCE,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from headerwise.llm.common import read_table
 from headerwise.llm.decontaminate import contamination
+from headerwise.llm.divergence import divergences
 from headerwise.llm.embeddings import similar_vectors
 from headerwise.llm.learning import tables
 from headerwise.llm.lines import line_report
@@ -15,8 +16,10 @@ from headerwise.llm.oracle import ORACLE  # noqa: F401
 from headerwise.llm.pieces import encoded
 from headerwise.llm.pii import pii_digests
 from headerwise.llm.quality import quality_scores
+from headerwise.llm.ranking import ranked_documents
 from headerwise.llm.secrets import secret_digests
 from headerwise.llm.sharding import shard_digests
+from headerwise.llm.substrings import without_repeats
 from headerwise.llm.toxicity import toxicity_scores
 
 
@@ -71,6 +74,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "benchmark")
+    return ranked_documents(read_table(spark, sf_dir, "documents"), items, depth=10)
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = without_repeats(docs, window=35)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(read_table(spark, sf_dir, "documents"), least=3, terms=200)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,5 +102,8 @@ QUERIES = {
         op8_sentencepiece,
         op9_lines,
         op10_secrets,
+        op11_ranking,
+        op12_substrings,
+        op13_divergence,
     )
 }
