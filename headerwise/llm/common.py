@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headerwise.settings import BROADCAST_BYTES
+from headerwise.sources.scratch import new_path, scratch_run
 
 #: Python words an interpreter keeps for reuse before it starts over.
 CACHE_WORDS = 400_000
@@ -31,6 +32,15 @@ def joined(left: DataFrame, right: DataFrame, on, how: str, rows: int, row_bytes
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
+def lasting(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` makes, as a written table; tables written on the way are removed."""
+    path = new_path(spark, name)
+    with scratch_run(spark):
+        rows = build()
+        rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def shipped(spark: SparkSession, value) -> Broadcast:
     """A value of bounded size for the Python workers, with its class if it is ours."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

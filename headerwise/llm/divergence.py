@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headerwise.llm.common import by_batch, column_bytes, joined, shipped, opened, text_column
+from headerwise.llm.common import by_batch, column_bytes, lasting, opened, shipped, text_column
 from headerwise.sources.scratch import measured, written
 
 #: Bytes of the prefixes at the first level; every further level doubles them.
@@ -167,8 +167,8 @@ def kept_terms(docs: DataFrame, least: int = 3) -> DataFrame:
         )
         n = F.count(F.lit(1)).alias("rows")
         enough = counts.where("done").groupBy("lang", "key").agg(F.sum("docs").alias("docs"))
-        enough, got = measured(enough.where(F.col("docs") >= least).select("lang", "key"), "enough", n)
-        terms = joined(counts.where("done"), enough, ["lang", "key"], "inner", got["rows"], 200)
+        enough = enough.where(F.col("docs") >= least).select("lang", "key")
+        terms = counts.where("done").join(enough.hint("merge"), ["lang", "key"])
         found.append(terms.select("lang", "source", F.col("key").cast("string").alias("term"), "times"))
         longer = counts.where(F.col("docs") >= least).where("NOT done").select("lang", "key", "code")
         longer, got = measured(longer, "longer", n)
@@ -179,7 +179,7 @@ def kept_terms(docs: DataFrame, least: int = 3) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return written(out, "kept")
+    return out
 
 
 def _p(times: str, n: str, v: str) -> Column:
@@ -265,7 +265,7 @@ def divergences(docs: DataFrame, least: int = 3, terms: int = 200) -> DataFrame:
     their own; a language without kept terms has pairs of value 0 and no terms. An empty
     table gives an empty result.
     """
-    kept = kept_terms(docs, least)
+    kept = lasting(docs.sparkSession, "kept", lambda: kept_terms(docs, least))
     totals = written(kept.groupBy("lang", "term").agg(F.sum("times").alias("total")), "totals")
     langs = totals.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("n_lang"))
     langs = written(langs, "langs")
