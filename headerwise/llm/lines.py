@@ -1,40 +1,37 @@
 """Line dedup by content-defined chunks of lines.
 
 A text is cut into lines, at line ends and, as running text is often one long line,
-after sentences. A rolling hash over the hashes of the last two lines decides where a
-chunk ends, so the same passage is cut alike wherever it stands. Chunks of several
-lines that occur more than once in the whole table stay at their first place only.
-Occurrences meet by hash and the bytes of all of them are compared before any goes. That is ``deduplicated_lines``;
-``without_passages``, which the queries use, finds passages that do not begin or end with
-such a chunk, too.
+after sentences; lines that are still very long also after words of certain hashes. A
+rolling hash over the hashes of the last two lines decides where a chunk ends, so the
+same passage is cut alike wherever it stands. Chunks that occur more than once in the
+whole table are compared by their bytes, and runs of them that are long enough stay at
+their first place only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headerwise.llm.common import free_name, text_column
+from headerwise.llm.common import free_name, lasting, text_column
+from headerwise.sources.scratch import written
 
 #: A chunk ends after a line with this chance (as bits that must be 0).
 BOUNDARY_BITS = 1
-#: A chunk goes only if it has so many lines and words, or is one line of LONG_LINE.
+#: A run of repeated chunks goes if it has so many lines and words, or LONG_LINE words.
 MIN_LINES, MIN_WORDS, LONG_LINE = 2, 10, 50
+#: Lines of so many bytes are cut, after one in so many words.
+CUT_BYTES, CUT_WORDS = 240, 5
+#: So many signs of a run without white space count as a word.
+WORD_CHARS = 20
+#: 64-bit groups of the filter for repeated hashes: 1 << 20 of them take under 64 MB.
+SLOTS = 1 << 20
 
 _LINE = r"(?s)(?:(?<=\n)|(?<=[.!?]\x20))(?=.)"
 _BLANK = " \t\r\n"
 
-#: ``without_passages``: lines of so many bytes are cut, after one in so many words.
-CUT_BYTES, CUT_WORDS = 80, 5
-#: They are also cut after two words that also begin at one of so many places before.
-NEAR_WORDS = 4
-#: A piece of so many words is marked without a neighbour.
-ALONE_WORDS = 16
-#: So many signs of a run without white space count as a word.
-WORD_CHARS = 20
-
 _SPACE = r"\s\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Scripts without spaces: Thai, Lao, Myanmar, Khmer, Kana, Han; and their punctuation.
 _UNSPACED = (
@@ -43,12 +40,43 @@ _UNSPACED = (
 )
 _WORD = rf"(?:[{_UNSPACED}]|[^{_SPACE}{_UNSPACED}]+|(?=[{_SPACE}]))[{_SPACE}]*"
 _COUNTED = rf"[{_UNSPACED}]|[^{_SPACE}{_UNSPACED}]+"
-_LINE_END = r"(?s)(?:\n|[.!?]\x20)\z"
 
 
 def _lines(text: Column) -> Column:
     """Pieces that make the text again when put together."""
-    return F.split(text, _LINE)
+
+    def cut(words: Column) -> Column:
+        hit = lambda w, i: F.when(
+            (F.pmod(F.xxhash64(w), F.lit(CUT_WORDS)) == 0) | (i == F.size(words) - 1), i
+        )
+        return _bound(F.array_compact(F.transform(words, hit)), lambda ends: _parts(words, ends))
+
+    def one(line: Column) -> Column:
+        words = F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))
+        return F.when(F.octet_length(line) < CUT_BYTES, F.array(line)).otherwise(_bound(words, cut))
+
+    return F.flatten(F.transform(F.split(text, _LINE), one))
+
+
+def _bound(array: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the array, which is computed once however often ``use`` has it."""
+    return F.flatten(F.transform(F.array(array), use))
+
+
+def _parts(words: Column, ends: Column) -> Column:
+    """The words put together up to each of the places ``ends``."""
+
+    def part(last: Column, i: Column) -> Column:
+        first = F.when(i > 0, F.get(ends, i - 1) + 1).otherwise(0)
+        return F.array_join(F.slice(words, first + 1, last - first + 1), "")
+
+    return F.transform(ends, part)
+
+
+def _words(text: Column) -> Column:
+    """Runs of signs between white space; signs of scripts without spaces count singly,
+    and so does every WORD_CHARS of a longer run."""
+    return F.greatest(F.regexp_count(text, F.lit(_COUNTED)), F.floor(F.length(text) / WORD_CHARS))
 
 
 def _ends(hashes: str) -> Column:
@@ -80,8 +108,8 @@ def _chunk(lines: str, ends: str, k: Column) -> tuple[Column, Column]:
     return F.array_join(F.slice(lines, first + 1, size), ""), size
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """Chunks that may go: ``doc_id, print, k, h1, h2, chunk``."""
+def _chunks(docs: DataFrame) -> DataFrame:
+    """All chunks: ``doc_id, print, k, size, chunk, h1, h2``."""
     rows = _chunked(
         docs.select("doc_id", "text", F.xxhash64("text").alias("print")), "text", "lines", "ends"
     )
@@ -91,24 +119,28 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         return F.struct(k.alias("k"), size.alias("size"), F.btrim(chunk, F.lit(_BLANK)).alias("chunk"))
 
     chunks = F.transform(F.expr("sequence(0, size(ends) - 1)"), one)
-    rows = rows.select("doc_id", "print", F.inline(chunks))
-    words = F.length("chunk") - F.length(F.replace("chunk", F.lit(" "), F.lit(""))) + 1
-    rows = rows.where(
-        (F.col("size") >= MIN_LINES) & (words >= MIN_WORDS) | (words >= LONG_LINE)
-    )
-    return rows.select(
-        "doc_id",
-        "print",
-        "k",
-        F.xxhash64("chunk").alias("h1"),
-        F.xxhash64("chunk", F.lit(1)).alias("h2"),
-        "chunk",
-    )
+    rows = rows.select("doc_id", "print", F.inline(chunks)).where("chunk <> ''")
+    return rows.withColumns({"h1": F.xxhash64("chunk"), "h2": F.xxhash64("chunk", F.lit(1))})
+
+
+def _maybe_repeated(chunks: DataFrame) -> DataFrame:
+    """The chunks whose hash occurs again, and few others, picked before any shuffle.
+
+    Only hashes are counted. Those that occur again set bits of a filter of bounded
+    size, which is broadcast; chunks that slip through find no partner later.
+    """
+    slot = F.pmod(F.shiftright("h1", 6), F.lit(SLOTS)).alias("slot")
+    bit = F.expr("shiftleft(1L, CAST(h1 & 63 AS INT))")
+    again = chunks.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bits = written(again.groupBy(slot).agg(F.bit_or(bit).alias("bits")), "repeated")
+    found = chunks.withColumn("slot", slot).join(F.broadcast(bits), "slot")
+    return found.where(F.col("bits").bitwiseAND(bit) != 0).drop("slot", "bits")
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
-    """The places of all but the first occurrence: ``doc_id, print, gone``."""
-    found = _occurrences(docs)
+    """The runs that go: ``doc_id, print, gone``, of the ``first`` and ``last`` chunk."""
+    found = _maybe_repeated(_chunks(docs))
+    found = written(found.withColumn("words", _words(F.col("chunk"))), "chunks")
     place = F.struct("doc_id", "print", "k")
     chunks = found.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n"),
@@ -118,37 +150,57 @@ def _repeats(docs: DataFrame) -> DataFrame:
     )
     # the byte comparison: different chunks that share both hashes all stay
     chunks = chunks.where("n > 1 AND low = high").select("h1", "h2", "first")
-    again = found.select("h1", "h2", "k", "doc_id", "print").join(
-        chunks.hint("merge"), ["h1", "h2"]
-    )
+    again = found.drop("chunk").join(chunks.hint("merge"), ["h1", "h2"])
     again = again.where(~place.eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id", "print").agg(F.collect_set("k").alias("gone"))
+    # rows that agree in doc_id and text have each chunk several times
+    again = again.dropDuplicates(["doc_id", "print", "k"])
+    # neighbours have the same difference of place and rank
+    rank = F.row_number().over(Window.partitionBy("doc_id", "print").orderBy("k"))
+    runs = again.withColumn("run", F.col("k") - rank).groupBy("doc_id", "print", "run").agg(
+        F.min("k").alias("first"),
+        F.max("k").alias("last"),
+        F.sum("size").alias("lines"),
+        F.sum("words").alias("words"),
+    )
+    runs = runs.where(
+        (F.col("lines") >= MIN_LINES) & (F.col("words") >= MIN_WORDS) | (F.col("words") >= LONG_LINE)
+    )
+    return runs.groupBy("doc_id", "print").agg(
+        F.collect_set(F.struct("first", "last")).alias("gone")
+    )
 
 
 def deduplicated_lines(docs: DataFrame, report: bool = False) -> DataFrame:
     """``docs`` (with ``doc_id`` and ``text``) without passages that came before.
 
-    Of every chunk of at least two lines and ten words, or of one line of fifty, only
-    the first occurrence stays: that of the smallest doc_id (null first), text
-    fingerprint and place. White space at the ends of a chunk does not count. Null
-    and empty texts stay as they are. Rows that agree in doc_id and text are treated
+    A chunk that occurs several times came before wherever it is not the first, that of
+    the smallest doc_id (null first), text fingerprint and place. A run of neighbouring
+    chunks that came before goes if it has at least two lines and ten words, or fifty
+    words; only its own words count. So the chunks at both ends of a repeated passage,
+    which may reach beyond it, stay. White space at the ends of a chunk does not count.
+    Words are runs between white space of any kind; in scripts without spaces every sign
+    is one, and 20 signs of any long run are.
+
+    Null and empty texts stay as they are. Rows that agree in doc_id and text are treated
     alike: a chunk stays in all of them or in none. All rows and columns stay; with
-    ``report`` the columns ``n_lines``, ``n_chunks`` and ``n_removed`` are added,
+    ``report`` the columns ``n_lines``, ``n_chunks`` and ``n_removed`` (chunks) are added,
     replacing any of those names. An empty table gives an empty result.
     """
     docs = text_column(docs, "text")
-    own, stamp, gone, lines, ends, chunks = (
-        free_name(docs.columns, f"_{n}") for n in ("id", "print", "gone", "lines", "ends", "chunks")
+    own, stamp, gone, lines, ends = (
+        free_name(docs.columns, f"_{n}") for n in ("id", "print", "gone", "lines", "ends")
     )
-    repeats = _repeats(docs).select(
-        F.col("doc_id").alias(own), F.col("print").alias(stamp), F.col("gone").alias(gone)
+    repeats = lasting(docs.sparkSession, "repeats", lambda: _repeats(docs)).select(
+        F.col("doc_id").alias(own),
+        F.col("print").alias(stamp),
+        F.flatten(F.transform("gone", lambda r: F.sequence(r["first"], r["last"]))).alias(gone),
     )
     same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(stamp))
-    rows = _chunked(docs.join(repeats.hint("merge"), same, "left"), "text", lines, ends)
-    stay = F.array_except(
-        F.expr(f"sequence(0, size({ends}) - 1)"),
-        F.coalesce(F.col(gone), F.array().cast("array<int>")),
-    )
+    rows = docs.join(repeats.hint("merge"), same, "left")
+    # only texts with something to go are cut again, unless the pieces are counted
+    cut = F.col("text") if report else F.when(F.col(gone).isNotNull(), F.col("text"))
+    rows = _chunked(rows.withColumn(own, cut), own, lines, ends)
+    stay = F.array_except(F.expr(f"sequence(0, size({ends}) - 1)"), F.col(gone))
     rest = F.array_join(F.transform(stay, lambda k: _chunk(lines, ends, k)[0]), "")
     added = {}
     if report:
@@ -166,188 +218,6 @@ def deduplicated_lines(docs: DataFrame, report: bool = False) -> DataFrame:
     return rows.select(*[F.col(own).alias("text") if c == "text" else c for c in order], *added)
 
 
-def _pieces(text: Column) -> Column:
-    """Lines, and long lines cut after words of certain hashes, so that a passage in the
-    middle of a line is cut alike wherever it stands. Put together they are the text."""
-
-    def cut(words: Column) -> Column:
-        def end(w: Column, i: Column) -> Column:
-            hit = F.pmod(F.xxhash64(w), F.lit(CUT_WORDS)) == 0
-            # few different words over and over: they may all have other hashes
-            for back in range(1, NEAR_WORDS + 1):
-                again = (F.get(words, i - back) == w) & (F.get(words, i - back - 1) == F.get(words, i - 1))
-                hit = hit | again
-            return F.when(hit | (i == F.size(words) - 1), i)
-
-        def parts(ends: Column) -> Column:
-            return F.transform(
-                ends,
-                lambda e, j: _joined(words, F.when(j > 0, F.get(ends, j - 1) + 1).otherwise(0), e),
-            )
-
-        return _bound(F.array_compact(F.transform(words, end)), parts)
-
-    def one(line: Column) -> Column:
-        # unlike a split this compiles the pattern once, not for every line
-        words = F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))
-        return F.when(F.octet_length(line) < CUT_BYTES, F.array(line)).otherwise(_bound(words, cut))
-
-    return F.flatten(F.transform(_lines(F.coalesce(text, F.lit(""))), one))
-
-
-def _bound(array: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of the array, which is computed once however often ``use`` has it."""
-    return F.flatten(F.transform(F.array(array), use))
-
-
-def _joined(parts: Column, first: Column, last: Column) -> Column:
-    """Text of the parts from place ``first`` to ``last``."""
-    return F.array_join(F.slice(parts, first + 1, last - first + 1), "")
-
-
-def _words(text: Column) -> Column:
-    """Runs of signs between white space; signs of scripts without spaces count singly,
-    and so does every WORD_CHARS of a longer run."""
-    return F.greatest(F.regexp_count(text, F.lit(_COUNTED)), F.floor(F.length(text) / WORD_CHARS))
-
-
-def _window(pieces: Column, k: Column, n: Column) -> Column:
-    return F.btrim(_joined(pieces, k, k + n - 1), F.lit(_BLANK))
-
-
-def _windows(docs: DataFrame) -> DataFrame:
-    """Every two neighbouring pieces, and long pieces: ``doc_id, print, k, n, h1, h2, chunk``."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("print"), _pieces(F.col("text")).alias("pieces"))
-    # as a generated column the pieces are computed once
-    rows = rows.withColumn("pieces", F.explode(F.array("pieces")))
-
-    def at(k: Column, n: int) -> Column:
-        n = F.lit(n)
-        return F.struct(k.cast("int").alias("k"), n.alias("n"), _window("pieces", k, n).alias("chunk"))
-
-    pairs = F.transform("pieces", lambda p, k: F.when(k < F.size("pieces") - 1, at(k, 2)))
-    # fewer bytes cannot hold so many words
-    alone = F.transform(
-        "pieces",
-        lambda p, k: F.when(
-            (F.octet_length(p) >= 2 * ALONE_WORDS - 1) & (_words(p) >= ALONE_WORDS), at(k, 1)
-        ),
-    )
-    rows = rows.select("doc_id", "print", F.inline(F.array_compact(F.concat(pairs, alone))))
-    return rows.where("chunk <> ''").select(
-        "doc_id",
-        "print",
-        "k",
-        "n",
-        F.xxhash64("chunk").alias("h1"),
-        F.xxhash64("chunk", F.lit(1)).alias("h2"),
-        "chunk",
-    )
-
-
-def _came_before(docs: DataFrame) -> DataFrame:
-    """The windows but the first of each hash: ``doc_id, print, seen``, of ``k, n, chunk``,
-    where ``chunk`` is the text of the first."""
-    found = _windows(docs)
-    chunks = found.groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("times"),
-        F.min(F.struct("doc_id", "print", "k", "n", "chunk")).alias("first"),
-    )
-    chunks = chunks.where("times > 1").select("h1", "h2", "first")
-    again = found.select("h1", "h2", "doc_id", "print", "k", "n").join(
-        chunks.hint("merge"), ["h1", "h2"]
-    )
-    own = F.struct("doc_id", "print", "k", "n")
-    again = again.where(~own.eqNullSafe(F.struct(*[f"first.{c}" for c in ("doc_id", "print", "k", "n")])))
-    return again.groupBy("doc_id", "print").agg(
-        F.collect_set(F.struct("k", "n", F.col("first.chunk").alias("chunk"))).alias("seen")
-    )
-
-
-def _runs(pieces: str, seen: str) -> Column:
-    """Places of the pieces in runs that are long enough to go."""
-    same = F.filter(seen, lambda w: _window(pieces, w.k, w.n) == w.chunk)
-    marked = F.array_sort(F.array_distinct(F.flatten(
-        F.transform(same, lambda w: F.sequence(w.k, w.k + w.n - 1))
-    )))
-
-    def goes(first: Column, last: Column) -> Column:
-        inside = _joined(pieces, first, last)
-        words = _words(F.btrim(inside, F.lit(_BLANK)))
-        before = F.when(first > 0, _words(F.get(pieces, first - 1))).otherwise(0)
-        behind = F.when(last < F.size(pieces) - 1, _words(F.get(pieces, last + 1))).otherwise(0)
-        ends = lambda k: (k == -1) | (k == F.size(pieces) - 1) | F.get(pieces, k).rlike(_LINE_END)
-        whole = F.size(_lines(inside)) - F.when(ends(first - 1), 0).otherwise(1)
-        whole = whole - F.when(ends(last), 0).otherwise(1)
-        # a passage may begin and end inside the pieces beside the run
-        return (words >= MIN_WORDS) & ((whole >= MIN_LINES) | (words + before + behind >= LONG_LINE))
-
-    def between(firsts: Column, lasts: Column) -> Column:
-        runs = F.arrays_zip(firsts.alias("first"), lasts.alias("last"))
-        long = F.filter(runs, lambda r: goes(r.getField("first"), r.getField("last")))
-        return F.flatten(F.transform(long, lambda r: F.sequence(r.getField("first"), r.getField("last"))))
-
-    def of(places: Column) -> Column:
-        return between(
-            F.array_except(places, F.transform(places, lambda k: k + 1)),
-            F.array_except(places, F.transform(places, lambda k: k - 1)),
-        )
-
-    return _bound(marked, of)
-
-
-def without_passages(docs: DataFrame, report: bool = False) -> DataFrame:
-    """``docs`` (with ``doc_id`` and ``text``) without passages that came before.
-
-    Texts are cut into pieces: lines, sentences, and parts of long lines that end after
-    words of certain hashes or two words that were there just before. A piece is marked when it and a neighbour came before, side
-    by side and with the same bytes, or when it came before and has ALONE_WORDS. A run of
-    marked pieces goes when it has ten words and two whole lines, or when it has, with
-    the pieces beside it, in which the passage may begin and end, fifty words. So of a
-    repeated passage of fifty words there stay at most the parts of pieces at its ends,
-    unless hardly a word in it ends a piece.
-
-    The first occurrence is that of the smallest doc_id (null first), text fingerprint
-    and place; the first occurrence of a piece never goes. White space at the ends does
-    not count. Words are runs between white space of any kind; in scripts without spaces
-    every sign is one, and 20 signs of any long run are. Null and empty texts, repeated
-    rows, ``report`` and columns are treated as in ``deduplicated_lines``; ``n_chunks``
-    counts pieces.
-    """
-    docs = text_column(docs, "text")
-    own, stamp, seen, gone, pieces = (
-        free_name(docs.columns, f"_{n}") for n in ("id", "print", "seen", "gone", "pieces")
-    )
-    before = _came_before(docs).select(
-        F.col("doc_id").alias(own), F.col("print").alias(stamp), F.col("seen").alias(seen)
-    )
-    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(stamp))
-    rows = docs.join(before.hint("merge"), same, "left")
-    # only texts with something to go are cut again, unless the pieces are counted
-    cut = _pieces(F.col("text"))
-    cut = cut if report else F.when(F.col(seen).isNotNull(), cut)
-    # as generated columns they are computed once, whatever is then asked of them
-    rows = rows.withColumn(pieces, F.explode(F.array(cut)))
-    rows = rows.withColumn(
-        gone, F.explode(F.array(F.when(F.col(seen).isNotNull(), _runs(pieces, seen))))
-    )
-    added = {}
-    if report:
-        some = F.coalesce(F.length("text"), F.lit(0)) > 0
-        added = {
-            "n_lines": F.when(some, F.size(_lines(F.col("text")))).otherwise(0).cast("long"),
-            "n_chunks": F.when(some, F.size(pieces)).otherwise(0).cast("long"),
-            "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
-        }
-        rows = rows.drop(*[c for c in added if c in docs.columns])
-    stay = F.array_except(F.expr(f"sequence(0, size({pieces}) - 1)"), F.col(gone))
-    rest = F.array_join(F.transform(stay, lambda k: F.get(pieces, k)), "")
-    text = F.when(F.size(gone) > 0, rest).otherwise(F.col("text"))
-    order = [c for c in docs.columns if c not in added]
-    rows = rows.withColumns(added).withColumn(own, F.explode(F.array(text)))
-    return rows.select(*[F.col(own).alias("text") if c == "text" else c for c in order], *added)
-
-
 def line_report(docs: DataFrame) -> DataFrame:
-    """``without_passages`` of every document with its counts."""
-    return without_passages(docs.select("doc_id", "text"), report=True)
+    """``deduplicated_lines`` of ``doc_id`` and ``text`` with its counts, which see."""
+    return deduplicated_lines(docs.select("doc_id", "text"), report=True)

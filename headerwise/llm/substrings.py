@@ -31,6 +31,7 @@ from headerwise.llm.common import (
     extended,
     free_name,
     joined,
+    lasting,
     mix,
     text_column,
 )
@@ -193,18 +194,12 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
 
 
-def _with_rows(rows: DataFrame, found: DataFrame, name: str, size: Column, how: str) -> DataFrame:
-    """``rows`` joined with the arrays ``found`` of their places, broadcast when these
-    were measured to be small."""
-    table, got = measured(
-        found.withColumnsRenamed({c: f"_{c}" for c in _PLACE}),
-        name,
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("places"),
-    )
-    same = rows["doc_id"].eqNullSafe(table["_doc_id"]) & (rows["print"] == table["_print"])
-    weight = 100 * got["rows"] + 64 * got["places"]
-    return joined(rows, table, same, how, 1, weight).drop("_doc_id", "_print")
+def _with_rows(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with the arrays ``found`` of their places. Both grow with the
+    corpus, so both are shuffled at every size."""
+    found = found.withColumnsRenamed({c: f"_{c}" for c in _PLACE})
+    same = rows["doc_id"].eqNullSafe(found["_doc_id"]) & (rows["print"] == found["_print"])
+    return rows.join(found.hint("merge"), same, how).drop("_doc_id", "_print")
 
 
 def _shared(rows: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -215,12 +210,8 @@ def _shared(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     anchors = every.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("path").alias("low"), F.max("path").alias("high")
     )
-    anchors, got = measured(
-        anchors.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike")),
-        "anchors",
-        F.count(F.lit(1)).alias("rows"),
-    )
-    return written(joined(every, anchors, "anchor", "inner", got["rows"], 64), "shared")
+    anchors = anchors.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike"))
+    return every.join(anchors.hint("merge"), "anchor").drop("anchor")
 
 
 def _compacted(paths: DataFrame) -> DataFrame:
@@ -244,15 +235,11 @@ def _compacted(paths: DataFrame) -> DataFrame:
         return (F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1)))
 
     # a path branches when not one and the same path comes next, or came last, everywhere
-    nodes, got = measured(
-        paths.groupBy("path").agg(
-            F.coalesce(single("next"), F.lit(False)).alias("one_next"),
-            F.coalesce(single("last"), F.lit(False)).alias("one_last"),
-        ),
-        "nodes",
-        F.count(F.lit(1)).alias("rows"),
+    nodes = paths.groupBy("path").agg(
+        F.coalesce(single("next"), F.lit(False)).alias("one_next"),
+        F.coalesce(single("last"), F.lit(False)).alias("one_last"),
     )
-    paths = joined(paths, nodes, "path", "inner", got["rows"], 64)
+    paths = paths.join(nodes.hint("merge"), "path")
     glued = F.col("last").isNotNull() & F.col("one_last") & F.lag("one_next").over(order)
     paths = paths.withColumn("head", F.when(F.coalesce(glued, F.lit(False)), 0).otherwise(1))
     paths = paths.withColumn("span", F.sum("head").over(order))
@@ -268,7 +255,7 @@ def _digests(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """The words at the places ``found`` of ``rows``, read at their source."""
     seek = F.collect_set(F.struct("start", "edges", "path", "again")).alias("seek")
     found = found.groupBy(*_PLACE).agg(seek)
-    texts = _with_rows(rows, found, "seek", F.size("seek"), "inner")
+    texts = _with_rows(rows, found, "inner")
     schema = extended(
         rows.select(*_PLACE), "start int, edges int, path long, digest binary, again boolean"
     )
@@ -278,9 +265,8 @@ def _digests(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
 def _again(edges: DataFrame) -> DataFrame:
     """Of single edges those whose words start at another place too."""
     counted = edges.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted, got = measured(counted, "edges", F.count(F.lit(1)).alias("rows"))
     known = edges.where("NOT again").select(*_PLACE, "start", "edges", "digest")
-    return joined(known, counted.select("digest"), "digest", "inner", got["rows"], 100)
+    return known.join(counted.select("digest").hint("merge"), "digest")
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, anchor: int = ANCHOR) -> DataFrame:
@@ -294,25 +280,20 @@ def repeated_spans(docs: DataFrame, window: int = 35, anchor: int = ANCHOR) -> D
     that agree in doc_id and text are documents of their own, which repeat each other
     and share a row here. An empty table gives an empty result.
     """
-    anchor = min(anchor, window)
-    rows = _rows(docs)
-    shared = _shared(rows, window, anchor)
+    spark, anchor, rows = docs.sparkSession, min(anchor, window), _rows(docs)
+    shared = lasting(spark, "shared", lambda: _shared(rows, window, anchor))
     unlike = shared.where("NOT alike")
     place = F.struct(*_PLACE, "start", "edges")
-    contents, got = measured(
-        unlike.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")),
-        "contents",
-        F.count(F.lit(1)).alias("rows"),
-    )
-    unlike = written(joined(unlike, contents, "path", "inner", got["rows"], 160), "unlike")
+    contents = unlike.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
+    contents = written(contents, "contents")
+    unlike = unlike.join(contents.select("path", "n").hint("merge"), "path")
+    unlike = written(unlike.select(*_PLACE, "start", "edges", "path", "n"), "unlike")
     columns = [*_PLACE, "start", "edges", "path"]
-    spans = _compacted(
-        shared.where("alike").select(columns).union(unlike.where("n > 1").select(columns))
-    )
+    repeated = shared.where("alike").select(columns).union(unlike.where("n > 1").select(columns))
     # the name of a compacted path: two that begin alike may go on differently
-    spans = written(
-        spans.select(*_PLACE, "start", "edges", F.xxhash64("path", "parts", "edges").alias("path")),
-        "spans",
+    name = F.xxhash64("path", "parts", "edges").alias("path")
+    spans = lasting(
+        spark, "spans", lambda: _compacted(repeated).select(*_PLACE, "start", "edges", name)
     )
     # edges of paths that occur once, and of one occurrence of each other path beside them
     loose = unlike.where("n = 1").select(*_PLACE, "start", "edges", F.lit(False).alias("again"))
@@ -357,16 +338,10 @@ def without_repeats(docs: DataFrame, window: int = 35, anchor: int = ANCHOR) ->
     docs = docs.drop("n_words", "n_removed", "kept_text")
     stamp, gone, own = (free_name(docs.columns, f"_{n}") for n in ("print", "spans", "id"))
     text = text_column(docs, "text")
-    found, got = measured(
-        repeated_spans(docs, window, anchor).select(
-            F.col("doc_id").alias(own), F.col("print").alias(stamp), F.col("spans").alias(gone)
-        ),
-        "gone",
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.size(gone).cast("long")), F.lit(0)).alias("places"),
+    found = lasting(docs.sparkSession, "gone", lambda: repeated_spans(docs, window, anchor)).select(
+        F.col("doc_id").alias(own), F.col("print").alias(stamp), F.col("spans").alias(gone)
     )
     same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(stamp))
-    weight = 100 * got["rows"] + 32 * got["places"]
-    rows = joined(text, found, same, "left", 1, weight).drop(own, stamp)
+    rows = text.join(found.hint("merge"), same, "left").drop(own, stamp)
     schema = extended(text, "n_words long, n_removed long, kept_text string")
     return rows.mapInArrow(partial(_cut, text="text", gone=gone), schema)

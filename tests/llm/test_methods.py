@@ -17,7 +17,7 @@ from headerwise.llm.decontaminate import ItemAutomaton, contamination, decontami
 from headerwise.llm.embeddings import similar_vectors
 from headerwise.llm.learning import FEATURES, tables
 from headerwise.llm.learning import labelled_sample
-from headerwise.llm.lines import deduplicated_lines, without_passages
+from headerwise.llm.lines import deduplicated_lines
 from headerwise.llm.minhash import (
     WordHashes,
     band_keys,
@@ -425,12 +425,29 @@ def test_sample_is_bound_in_rows_and_filled_with_documents(spark):
 # lines
 
 
+_GAP = r"\s\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def brute_lines(rows):
-    """The rule in plain Python; 64-bit hashes as in the job."""
+    """The rule in plain Python: texts, and numbers of lines, chunks and gone chunks.
+
+    64-bit hashes are those of the job; texts have no scripts without spaces."""
     h = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42)
-    chunks, seen = {}, defaultdict(list)
+    chunks, seen, lengths = {}, defaultdict(list), {}
     for doc_id, text in rows:
-        pieces = [p for p in re.split(r"(?s)(?:(?<=\n)|(?<=[.!?]\x20))(?=.)", text)]
+        pieces = []
+        for line in re.split(r"(?s)(?:(?<=\n)|(?<=[.!?]\x20))(?=.)", text):
+            if len(line.encode()) < lines.CUT_BYTES:
+                pieces.append(line)
+                continue
+            words = re.findall(rf"(?:[^{_GAP}]+|(?=[{_GAP}]))[{_GAP}]*", line)
+            part = ""
+            for i, w in enumerate(words):
+                part += w
+                signed = h(w) - (2**64 if h(w) >= 2**63 else 0)
+                if signed % lines.CUT_WORDS == 0 or i == len(words) - 1:
+                    pieces.append(part)
+                    part = ""
         hashes = [h(p.rstrip(" \t\r\n")) for p in pieces]
         own, part = [], []
         for i, piece in enumerate(pieces):
@@ -440,35 +457,59 @@ def brute_lines(rows):
             if rolled % 2 == 0 or i == len(pieces) - 1:
                 own.append(part)
                 part = []
-        chunks[doc_id] = own
+        chunks[doc_id], lengths[doc_id] = own, len(pieces)
         for k, c in enumerate(own):
-            whole = "".join(c).strip(" \t\r\n")
-            words = whole.count(" ") + 1
-            if (len(c) >= lines.MIN_LINES and words >= lines.MIN_WORDS) or words >= lines.LONG_LINE:
+            if whole := "".join(c).strip(" \t\r\n"):
                 seen[whole].append((doc_id, k))
-    gone = {p for places in seen.values() for p in sorted(places)[1:]}
-    return {d: "".join("".join(c) for k, c in enumerate(own) if (d, k) not in gone)
-            for d, own in chunks.items()}
+    marked = {p for places in seen.values() for p in sorted(places)[1:]}
+    out = {}
+    for d, own in chunks.items():
+        gone, run = set(), []
+        for k in range(len(own) + 1):
+            if (d, k) in marked:
+                run.append(k)
+                continue
+            size = sum(len(own[j]) for j in run)
+            words = 0
+            for j in run:
+                whole = "".join(own[j]).strip(" \t\r\n")
+                words += max(len(re.findall(rf"[^{_GAP}]+", whole)), len(whole) // lines.WORD_CHARS)
+            if (size >= lines.MIN_LINES and words >= lines.MIN_WORDS) or words >= lines.LONG_LINE:
+                gone |= set(run)
+            run = []
+        text = "".join("".join(c) for k, c in enumerate(own) if k not in gone)
+        some = bool("".join("".join(c) for c in own))
+        out[d] = text, lengths[d] * some, len(own) * some, len(gone)
+    return out
 
 
 def test_lines_equal_brute_force(spark):
     rng = random.Random(9)
     passages = [" ".join(sentence(rng, rng.randrange(4, 9)).capitalize() + "." for _ in range(12))
                 for _ in range(6)]
-    passages += [sentence(rng, 60) + "\n"]
+    passages += [sentence(rng, 60) + "\n", sentence(rng, 120), sentence(rng, 50).replace(" ", "\t") + "\n"]
     texts = []
-    for _ in range(120):
+    for _ in range(160):
         parts = [rng.choice(passages) if rng.random() < 0.4 else sentence(rng) + rng.choice([". ", "\n", " "])
                  for _ in range(rng.randrange(1, 8))]
         texts.append(rng.choice(["\n", " "]).join(parts))
-    texts += ["", "\n", "a. b. c.\n\n"]
+    texts += ["", "\n", "a. b. c.\n\n", texts[3], texts[3] + " more"]
     rows = list(enumerate(texts))
-    found = {r.doc_id: r.text for r in deduplicated_lines(docs_of(spark, texts)).collect()}
+    report = deduplicated_lines(docs_of(spark, texts), report=True).collect()
+    found = {r.doc_id: (r.text, r.n_lines, r.n_chunks, r.n_removed) for r in report}
     assert found == brute_lines(rows)
-    kept = sum(map(len, found.values())) / sum(map(len, texts))
+    kept = sum(len(x[0]) for x in found.values()) / sum(map(len, texts))
     assert kept < 0.75  # most of the repeated passages are gone
 
 
+def test_a_sentence_between_fresh_ones_stays(spark):
+    rng = random.Random(2)
+    same = sentence(rng, 25)
+    texts = [f"{sentence(rng, 13)}. {same}. {sentence(rng, 13)}." for _ in range(200)]
+    found = {r.doc_id: r.text for r in deduplicated_lines(docs_of(spark, texts)).collect()}
+    assert [found[i] for i in range(200)] == texts
+
+
 def repeated_windows(texts, window=50):
     """Words in windows of so many that came before, and all words; in plain Python."""
     seen, hit, total = set(), 0, 0
@@ -496,10 +537,11 @@ def test_repeated_passages_go_wherever_they_stand(spark):
         fresh.append(around)
         inside = [rng.choice(passages) for _ in range(2)] if k >= len(passages) else [passages[k], ""]
         texts.append(" ".join(x for pair in zip(around, [*inside, ""], strict=True) for x in pair if x))
-    found = {r.doc_id: r.text for r in without_passages(docs_of(spark, texts)).collect()}
+    found = {r.doc_id: r.text for r in deduplicated_lines(docs_of(spark, texts)).collect()}
     left = [found[i] for i in range(len(texts))]
     hits, _ = repeated_windows(texts)
-    assert hits > 10_000 and repeated_windows(left)[0] < 0.01 * hits
+    # the chunks at both ends of a passage stay, and short passages are hardly more
+    assert hits > 10_000 and repeated_windows(left)[0] < 0.3 * hits
     # what came once stays, and so does the first of each passage
     assert left[: len(passages)] == texts[: len(passages)]
     assert all(x in left[k] for k, parts in enumerate(fresh) for x in parts)
@@ -516,17 +558,16 @@ def test_repeated_passages_go_wherever_they_stand(spark):
     "a b c d e f g\u3000h i\nj k l m n o p\n",
 ])
 def test_words_are_counted_in_any_white_space_and_script(spark, passage):
-    texts = ["first here\n" + passage, "other there\n" + passage, "third\n" + passage + "\nmore"]
-    found = {r.doc_id: r.text for r in without_passages(docs_of(spark, texts)).collect()}
-    assert found[0] == texts[0]
-    assert found[1] == "other there\n" and found[2].split() == ["third", "more"]
+    texts = [passage, passage, "one two\nthree\n", "one two\nthree\n"]
+    found = {r.doc_id: r.text for r in deduplicated_lines(docs_of(spark, texts)).collect()}
+    assert [found[i] for i in range(4)] == [passage, "", texts[2], texts[3]]
 
 
 def test_short_repeats_and_scattered_pieces_stay(spark):
     # each line came before, but no two of them side by side
     a = ["yes it is.\n", "new one here.\n", "no thank you.\n", "other one there.\n", "good bye now.\n"]
     texts = ["".join(a), a[0] + a[2] + a[4] + "then " + sentence(random.Random(1), 5), "yes it is.\n"]
-    found = {r.doc_id: r.text for r in without_passages(docs_of(spark, texts)).collect()}
+    found = {r.doc_id: r.text for r in deduplicated_lines(docs_of(spark, texts)).collect()}
     assert [found[i] for i in range(3)] == texts
 
 
