@@ -49,13 +49,21 @@ def index_day(name: str) -> dt.date:
         raise ValueError(f"not a daily index name or a pattern: {name!r}") from None
 
 
+def _pattern(name: str) -> str:
+    return "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in name)
+
+
 def _matches(name: str, date: Column) -> Column:
     if has_wildcard(name):
-        pattern = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in name)
-        return index_name(date).rlike(f"^{pattern}$")
+        return index_name(date).rlike(f"^{_pattern(name)}$")
     return date == F.lit(index_day(name))
 
 
+def matches_day(name: str, day: dt.date) -> bool:
+    """Whether a pattern stands for the index of this day."""
+    return re.fullmatch(_pattern(name), INDEX_PREFIX + day.strftime("%Y.%m.%d")) is not None
+
+
 def in_index(index: str | Sequence[str], date: Column) -> Column:
     """Predicate on the date column: exact names, patterns, or several of both.
 

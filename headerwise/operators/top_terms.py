@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COUNT = "count"
+#: A column of this name says how many rows of the log a row stands for.
+WEIGHT = "_rows"
 _SALTS = 64
 
 
 def term_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows per combination of values; NULL is a value of its own."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias(COUNT))
+    count = F.sum(WEIGHT) if WEIGHT in rows.columns else F.count(F.lit(1))
+    return rows.groupBy(*by).agg(count.alias(COUNT))
 
 
 def top_terms(rows: DataFrame, column: str, size: int, min_count: int) -> DataFrame:

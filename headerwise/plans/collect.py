@@ -15,6 +15,7 @@ from headerwise.functions.index_names import (
     in_index,
     index_name,
 )
+from headerwise.operators.heavy_hitters import frequent_counts, frequent_hashes
 from headerwise.operators.joins import measured_join
 from headerwise.operators.members import member_counts
 from headerwise.operators.top_terms import (
@@ -25,6 +26,7 @@ from headerwise.operators.top_terms import (
     top_terms,
 )
 from headerwise.plans.options import DEFAULTS, Options, Scope, resolve_options
+from headerwise.plans.rollups import rolled_log
 from headerwise.schemas import REQUEST_KEYS, URL_KEYS
 from headerwise.sources.access_log import check_index, read_access_log
 from headerwise.sources.request_files import domain_names, write_by_domain
@@ -68,14 +70,43 @@ def _in_scope(logs: DataFrame, scope: Scope, methods: Sequence[str] | None) -> D
     return logs
 
 
-def _top_urls(
-    logs: DataFrame, scope: Scope, methods: Sequence[str] | None, ranks: bool
+def _scope_counts(
+    logs: DataFrame, scope: Scope, methods: Sequence[str] | None, by: Sequence[str]
 ) -> DataFrame:
     rows = _in_scope(logs, scope, methods)
     if scope.size is None:
-        counts = term_counts(rows, URL_KEYS)
+        return term_counts(rows, by)
+    return member_counts(rows, by, scope.size, ["domain"])
+
+
+def _hashed_counts(
+    logs: DataFrame, scope: Scope, methods: Sequence[str] | None
+) -> DataFrame:
+    """Counts of the URLs that can reach the least minimum of all domains; the others
+    count under NULL, for the levels above."""
+    rows = _in_scope(logs, scope, methods)
+    if scope.size is not None:
+        if not scope.size.fits_broadcast():
+            return _scope_counts(logs, scope, methods, URL_KEYS)
+        rows = measured_join(rows, scope.options.select("domain"), "domain", "left_semi", True)
+    least = scope.options.agg(F.min("min_count")).first()[0] or 1
+    frequent = frequent_hashes(rows, URL_KEYS, least)
+    if not frequent.number_fits_broadcast():
+        return _scope_counts(logs, scope, methods, URL_KEYS)
+    return frequent_counts(rows, URL_KEYS[:-1], URL_KEYS[-1], frequent)
+
+
+def _top_urls(
+    logs: DataFrame,
+    scope: Scope,
+    methods: Sequence[str] | None,
+    ranks: bool,
+    hashed: bool = False,
+) -> DataFrame:
+    if hashed:
+        counts = _hashed_counts(logs, scope, methods)
     else:
-        counts = member_counts(rows, URL_KEYS, scope.size, ["domain"])
+        counts = _scope_counts(logs, scope, methods, URL_KEYS)
     return nested_top_terms(
         scope.attach(counts, ["min_count", "top_urls"]),
         ["domain"],
@@ -94,13 +125,26 @@ def top_urls(
     options: DataFrame,
     methods: Sequence[str] | None = None,
     ranks: bool = False,
+    hashed: bool = False,
 ) -> DataFrame:
     """The most frequent (method, port, request) of each domain in ``options``.
 
     Any method can appear unless ``methods`` names the wanted ones. ``ranks`` adds
     the positions that give the report order: methods, then ports, then requests.
+
+    ``hashed`` reads the log twice: the first time only 64-bit hashes of the URLs are
+    shuffled and counted, at once; the second time only URLs whose hash reaches the
+    least minimum. The result is the same. It pays where most URLs are long and rare.
+    While the frequent hashes do not fit a broadcast, all URLs are counted after all.
     """
-    return _top_urls(logs, Scope.of(options), methods, ranks)
+    return _top_urls(logs, Scope.of(options), methods, ranks, hashed)
+
+
+def domain_counts(
+    logs: DataFrame, domains: DataFrame, methods: Sequence[str] | None = None
+) -> DataFrame:
+    """Rows of each of the named ``domains`` that has any: ``domain, count``."""
+    return _scope_counts(logs, Scope.of(resolve_options(domains)), methods, ["domain"])
 
 
 def top_requests(
@@ -148,17 +192,24 @@ def collect(
     methods: Sequence[str] | None = None,
     defaults: Options = DEFAULTS,
     ranks: bool = False,
+    rollup: str | None = None,
 ) -> DataFrame:
     """The whole collect run: read the index, find the top requests of the domains,
     write them as JSON per domain, and return them.
 
+    With ``rollup``, the folder of a rollup of this log, only days that it lacks are
+    read from the log.
+
     An index without rows is an error before anything is written; a domain without
     rows in it gets an empty array. ``ranks`` adds the report order to the returned
     rows, not to the files.
     """
     index = index or default_index(as_of)
     check_no_wildcard(index, allow_wildcards)
-    logs = read_access_log(spark, root, index)
+    if rollup is None:
+        logs = read_access_log(spark, root, index)
+    else:
+        logs = rolled_log(spark, root, rollup, index)
     check_index(logs, index)
     names = domain_names(spark, domains)
     options = resolve_options(names, call, per_domain, defaults)

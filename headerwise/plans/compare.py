@@ -16,12 +16,13 @@ from headerwise.operators.joins import measured_join
 from headerwise.operators.members import hash_members
 from headerwise.operators.pairing import REQUEST, pair_captures, pair_compared
 from headerwise.operators.rules import RuleSet
+from headerwise.operators.rule_tables import RuleTable, label_by_table
 from headerwise.sources.request_files import read_diffs, write_diffs
 from headerwise.sources.scratch import Stored, stored, written
 
 
 def compare_captures(
-    captures: DataFrame, rules: RuleSet, request: Sequence[str] = REQUEST
+    captures: DataFrame, rules: RuleSet | RuleTable, request: Sequence[str] = REQUEST
 ) -> DataFrame:
     """``req_id``, the ``request`` columns (``domain`` at least) and ``error`` of every
     complete request; the label is ``''`` when both sides agree. Failed captures are
@@ -29,7 +30,8 @@ def compare_captures(
     the second round are shuffled.
     """
     paired = pair_compared(captures, rules.headers(), request)
-    return label_differences(paired, rules).select("req_id", *request, "error")
+    label = label_by_table if isinstance(rules, RuleTable) else label_differences
+    return label(paired, rules).select("req_id", *request, "error")
 
 
 def differing(labelled: DataFrame) -> DataFrame:
@@ -44,6 +46,11 @@ def error_histogram(labelled: DataFrame) -> DataFrame:
     return counts.where(F.when(F.col("error") != "", F.col("n")) > 0)
 
 
+def reported_ratio(summary: DataFrame) -> DataFrame:
+    """The row of ``pass_ratio`` with ``report``, the ratio with two decimals as text."""
+    return summary.withColumn("report", F.format_string("%.2f", "ratio"))
+
+
 def pass_ratio(labelled: DataFrame, threshold: float = settings.PASSED_RATIO) -> DataFrame:
     """One row ``total, diffs, ratio, failing``.
 
@@ -95,7 +102,7 @@ class Report:
 
 def compare_run(
     captures: DataFrame,
-    rules: RuleSet,
+    rules: RuleSet | RuleTable,
     out: str,
     name: str | None = None,
     threshold: float = settings.PASSED_RATIO,

@@ -48,14 +48,18 @@ _SCHEMA = T.StructType(
 def resolve_options(
     domains: DataFrame,
     call: Options = Options(),
-    per_domain: Sequence[tuple[str, Options]] = (),
+    per_domain: Sequence[tuple[str, Options]] | DataFrame = (),
     defaults: Options = DEFAULTS,
 ) -> DataFrame:
     """One row of resolved parameters per distinct domain name.
 
-    The first ``per_domain`` entry of a name counts, later ones are ignored. The
+    The first ``per_domain`` entry of a name counts, later ones are ignored. It can
+    also be a table of any size, from a file or elsewhere (``options_table``). The
     second level's minimum ``min_count_2`` is a quarter of the first, rounded up.
     """
+    if isinstance(per_domain, DataFrame):
+        own = stored(options_table(per_domain), "domain-options")
+        return _resolved(domains, call, own.table, defaults, own.fits_broadcast())
     first: dict[str, Options] = {}
     for name, options in per_domain:
         first.setdefault(name, options)
@@ -64,7 +68,36 @@ def resolve_options(
         _SCHEMA,
         [[name, *(getattr(o, n) for n in _NAMES)] for name, o in first.items()],
     )
-    joined = domains.select("domain").distinct().join(own, "domain", "left")
+    return _resolved(domains, call, own, defaults, True)
+
+
+def options_table(rows: DataFrame) -> DataFrame:
+    """Options per domain from a table ``domain, seq`` and any of the option columns.
+
+    Of several rows for a domain that with the least ``seq`` counts. Columns that are
+    lacking and null values mean "not set here". A value below 1, or a size above the
+    largest there is, is an error once the rows are read.
+    """
+    given = [n for n in _NAMES if n in rows.columns]
+    bound = {n: F.lit(None).cast("long") for n in _NAMES}
+    for name in given:
+        value = F.col(name).cast("long")
+        most = 2**63 - 1 if name == "min_count" else settings.LARGEST_TOP
+        said = F.concat(F.lit(f"{name} out of range for domain "), F.col("domain"))
+        bound[name] = F.when(
+            value.isNull() | value.between(1, most), value
+        ).otherwise(F.raise_error(said).cast("long"))
+    first = F.min(F.struct("seq", *given)).alias("first")
+    picked = rows.where(F.col("domain").isNotNull()).groupBy("domain").agg(first)
+    return picked.select("domain", "first.*").select(
+        "domain", *[bound[n].alias(n) for n in _NAMES]
+    )
+
+
+def _resolved(
+    domains: DataFrame, call: Options, own: DataFrame, defaults: Options, fits: bool
+) -> DataFrame:
+    joined = measured_join(domains.select("domain").distinct(), own, "domain", "left", fits)
     resolved = joined.select(
         "domain",
         *[

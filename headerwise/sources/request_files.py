@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
@@ -14,7 +13,7 @@ from pyspark.sql import types as T
 
 from headerwise.schemas import TOP_REQUEST
 from headerwise.sources.local import small_table
-from headerwise.sources.scratch import replace_folder
+from headerwise.sources.versions import current_version, write_version
 
 _CORRUPT = "_corrupt_record"
 _END = "end of requests"
@@ -118,10 +117,11 @@ def broken_request_files(spark: SparkSession, paths: str | Sequence[str]) -> Dat
     whole = _whole_values(spark, paths).join(
         file_forms(spark, paths).where(~F.col("lines")).hint("merge"), "file", "left_semi"
     )
-    seen = F.size(F.from_json("value", T.ArrayType(TOP_REQUEST)))
-    whole = whole.where(F.col("array").isNull()).select(
-        "file", F.greatest(F.coalesce(seen, F.lit(0)), F.lit(0)).cast("long").alias("rows")
+    # an object alone would be read as an array of one row
+    seen = F.when(
+        F.ltrim("value").startswith("["), F.size(F.from_json("value", T.ArrayType(TOP_REQUEST)))
     )
+    whole = whole.where(F.col("array").isNull()).select("file", seen.cast("long").alias("seen"))
     schema = T.StructType([*TOP_REQUEST.fields, T.StructField(_CORRUPT, T.StringType())])
     lines = _lines(spark, paths).where(F.col("value") != "[]").where(_is_row())
     row = F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT})
@@ -129,6 +129,10 @@ def broken_request_files(spark: SparkSession, paths: str | Sequence[str]) -> Dat
         F.count_if(F.col(f"row.{_CORRUPT}").isNull()).alias("rows"),
         F.count(f"row.{_CORRUPT}").alias("broken"),
     )
+    # a file of rows with one that is cut off is not one of lines; its other rows count
+    whole = whole.join(split.select("file", "rows").hint("merge"), "file", "left").select(
+        "file", F.greatest(F.lit(0), F.coalesce("seen", F.lit(0)), F.coalesce("rows", F.lit(0))).alias("rows")
+    )
     split = split.join(
         file_forms(spark, paths).where("lines").hint("merge"), "file", "left_semi"
     )
@@ -174,17 +178,17 @@ def write_diffs(
     """Write the failing rows as JSON; nothing is written (None) when there are none.
 
     Give their number as ``rows`` if it is known, or they are computed twice. Earlier
-    rows of that name are replaced once the new ones are complete, so they may be among
-    what ``diffs`` is read from.
+    rows of that name are replaced in one step once the new ones are complete, so they
+    may be among what ``diffs`` is read from; read them with ``read_diffs``.
     """
     if diffs.isEmpty() if rows is None else rows == 0:
         return None
     path = f"{folder.rstrip('/')}/{name or diff_name(as_of)}"
-    fresh = f"{path}.new-{uuid.uuid4().hex}"
-    diffs.write.json(fresh)
-    replace_folder(diffs.sparkSession, fresh, path)
+    write_version(diffs, path, lambda df, folder: df.write.json(folder))
     return path
 
 
 def read_diffs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The saved rows of a name: its current version, or all files of a plain folder."""
+    path = current_version(spark, path) or path
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -29,24 +29,16 @@ def _local_folder() -> str:
     return folder
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
-    files, at = _file_system(spark, path)
+    files, at = file_system(spark, path)
     files.delete(at, True)
 
 
-def replace_folder(spark: SparkSession, fresh: str, path: str) -> None:
-    """Put the complete folder ``fresh`` in the place of ``path``."""
-    files, at = _file_system(spark, path)
-    files.delete(at, True)
-    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), at):
-        raise OSError(f"{fresh} could not be renamed to {path}")
-
-
 @contextmanager
 def scratch_run(spark: SparkSession) -> Iterator[str]:
     """Intermediate tables of the block are removed at its end, also after an error.

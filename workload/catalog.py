@@ -19,6 +19,7 @@ from headerwise.operators.replay import (
     guarded_plan,
     shuffled,
 )
+from headerwise.operators.rule_tables import label_by_table, rules_from_table
 from headerwise.operators.rules import (
     Rule,
     RuleSet,
@@ -30,6 +31,7 @@ from headerwise.operators.rules import (
 from headerwise.operators.top_terms import missing_counts
 from headerwise.plans.collect import (
     collect,
+    domain_counts,
     domain_list,
     index_inventory,
     top_requests,
@@ -44,12 +46,14 @@ from headerwise.plans.compare import (
     pass_ratio,
 )
 from headerwise.plans.options import Options, resolve_options
+from headerwise.plans.rollups import roll_up, rolled_log
 from headerwise.schemas import URL_KEYS
 from headerwise.settings import NO_DOMAIN
 from headerwise.sources.access_log import read_access_log, select_index
 from headerwise.sources.request_files import (
     broken_request_files,
     domain_names,
+    read_diffs,
     read_requests,
     write_by_domain,
 )
@@ -78,6 +82,7 @@ def layers(rows: int) -> tuple[list[tuple[str, Options]], Options]:
 
 
 CALL = Options(top_agents=50)
+ROLLED = Options(min_count=20, top_urls=3, top_agents=3, top_referers=2)
 WIDE = Options(min_count=7, top_urls=40, top_agents=3, top_referers=2)
 
 RULES = RuleSet(
@@ -128,9 +133,8 @@ def _as_text(inventory: DataFrame) -> DataFrame:
 
 
 def _domain_group(spark: SparkSession, sf: str) -> DataFrame:
-    options = resolve_options(domain_names(spark, GROUP), Options(min_count=1))
-    found = top_urls(views.access_log(spark, sf), options, methods=["get"])
-    return found.groupBy("domain").agg(F.sum("count").alias("count"))
+    logs = views.access_log(spark, sf).where(F.col("ipport").isNotNull())
+    return domain_counts(logs, domain_names(spark, GROUP), methods=["get"])
 
 
 def _log_options(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,6 +148,24 @@ def _wide_options(spark: SparkSession, sf: str) -> DataFrame:
     return resolve_options(views.domains_of(views.wide_log(spark, sf)), WIDE)
 
 
+def _options_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same options as ``log_options_resolve``, given as a table of all domains."""
+    logs = views.access_log(spark, sf)
+    names = views.domains_of(logs).where(F.col("domain") != NO_DOMAIN)
+    n = logs.count()
+    least = lambda of_60000: F.lit(max(1, n * of_60000 // 60_000))
+    number = F.substring("domain", 2, 1)
+    first = names.select(
+        "domain",
+        F.lit(1).alias("seq"),
+        F.when(number == "0", least(250)).when(number == "1", least(270)).when(number == "2", least(265)).alias("min_count"),
+        F.when(number == "2", 5).alias("top_urls"),
+        F.when(number == "2", 1).alias("top_referers"),
+    )
+    later = first.withColumns({"seq": F.lit(2), "min_count": F.lit(1), "top_urls": F.lit(1)})
+    return resolve_options(names, CALL, later.union(first), layers(n)[1])
+
+
 def _top_urls(spark: SparkSession, sf: str) -> DataFrame:
     return top_urls(views.access_log(spark, sf), _log_options(spark, sf))
 
@@ -237,6 +259,19 @@ def _scan_partitioned(spark: SparkSession, sf: str) -> DataFrame:
     return logs.groupBy(day, "domain").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _rollup_top_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Days 1 to 4 are rolled up; of the selected days 3 to 6 only two are read raw."""
+    root, path = _stored_log(spark, sf), new_path(spark, "rollup")
+    roll_up(spark, root, path, "logstash-2024.01.*", before=dt.date(2024, 1, 5))
+    days = [f"logstash-2024.01.0{day}" for day in range(3, 7)]
+    logs = rolled_log(spark, root, path, days, level="urls")
+    return top_urls(logs, resolve_options(views.domains_of(logs), ROLLED))
+
+
+def _top_urls_hashed(spark: SparkSession, sf: str) -> DataFrame:
+    return top_urls(views.wide_log(spark, sf), _wide_options(spark, sf), hashed=True)
+
+
 def _collect_run(spark: SparkSession, sf: str) -> DataFrame:
     """The whole collect program, its domains from a file, its output read back."""
     root, out, names = _stored_log(spark, sf), new_path(spark, "top"), new_path(spark, "names")
@@ -320,6 +355,34 @@ def _labelled(rules: RuleSet) -> Query:
     return run
 
 
+def _rules_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules in a table for each of five hundred domains, of three different lists."""
+    pairs = views.header_pairs(spark, sf)
+    number = F.col("req_id") % 500
+    pairs = pairs.withColumn("domain", F.concat(F.lit("h"), number, F.lit(".example.com")))
+    def rule(seq: int, header: str, kind: str, param: str | None = None) -> str:
+        param = "CAST(NULL AS STRING)" if param is None else f"'{param}'"
+        return f"struct({seq} AS seq, '{header}' AS header, '{kind}' AS kind, {param} AS param)"
+
+    kinds = (
+        "CASE CAST(regexp_extract(domain, '[0-9]+', 0) AS INT) % 4"
+        f" WHEN 0 THEN array({rule(1, 'etag', 'suffix', '6')})"
+        f" WHEN 1 THEN array({rule(1, 'last-modified', 'time_tolerance', '3600')})"
+        f" WHEN 2 THEN array({rule(2, 'etag', 'skip')}, {rule(1, 'content-length', 'skip')}) END"
+    )
+    rules = pairs.select("domain").distinct().selectExpr("domain", f"inline({kinds})")
+    return label_by_table(pairs, rules_from_table(rules)).select("req_id", "domain", "error")
+
+
+def _compare_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs under one name: readers get the rows of the second."""
+    captures, out = views.captures(spark, sf), new_path(spark, "diffs")
+    first = compare_run(captures, SKIP_RULES, out, "saved")
+    again = compare_run(captures, RULES, out, "saved")
+    found = read_diffs(spark, again.diff_path, first.diffs.schema)
+    return found.select("req_id", "domain", "url", "error")
+
+
 def _compared(spark: SparkSession, sf: str) -> DataFrame:
     return compare_captures(views.captures(spark, sf), RULES, ["domain"])
 
@@ -358,9 +421,12 @@ QUERIES: dict[str, Query] = {
     "log_scan_partitioned": _scan_partitioned,
     "log_collect_run": _collect_run,
     "log_options_resolve": _log_options,
+    "log_options_table": _options_table,
     "log_top_urls": _top_urls,
     "log_top_urls_methods": _top_urls_methods,
     "log_top_urls_ranked": _top_urls_ranked,
+    "log_top_urls_hashed": _top_urls_hashed,
+    "log_rollup_top_urls": _rollup_top_urls,
     "log_missing_referer": _missing_referer,
     "log_top_requests": _top_requests,
     "log_top_requests_wide": _top_requests_wide,
@@ -382,6 +448,8 @@ QUERIES: dict[str, Query] = {
     "cmp_skip_rule": _labelled(SKIP_RULES),
     "cmp_first_diff": _labelled(RULES),
     "cmp_rules_rows": _labelled(rules_from_rows(RULE_ROWS)),
+    "cmp_rules_table": _rules_table,
+    "cmp_run_versions": _compare_versions,
     "cmp_custom_rule": _labelled(CUSTOM_RULES),
     "cmp_run_saved": _compare_run,
     "cmp_diffs": _diffs,

@@ -172,6 +172,12 @@ ROWS_DIFF = f"""CASE domain
   WHEN 'd2.example.com' THEN CASE {_ZERO}{_TYPE}{_LENGTH}{_WEAK}{_CACHE} ELSE '' END
   ELSE CASE {_TYPE}{_LENGTH}{_WEAK}{_MODIFIED}{_CACHE} ELSE '' END END"""
 
+TABLE_DIFF = f"""CASE req_id % 500 % 4
+  WHEN 0 THEN CASE {_SUFFIX}{_TYPE}{_LENGTH}{_MODIFIED}{_CACHE} ELSE '' END
+  WHEN 1 THEN CASE {_TIME}{_TYPE}{_LENGTH}{_WEAK}{_CACHE} ELSE '' END
+  WHEN 2 THEN CASE {_TYPE}{_MODIFIED}{_CACHE} ELSE '' END
+  ELSE CASE {_TYPE}{_LENGTH}{_WEAK}{_MODIFIED}{_CACHE} ELSE '' END END"""
+
 CUSTOM_DIFF = f"""CASE domain
   WHEN 'd3.example.com' THEN CASE {_step("etag", "etag", "length")}{_TYPE}{_LENGTH}{_MODIFIED}{_CACHE} ELSE '' END
   ELSE CASE {_TYPE}{_LENGTH}{_WEAK}{_MODIFIED}{_CACHE} ELSE '' END END"""
@@ -234,6 +240,10 @@ WHERE day IN (2, 6) GROUP BY ALL""",
     "log_collect_run": f"""{TOP_REQUESTS} SELECT * FROM top_requests
 WHERE domain IN ('d0.example.com', 'd1.example.com', 'd2.example.com')""",
     "log_options_resolve": f"""WITH {ACCESS_LOG}, {OPTIONS}
+SELECT domain, CAST(min_count AS BIGINT) AS min_count, CAST(top_urls AS BIGINT) AS top_urls,
+       CAST(top_agents AS BIGINT) AS top_agents, CAST(top_referers AS BIGINT) AS top_referers,
+       CAST(min_count_2 AS BIGINT) AS min_count_2 FROM options""",
+    "log_options_table": f"""WITH {ACCESS_LOG}, {OPTIONS}
 SELECT domain, CAST(min_count AS BIGINT) AS min_count, CAST(top_urls AS BIGINT) AS top_urls,
        CAST(top_agents AS BIGINT) AS top_agents, CAST(top_referers AS BIGINT) AS top_referers,
        CAST(min_count_2 AS BIGINT) AS min_count_2 FROM options""",
@@ -245,6 +255,10 @@ SELECT u.domain, u.method, u.ipport, u.request, u.n AS "count", CAST(m.rk AS INT
        CAST(p.rk AS INTEGER) AS ipport_rank, CAST(u.rk AS INTEGER) AS request_rank
 FROM u JOIN p ON (u.domain, u.method, u.ipport) = (p.domain, p.method, p.ipport)
        JOIN m ON (u.domain, u.method) = (m.domain, m.method)""",
+    "log_top_urls_hashed": f"WITH {WIDE_LOG}, {WIDE_OPTIONS}, {_urls()} {TOP_URLS}",
+    "log_rollup_top_urls": f"""WITH {ACCESS_LOG.replace("FROM lineitem", "FROM lineitem WHERE l_linenumber BETWEEN 3 AND 6")},
+options AS (SELECT DISTINCT domain, 20 AS min_count, 3 AS top_urls, 3 AS top_agents, 2 AS top_referers,
+         5 AS min_count_2 FROM access_log), {_urls()} {TOP_URLS}""",
     "log_missing_referer": f"""WITH {ACCESS_LOG}
 SELECT domain, method, ipport, request, agent, count(*) AS "count" FROM access_log
 WHERE referer IS NULL AND ipport IS NOT NULL GROUP BY ALL HAVING count(*) > 63""",
@@ -302,6 +316,9 @@ FROM hv SEMI JOIN complete USING (req_id)""",
     "cmp_skip_rule": f"WITH {HEADER_VALUES} SELECT req_id, domain, {SKIP_DIFF} AS error FROM hv",
     "cmp_first_diff": f"WITH {HEADER_VALUES} SELECT req_id, domain, {FIRST_DIFF} AS error FROM hv",
     "cmp_rules_rows": f"WITH {HEADER_VALUES} SELECT req_id, domain, {ROWS_DIFF} AS error FROM hv",
+    "cmp_rules_table": f"""WITH {HEADER_VALUES}
+SELECT req_id, 'h' || CAST(req_id % 500 AS VARCHAR) || '.example.com' AS domain, {TABLE_DIFF} AS error FROM hv""",
+    "cmp_run_versions": f"WITH {CAPTURES} SELECT req_id, domain, url, error FROM compared WHERE error <> ''",
     "cmp_custom_rule": f"WITH {HEADER_VALUES} SELECT req_id, domain, {CUSTOM_DIFF} AS error FROM hv",
     "cmp_run_saved": f"""WITH {CAPTURES}
 SELECT req_id, error, url, CASE WHEN req_id % 5 = 0 THEN 'HEAD' ELSE 'GET' END AS sent,
