@@ -23,13 +23,15 @@ BOUNDARY_BITS = 1
 #: A run of repeated chunks goes if it has so many lines and words, or LONG_LINE words.
 MIN_LINES, MIN_WORDS, LONG_LINE = 2, 10, 50
 #: Lines of so many bytes are cut, after one in so many words.
-CUT_BYTES, CUT_WORDS = 240, 5
+CUT_BYTES, CUT_WORDS = 480, 5
 #: So many signs of a run without white space count as a word.
 WORD_CHARS = 20
 #: 64-bit groups of the filter for repeated hashes: 1 << 20 of them take under 64 MB.
 SLOTS = 1 << 20
 
 _LINE = r"(?s)(?:(?<=\n)|(?<=[.!?]\x20))(?=.)"
+_ENDS = ("\n", ". ", "! ", "? ")
+_MARK = "\u0001"
 _BLANK = " \t\r\n"
 
 _SPACE = r"\s\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -40,6 +42,7 @@ _UNSPACED = (
 )
 _WORD = rf"(?:[{_UNSPACED}]|[^{_SPACE}{_UNSPACED}]+|(?=[{_SPACE}]))[{_SPACE}]*"
 _COUNTED = rf"[{_UNSPACED}]|[^{_SPACE}{_UNSPACED}]+"
+_SPECIAL = rf"[{_UNSPACED}\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def _lines(text: Column) -> Column:
@@ -55,7 +58,20 @@ def _lines(text: Column) -> Column:
         words = F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))
         return F.when(F.octet_length(line) < CUT_BYTES, F.array(line)).otherwise(_bound(words, cut))
 
-    return F.flatten(F.transform(F.split(text, _LINE), one))
+    def cut_long(lines: Column) -> Column:
+        long = F.exists(lines, lambda x: F.octet_length(x) >= CUT_BYTES)
+        return F.when(long, F.flatten(F.transform(lines, one))).otherwise(lines)
+
+    return _bound(_plain_lines(text), cut_long)
+
+
+def _plain_lines(text: Column) -> Column:
+    """Cut at _LINE, in texts without the mark by putting it there, which is quicker."""
+    marked = text
+    for end in _ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
+    marked = F.split(F.rtrim(marked, F.lit(_MARK)), _MARK)
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, _LINE)).otherwise(marked)
 
 
 def _bound(array: Column, use: Callable[[Column], Column]) -> Column:
@@ -76,7 +92,10 @@ def _parts(words: Column, ends: Column) -> Column:
 def _words(text: Column) -> Column:
     """Runs of signs between white space; signs of scripts without spaces count singly,
     and so does every WORD_CHARS of a longer run."""
-    return F.greatest(F.regexp_count(text, F.lit(_COUNTED)), F.floor(F.length(text) / WORD_CHARS))
+    ascii_spaces = (F.octet_length(text) == F.length(text)) | ~text.rlike(_SPECIAL)
+    words = F.when(ascii_spaces, F.regexp_count(text, F.lit(r"\S+")))
+    words = words.otherwise(F.regexp_count(text, F.lit(_COUNTED)))
+    return F.greatest(words, F.floor(F.length(text) / WORD_CHARS))
 
 
 def _ends(hashes: str) -> Column:
