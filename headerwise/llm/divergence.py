@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from headerwise.llm.common import by_batch, column_bytes, lasting, opened, shipped, text_column
 from headerwise.sources.scratch import measured, written
 
-#: Bytes of the prefixes at the first level; every further level doubles them.
-FIRST_BYTES = 4
+#: Bytes of the prefixes at the first level, and how much longer they are at each next one.
+FIRST_BYTES, LONGER = 6, 4
 #: Largest bit array of surviving prefixes, in bytes, and the bits for each of them.
 FILTER_BYTES, FILTER_BITS = 64 << 20, 16
 #: Different keys a task counts before it hands them on.
-HELD_KEYS = 500_000
+HELD_KEYS = 300_000
 #: The whole of the probabilities, in integers.
 WHOLE = 1_000_000_000
 
@@ -104,18 +104,15 @@ def _level(batches: Iterator[pa.RecordBatch], before: int, width: int, shared: B
     for batch in by_batch(batches, 200):
         columns = (column_bytes(batch, c) for c in ("lang", "source", "text"))
         for lang, source, text in zip(*columns, strict=True):
-            counts = Counter(terms_of(text))
-            terms = [t for t in counts if len(t) > before]
+            terms = terms_of(text)
             if bits is not None:
                 known = passing.get(lang)
                 if known is None:
                     known = passing[lang] = _Passing(lang, bits)
-                terms = [t for t in terms if known[t[:before]]]
+                terms = [t for t in terms if len(t) > before and known[t[:before]]]
             done = [t for t in terms if len(t) <= width]
-            held.docs[lang, source].update(done)
-            times = held.times[lang, source]
-            for t in done:
-                times[t] += counts[t]
+            held.docs[lang, source].update(set(done))
+            held.times[lang, source].update(done)
             held.prefixes[lang].update({t[:width] for t in terms if len(t) > width})
         if len(held) > HELD_KEYS:
             yield from held.batches()
@@ -153,8 +150,8 @@ def kept_terms(docs: DataFrame, least: int = 3) -> DataFrame:
     their language hold, with their occurrences in each source that has any.
 
     ``docs`` has ``lang``, ``source`` and ``text``; nulls count as empty texts, repeated
-    rows as documents of their own. Terms have no length limit: a level more is taken
-    for each doubling of the longest one. An empty table gives an empty result.
+    rows as documents of their own. Terms have no length limit: longer ones take a few
+    levels more. An empty table gives an empty result.
     """
     rows, spark = _plain(docs), docs.sparkSession
     before, width, shared, found = 0, FIRST_BYTES, None, []
@@ -175,7 +172,7 @@ def kept_terms(docs: DataFrame, least: int = 3) -> DataFrame:
         if not got["rows"]:
             break
         shared = shipped(spark, _bits(longer, got["rows"]))
-        before, width = width, 2 * width
+        before, width = width, LONGER * width
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -231,11 +228,12 @@ def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
     met = shares.join(right.hint("merge"), ["lang", "term"]).where("source < source_o")
 
     def more(p: str, q: str, b: str, c: str) -> Column:
-        return _f(p, q).cast("decimal(20,0)") - _f(p, c) - _f(b, q) + _f(b, c)
+        # each is at most 10^18; only the sums may pass 64 bits
+        return _f(p, q) - _f(p, c) - _f(b, q) + _f(b, c)
 
     met = met.groupBy("lang", "source", "source_o").agg(
-        F.sum(more("p", "p_o", "base", "base_o")).alias("x"),
-        F.sum(more("p_o", "p", "base_o", "base")).alias("y"),
+        _sum(more("p", "p_o", "base", "base_o"), "x"),
+        _sum(more("p_o", "p", "base_o", "base"), "y"),
     )
     met = met.select(
         "lang",
