@@ -1,18 +1,25 @@
 """Every operator and pipeline stage on odd rows, on no rows, and on clashing columns."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from headerwise.llm import ranking, substrings
 from headerwise.llm.decontaminate import contamination, decontaminated
+from headerwise.llm.divergence import divergences
 from headerwise.llm.embeddings import similar_vectors
 from headerwise.llm.lines import deduplicated_lines, line_report
 from headerwise.llm.minhash import near_duplicates, without_near_duplicates
 from headerwise.llm.pieces import decoded, encoded
 from headerwise.llm.pii import pii_digests, pii_spans
 from headerwise.llm.quality import of_quality, quality_scores
+from headerwise.llm.ranking import ranked_documents
 from headerwise.llm.secrets import find_secrets, secret_digests
 from headerwise.llm.sharding import interleaved_shards, shard_digests, shuffle_key
+from headerwise.llm.substrings import without_repeats
 from headerwise.llm.toxicity import toxicity_scores
 
 
@@ -36,6 +43,7 @@ OPERATORS = {
     "line_report": lambda s, d, lab: line_report(d),
     "deduplicated_lines": lambda s, d, lab: deduplicated_lines(d),
     "find_secrets": lambda s, d, lab: find_secrets(d),
+    "without_repeats": lambda s, d, lab: without_repeats(d),
     "secret_digests": lambda s, d, lab: secret_digests(d),
 }
 
@@ -103,3 +111,94 @@ def test_vectors(spark):
     assert similar_vectors(none.withColumn("n", F.lit(1))).columns == [
         "vec_id", "n_links", "component_id", "kept",
     ]
+
+
+def test_ranking_of_odd_rows(spark, odd, empty):
+    found = ranked_documents(odd, items(spark)).collect()
+    assert ranked_documents(empty, items(spark)).collect() == []
+    assert ranked_documents(odd, items(spark).where("false")).collect() == []
+    by_item = {}
+    for r in found:
+        by_item.setdefault(r.item_id, []).append((r["rank"], r.doc_id, r.score))
+    # the item of null id has the term x, and so have two rows that are answered each
+    assert len(by_item[3]) == 2 * len(by_item[None]) and 2 not in by_item
+    ranks = [r for r, _, _ in sorted(by_item[None])]
+    assert ranks == list(range(1, len(ranks) + 1)) and all(r.score > 0 for r in found)
+
+
+def test_ranking_ties_blocks_and_empty_texts(spark, monkeypatch):
+    rows = [(i, "same words here") for i in (9, 4, 7, None, 4)] + [(1, ""), (2, None), (3, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([("a", "Same!"), ("b", "other same"), ("c", "-")], "item_id string, text string")
+    best = ranked_documents(docs, asked, depth=4).collect()
+    found = {(r.item_id, r["rank"]): r.doc_id for r in best}
+    assert [found["a", k] for k in range(1, 5)] == [4, 4, 7, 9] and found["b", 1] == 3
+    monkeypatch.setattr(ranking, "BLOCK_BYTES", 1)  # each item in an index of its own
+    again = ranked_documents(docs, asked, depth=4).collect()
+    assert sorted(map(str, again)) == sorted(map(str, best))
+
+
+def test_repeats_in_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    part = " ".join(f"w{i}" for i in range(20, 55))
+    texts = [(1, long), (1, long), (None, "a " * 40), (2, f"x {part} y"), (3, "a b"), (4, "é\u00a0" * 50)]
+    found = without_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in found)
+    assert got == [
+        ("1", 60, 60, ""), ("1", 60, 60, ""), ("2", 37, 35, "x y"), ("3", 2, 0, "a b"),
+        ("4", 1, 0, "é\u00a0" * 50), ("None", 40, 40, ""),
+    ]
+
+
+@pytest.mark.parametrize(("window", "anchor"), [(3, 8), (5, 2), (12, 4)])
+def test_repeats_equal_brute_force(spark, monkeypatch, window, anchor):
+    rng = random.Random(window)
+    texts = [" ".join(rng.choices("abc", k=rng.randrange(0, 60))) for _ in range(80)]
+    texts += [" ".join(texts[k : k + 3]) for k in range(0, 30, 3)]
+
+    def expected():
+        seen = Counter(tuple(w[i : i + window]) for t in texts if (w := t.split()) for i in range(len(w) - window + 1))
+        for t in texts:
+            w, gone = t.split(), set()
+            for i in range(len(w) - window + 1):
+                if seen[tuple(w[i : i + window])] > 1:
+                    gone |= set(range(i, i + window))
+            yield len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    run = lambda: [
+        (r.n_words, r.n_removed, r.kept_text)
+        for r in without_repeats(docs, window, anchor).orderBy("doc_id").collect()
+    ]
+    assert run() == list(expected())
+
+
+def test_colliding_hashes_do_not_remove(spark, monkeypatch):
+    # paths of different words get the same name: their words are read and told apart
+    texts = [" ".join(f"{p}{i}" for i in range(30)) for p in "abcd"] + [" ".join(f"a{i}" for i in range(30))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compacted = substrings._compacted
+
+    def collide(paths):
+        return compacted(paths).withColumns({"path": F.lit(1).cast("long"), "parts": F.lit(1), "edges": F.lit(1)})
+
+    other = spark.createDataFrame([(7, "b0 b1 b2 b3 b4 b5 b6 b7 z"), (8, "c9 c10 c11 c12 c13 c14 c15")], "doc_id long, text string")
+    plain = {r.doc_id: r.n_removed for r in without_repeats(docs.union(other), 5, 3).collect()}
+    monkeypatch.setattr(substrings, "_compacted", collide)
+    found = {r.doc_id: r.n_removed for r in without_repeats(docs.union(other), 5, 3).collect()}
+    assert plain == {0: 30, 1: 8, 2: 7, 3: 0, 4: 30, 7: 8, 8: 7}
+    assert all(found[k] <= plain[k] for k in plain) and found[3] == 0
+
+
+def test_divergences_of_odd_rows(spark, odd, empty):
+    assert divergences(empty).collect() == []
+    # each language has one source, so none differs from another or from its language
+    assert divergences(odd).collect() == []
+    rows = [("en", s, t) for s, t in [("a", "one two"), ("b", "one Two"), (None, "one three"), ("", ""), ("c", None)]]
+    rows += [("fr", "a", "un"), ("fr", "b", "x" * 70_000)] + [("xx", "a", "é" * 300)] * 3
+    small = divergences(spark.createDataFrame(rows, "lang string, source string, text string")).collect()
+    items = {(r.lang, r.source, r.part, r["item"]): (r.value, r["rank"]) for r in small}
+    assert [k for k in items if k[0] == "fr"] and all(v[0] == 0 for k, v in items.items() if k[0] == "fr")
+    assert {k[3] for k in items if k[:3] == ("en", "c", "pair")} == {"", "a", "b"}
+    # of en one term is kept; a source of one language only has no excess over it
+    assert not any(k[2] == "term" and k[0] == "xx" for k in items)
