@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import partial
 
 import pyarrow as pa
@@ -55,15 +56,18 @@ PLACEHOLDERS = re.compile(
 
 _TOKEN = re.compile(
     r"""(?P<comment>(?:\#|//)[^\n]*)"""
-    r"""|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+    r"""|(?P<quote>["'])"""
     r"""|(?P<name>[A-Za-z_][\w.-]*)"""
     r"""|(?P<assign>:=|=>|=(?!=)|:(?!:))"""
     r"""|(?P<plus>\+)"""
     r"""|(?P<end>[\n;,{}])"""
     r"""|(?P<other>[^\s])"""
 )
+# what is between a quote and the next one of its kind, or the end of the line
+_INSIDE = {q: re.compile(rf"(?:[^{q}\\\n]+|\\.)*+") for q in "\"'"}
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_BARE = re.compile(r"\x20*([^\s\"',;{}]+)")
+_SPACES = re.compile(r"\x20*")
+_BARE = re.compile(r"[^\s\"',;{}]+")
 _HINT = re.compile("pass|pwd|secret|token|key|cred|auth|bearer|signature")
 
 
@@ -78,82 +82,201 @@ def sensitivity(name: str) -> float:
     return best
 
 
-def strength(value: str) -> float:
-    """How much a literal looks like a secret, from 0 to 0.5."""
-    if len(value) < MIN_LITERAL or PLACEHOLDERS.match(value) or value.count(" ") > 3:
-        return 0.0
-    n = len(value)
-    bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value),
-                           re.search("[0-9]", value), re.search("[^A-Za-z0-9]", value))))
-    return min(0.4, bits / 200) + (0.1 if kinds >= 3 else 0.05 if kinds == 2 else 0.0)
+#: Bits, spaces and characters beyond which a form's score stays the same.
+FULL_BITS, MANY_SPACES, MANY = 80, 4, 1 << 40
+_KINDS = [re.compile(k) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
+_HEAD = 16
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Name and literal spans of every assignment, with constants followed.
+@dataclass(frozen=True)
+class Form:
+    """What the score of a text depends on, of bounded size and additive: a text that is
+    put together from parts has the sum of their forms. ``counts`` of the characters are
+    kept until they have ``FULL_BITS`` bits, as more text cannot lower these."""
+
+    length: int = 0
+    head: str = ""
+    last: str = ""
+    spaces: int = 0
+    kinds: frozenset[int] = frozenset()
+    counts: dict[str, int] | None = field(default_factory=dict)
+
+    @staticmethod
+    def of(text: str) -> Form:
+        kinds = frozenset(i for i, kind in enumerate(_KINDS) if kind.search(text))
+        counts = Counter(text)
+        full = _bits(counts) >= FULL_BITS
+        return Form(
+            len(text), text[:_HEAD], text[-1:], text.count(" "), kinds, None if full else counts
+        )
+
+    def __add__(self, other: Form) -> Form:
+        counts = None
+        if self.counts is not None and other.counts is not None:
+            both = self.counts.keys() | other.counts.keys()
+            counts = {
+                c: min(MANY, self.counts.get(c, 0) + other.counts.get(c, 0)) for c in both
+            }
+            if _bits(counts) >= FULL_BITS:
+                counts = None
+        return Form(
+            min(MANY, self.length + other.length),
+            (self.head + other.head)[:_HEAD] if self.length < _HEAD else self.head,
+            other.last or self.last,
+            min(MANY_SPACES, self.spaces + other.spaces),
+            self.kinds | other.kinds,
+            counts,
+        )
+
+    def strength(self) -> float:
+        """How much the text looks like a secret, from 0 to 0.5."""
+        if self.length < MIN_LITERAL or self.spaces >= MANY_SPACES:
+            return 0.0
+        # a longer text is told from a placeholder by its ends and its set of characters
+        middle = "ab" if self.counts is None else "".join(self.counts)
+        whole = self.head if self.length <= _HEAD else self.head + middle + self.last
+        if PLACEHOLDERS.match(whole):
+            return 0.0
+        bits = FULL_BITS if self.counts is None else _bits(self.counts)
+        kinds = len(self.kinds)
+        return min(0.4, bits / 200) + (0.1 if kinds >= 3 else 0.05 if kinds == 2 else 0.0)
+
+
+def _bits(counts: dict[str, int]) -> float:
+    n = sum(counts.values())
+    return -sum(c * math.log2(c / n) for c in counts.values())
+
+
+@dataclass
+class Assignment:
+    """A target and the parts of its value in order: spans of literals, and numbers of
+    earlier assignments whose value is taken over."""
+
+    target: str
+    parts: list[tuple[int, int] | int]
+
+
+def lexed(text: str) -> list[Assignment]:
+    """Every assignment of the text, by one pass over its tokens.
 
     A value is a literal, a name assigned before, a bare configuration value, or
-    several of the first two joined by ``+``. A quoted name is a name, too.
+    several of the first two joined by ``+``. A quoted name is a name, too. A quote
+    without an end on its line is a sign like any other.
     """
-    out: list[tuple[str, list[tuple[int, int]]]] = []
-    known: dict[str, list[tuple[int, int]]] = {}
+    out: list[Assignment] = []
+    known: dict[str, int] = {}
     target = value = None
     last, at, limit = "", 0, len(text)
-    while at < limit:
+    # a quote of this kind before this place has no end: none there is looked for twice
+    endless = {"'": 0, '"': 0}
+
+    def token(at: int) -> tuple[str, int, int] | None:
         m = _TOKEN.search(text, at)
         if not m:
+            return None
+        kind, start, end = m.lastgroup, m.start(), m.end()
+        if kind == "quote":
+            sign = m.group()
+            if start < endless[sign]:
+                return "other", start, end
+            inside = _INSIDE[sign].match(text, end).end()
+            if text[inside : inside + 1] != sign:
+                endless[sign] = inside
+                return "other", start, end
+            return "string", start, inside + 1
+        return kind, start, end
+
+    def close() -> None:
+        if value:
+            known[target] = len(out)
+            out.append(Assignment(target, value))
+
+    while at < limit:
+        found = token(at)
+        if not found:
             break
-        kind, at = m.lastgroup, m.end()
+        kind, start, at = found
         if value is None:
             if kind == "name":
-                target = m.group()
+                target = text[start:at]
             elif kind == "string":
-                target = m.group()[1:-1]
+                target = text[start + 1 : at - 1]
             elif kind == "assign" and target and last in ("name", "string"):
                 value = []
-                follow = _TOKEN.search(text, at)
-                bare = _BARE.match(text, at)
-                if bare and not (follow and follow.start() == bare.start(1) and (
-                    follow.lastgroup == "string" or follow.group() in known
-                )):
-                    value.append(bare.span(1))
-                    at = bare.end()
+                follow, begin = token(at), _SPACES.match(text, at).end()
+                if not (
+                    follow
+                    and follow[1] == begin
+                    and (follow[0] == "string" or text[begin : follow[2]] in known)
+                ):
+                    bare = _BARE.match(text, begin)
+                    if bare:
+                        value.append(bare.span())
+                        at = bare.end()
             elif kind in ("end", "other", "comment"):
                 target = None
             last = kind
         elif kind == "string" and last in ("assign", "plus"):
-            value.append((m.start() + 1, m.end() - 1))
+            value.append((start + 1, at - 1))
             last = kind
-        elif kind == "name" and last in ("assign", "plus") and m.group() in known:
-            value.extend(known[m.group()])
+        elif kind == "name" and last in ("assign", "plus") and text[start:at] in known:
+            value.append(known[text[start:at]])
             last = kind
         elif kind == "plus" and last in ("string", "name"):
             last = kind
         else:
-            if value:
-                out.append((target, value))
-                known[target] = value
-            target, value, last = (m.group(), None, kind) if kind == "name" else (None, None, kind)
-    if value:
-        out.append((target, value))
+            close()
+            target, value, last = (text[start:at], None, kind) if kind == "name" else (None, None, kind)
+    close()
     return out
 
 
+def assignments(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Name and distinct literal spans of every assignment, with constants followed.
+
+    For a look at short sources: each list is spelled out, which ``literal_findings``
+    never does.
+    """
+    found = lexed(text)
+    spans: list[dict[tuple[int, int], None]] = []
+    for one in found:
+        own: dict[tuple[int, int], None] = {}
+        for part in one.parts:
+            own.update(spans[part] if isinstance(part, int) else {part: None})
+        spans.append(own)
+    return [(one.target, list(own)) for one, own in zip(found, spans, strict=True)]
+
+
 def literal_findings(text: str) -> list[tuple[int, int, float, str]]:
     """``(start, end, score, name)`` of literals that look secret and reach a
-    sensitive name; each literal once, with its best score."""
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    for name, spans in assignments(text):
-        weight = sensitivity(name)
-        if weight:
-            whole = "".join(text[a:b] for a, b in spans)
-            form = strength(whole)
-            score = weight + form
-            if form and score >= THRESHOLD:
-                for span in spans:
-                    if span[1] > span[0] and score > best.get(span, (0.0, ""))[0]:
-                        best[span] = (score, name)
-    return [(a, b, score, name) for (a, b), (score, name) in best.items()]
+    sensitive name; each literal once, with its best score and the first such name.
+
+    Time and memory are in proportion to the text: forms are added up along the
+    constants, and scores go back along them.
+    """
+    found = lexed(text)
+    forms: list[Form] = []
+    best: list[tuple[float, int]] = []
+    for i, one in enumerate(found):
+        form = Form()
+        for part in one.parts:
+            form = form + (forms[part] if isinstance(part, int) else Form.of(text[slice(*part)]))
+        forms.append(form)
+        weight, strength = sensitivity(one.target), form.strength()
+        score = weight + strength if weight and strength else 0.0
+        best.append((score, -i) if score >= THRESHOLD else (0.0, 0))
+    out = []
+    # whatever takes a value over comes after it
+    for i in range(len(found) - 1, -1, -1):
+        score, by = best[i]
+        if not score:
+            continue
+        for part in found[i].parts:
+            if isinstance(part, int):
+                best[part] = max(best[part], best[i])
+            elif part[1] > part[0]:
+                out.append((*part, score, found[-by].target))
+    return out
 
 
 def secret_spans(text: str | None) -> list[tuple[int, str, int, float, str]]:
@@ -201,7 +324,8 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
     Positions are code points from 0, the end is exclusive. ``assign``, ``access`` and
     ``hex`` are patterns; ``literal`` is a value that an assignment, directly or
     through constants, gives to a sensitively named target. A null or empty text has
-    none. A column called ``out`` is replaced, all other columns and all rows stay.
+    none. A column called ``out`` is replaced, all other columns and all rows stay,
+    repeated ones too. An empty table gives an empty result.
     """
     docs = text_column(docs.drop(out), text)
     schema = extended(docs, f"{out} {_SPANS}")
