@@ -151,11 +151,44 @@ KINDS = [
 ]
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sums(numbers: Column, first: Column) -> Column:
+    """``first``, and then the sum with each further number."""
+    add = lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x))
+    return F.aggregate(numbers, F.array(first), add)
+
+
+def running_sum(numbers: Column) -> Column:
+    """The sum up to each number of an array that is not empty.
+
+    An array cannot grow in place, so sums are made for blocks of about the cube root
+    of its length, and for the totals of the blocks.
+    """
+
+    def over(values: Column) -> Column:
+        step = F.ceil(F.cbrt(F.size(values))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(values), step)
+        blocks = F.transform(starts, lambda at: F.slice(values, at, step))
+        return _bound(blocks, joined_up)
+
+    def joined_up(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
+        before = F.slice(_sums(totals, F.lit(0)), F.lit(1), F.size(blocks))
+        inside = lambda b, at: F.slice(_sums(b, at), F.lit(2), F.size(b))
+        return F.flatten(F.zip_with(blocks, before, inside))
+
+    return _bound(numbers, over)
+
+
 def _spans(pieces: str, kind: Kind, rank: int) -> Column:
     """Confirmed spans from the pieces of a text: matches are at odd places."""
     none = F.array().cast(f"array<{_SPAN}>")
 
-    def add(state: Column, i: Column) -> Column:
+    def span(end: Column, i: Column) -> Column:
         lead, match = F.get(pieces, i - 1), F.get(pieces, i)
         near = F.concat_ws(
             " ", F.right(lead, F.lit(BEFORE)), F.left(F.get(pieces, i + 1), F.lit(AFTER))
@@ -164,23 +197,19 @@ def _spans(pieces: str, kind: Kind, rank: int) -> Column:
             F.lower(near).rlike(kind.context), F.lit(CONTEXT_BONUS)
         ).otherwise(F.lit(0.0))
         score = F.least(score, F.lit(1.0))
-        start = state.at + F.length(lead)
-        end = start + F.length(match)
-        span = F.struct(
-            start.cast("int").alias("start"),
+        found = F.struct(
+            (end - F.length(match)).cast("int").alias("start"),
             F.lit(rank).alias("rank"),
             end.cast("int").alias("end"),
             F.lit(kind.name).alias("kind"),
             score.alias("score"),
         )
         keep = kind.valid(match) if kind.always else kind.valid(match) & (score >= THRESHOLD)
-        found = F.when(keep, F.concat(state.found, F.array(span))).otherwise(state.found)
-        return F.struct(end.cast("int").alias("at"), found.alias("found"))
+        return F.when((i % 2 == 1) & (i < F.size(pieces) - 1) & keep, found)
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    odd = F.expr(f"sequence(1, size({pieces}) - 2, 2)")
-    total = F.aggregate(odd, start, add, lambda state: state.found)
-    return F.when(F.size(pieces) >= 3, total).otherwise(none)
+    ends = running_sum(F.transform(pieces, lambda piece: F.length(piece)))
+    found = F.filter(F.transform(ends, span), lambda s: s.isNotNull())
+    return F.when(F.size(pieces) >= 3, found).otherwise(none)
 
 
 def pii_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
@@ -192,7 +221,7 @@ def pii_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFram
     ``phone`` are always reported, ``iban`` (modulo 97), ``ssn`` and ``local_phone``
     when pattern, validator and context words nearby give a score of 0.5. A null or
     empty text has no spans. A column called ``out`` is replaced; all other columns
-    and all rows stay.
+    and all rows stay, repeated ones too. An empty table gives an empty result.
     """
     docs = text_column(docs.drop(out), text)
     clean, *parts = (free_name(docs.columns, f"_{n}") for n in ("clean", *(k.name for k in KINDS)))

@@ -1,8 +1,10 @@
 """Operators against brute force, exact round trips and held-out accuracy on small tables."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -34,9 +36,17 @@ from headerwise.llm.pieces import (
     load_model,
     parse_model,
 )
-from headerwise.llm.pii import pii_digests
+from headerwise.llm.pii import pii_digests, running_sum
 from headerwise.llm.quality import OrdinalModel, fit_ordinal, quality_scores
-from headerwise.llm.secrets import assignments, literal_findings, secret_digests, secret_spans
+from headerwise.llm.secrets import (
+    PLACEHOLDERS,
+    assignments,
+    lexed,
+    literal_findings,
+    secret_digests,
+    secret_spans,
+    sensitivity,
+)
 from headerwise.llm.sharding import interleaved_shards, shuffle_key, write_shards
 from headerwise.llm.toxicity import ToxicityFeatures, fit_toxic, toxicity_scores
 from tests.llm.conftest import odd_texts, sentence
@@ -614,3 +624,63 @@ def test_assignments_follow_constants():
     ]:
         assert bool(literal_findings(text)) is hit, text
     assert [k for _, k, *_ in secret_spans('auth_token = "Zx81Qp22Lm93Aa71"')] == ["assign", "literal"]
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        'x = "abc123DEFxyz"\n' + "x = x + x\n" * 1000 + "password = x\n",
+        'a = "q1W2e3r4t5"\n' + 'a = a + "zz"\n' * 20_000 + "password = a\n",
+        'password = "' + '\\"' * 500_000,
+        "a = x1\n" + "a=" * 300_000,
+        "token:" + " " * 500_000 + "\n",
+    ],
+    ids=["doubled", "chained", "open quote", "assigned", "spaces"],
+)
+def test_lexing_takes_time_in_proportion(source):
+    start = time.perf_counter()
+    found = literal_findings(source)
+    assert time.perf_counter() - start < 10
+    assert bool(found) == ("password = x" in source or "password = a" in source)
+
+
+def test_literals_equal_a_plain_follower():
+    """Against every list spelled out, on random sources."""
+    rng = random.Random(4)
+    words = ["password", "x", "y", "api_key", '"abc123DEFxyz"', "'s3cr3tValue99'", "=", " = ", ":", "+",
+             " + ", "\n", "\n", '"', "'", '\\"', "{", '"${A}"', '"your_key"', "bare12Ab34cdef", '""', "=="]
+    for _ in range(5000):
+        source = "".join(rng.choices(words, k=rng.randint(1, 24)))
+        values, best = [], {}
+        for one in lexed(source):
+            values.append([s for p in one.parts for s in (values[p] if isinstance(p, int) else [p])])
+            weight = sensitivity(one.target)
+            form = strength("".join(source[a:b] for a, b in values[-1]))
+            if weight and form and weight + form >= 0.6:
+                for a, b in values[-1]:
+                    if b > a and weight + form > best.get((a, b), (0, ""))[0] + 1e-9:
+                        best[a, b] = weight + form, one.target
+        found = {(a, b): (round(score, 9), name) for a, b, score, name in literal_findings(source)}
+        assert found == {s: (round(score, 9), name) for s, (score, name) in best.items()}, source
+
+
+def strength(value):
+    if len(value) < 6 or PLACEHOLDERS.match(value) or value.count(" ") > 3:
+        return 0.0
+    n = len(value)
+    bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
+    kinds = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(0.4, bits / 200) + (0.1 if kinds >= 3 else 0.05 if kinds == 2 else 0.0)
+
+
+def test_positions_of_very_many_findings(spark):
+    """A text with 50,000 addresses, and running sums of every small length."""
+    text = " ".join(f"a{i}@b.co" for i in range(50_000))
+    start = time.perf_counter()
+    row = pii_digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.perf_counter() - start < 60
+    expected = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text))
+    assert row.n_email == 50_000 and row.spans == expected
+    numbers = spark.range(1, 70).select(F.sequence(F.lit(1), F.col("id").cast("int")).alias("x"))
+    for x, sums in numbers.select("x", running_sum(F.col("x"))).collect():
+        assert sums == [sum(x[: i + 1]) for i in range(len(x))]
