@@ -17,6 +17,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,9 @@ LEAF_ROWS, BLOCK_ROWS = 500, 1000
 #: cluster stays in one leaf, whatever its size.
 SPILL, MOST = 0.5, 0.4
 SEED = 7
+#: A leaf's key: the number of the forest, of the tree, of the node; or a mark and the
+#: length of vectors that have no forest.
+_PLACE, _TREE, _LONE = 48, 40, 1 << 62
 
 
 @dataclass(frozen=True)
@@ -97,37 +101,82 @@ def unit_rows(batch: pa.RecordBatch, name: str, width: int) -> tuple[np.ndarray,
     return out, good
 
 
-def _route(batches: Iterator[pa.RecordBatch], forest, width: int):
-    """A row for each leaf: ``id, n, v, tree, leaf, seen`` (leaves of earlier trees)."""
-    trees = opened(forest)
+def _route(batches: Iterator[pa.RecordBatch], forests):
+    """A row for each leaf: ``id, n, x, leaf, seen`` (its leaves of earlier trees).
+
+    Vectors go through the forest of their length. Lengths without one have a leaf each.
+    """
+    forests = opened(forests)
     for batch in by_batch(batches, 2000):
-        ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
-        copies = batch.column(batch.schema.get_field_index("n")).to_numpy(zero_copy_only=False)
-        x, _ = unit_rows(batch, "v", width)
-        seen: list[list[int]] = [[] for _ in ids]
-        for number, tree in enumerate(trees):
-            row, leaf = tree.leaves(x)
-            order = np.argsort(row, kind="stable")
-            row, leaf = row[order], leaf[order]
-            # the leaves of this tree below each row's, then those of earlier trees
-            rank: dict[int, list[int]] = {}
-            past = []
-            for r, l in zip(row.tolist(), leaf.tolist(), strict=True):
-                own = rank.setdefault(r, [])
-                past.append(seen[r] + own)
-                own.append((number << 40) | l)
-            for r, own in rank.items():
-                seen[r] = seen[r] + own
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[row]),
-                    pa.array(copies[row]),
-                    pa.array(list(x[row]), pa.list_(pa.float64())),
-                    pa.array((number << 40) | leaf),
-                    pa.array(past, pa.list_(pa.int64())),
-                ],
-                names=["id", "n", "x", "leaf", "seen"],
-            )
+        lengths = pc.list_value_length(batch.column(batch.schema.get_field_index("v"))).to_numpy()
+        for width in np.unique(lengths).tolist():
+            rows = batch.take(pa.array(np.nonzero(lengths == width)[0]))
+            place, trees = forests.get(width, (None, []))
+            yield from _leaf_rows(rows, width, trees, place)
+
+
+def _leaf_rows(batch: pa.RecordBatch, width: int, trees: list[Tree], place: int | None):
+    ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
+    copies = batch.column(batch.schema.get_field_index("n")).to_numpy(zero_copy_only=False)
+    x, _ = unit_rows(batch, "v", width)
+    if not trees:
+        only = np.full(len(ids), _LONE | width)
+        yield _routed(ids, copies, x, only, [[]] * len(ids))
+    seen: list[list[int]] = [[] for _ in ids]
+    for number, tree in enumerate(trees):
+        row, leaf = tree.leaves(x)
+        leaf = (place << _PLACE) | (number << _TREE) | leaf
+        order = np.argsort(row, kind="stable")
+        row, leaf = row[order], leaf[order]
+        # the leaves of this tree below each row's, then those of earlier trees
+        rank: dict[int, list[int]] = {}
+        past = []
+        for r, l in zip(row.tolist(), leaf.tolist(), strict=True):
+            own = rank.setdefault(r, [])
+            past.append(seen[r] + own)
+            own.append(l)
+        for r, own in rank.items():
+            seen[r] = seen[r] + own
+        yield _routed(ids[row], copies[row], x[row], leaf, past)
+
+
+def _routed(ids, copies, x, leaf, seen) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(ids),
+            pa.array(copies),
+            pa.array(list(x), pa.list_(pa.float64())),
+            pa.array(leaf),
+            pa.array(seen, pa.list_(pa.int64())),
+        ],
+        names=["id", "n", "x", "leaf", "seen"],
+    )
+
+
+def _fit_forests(
+    classes: DataFrame, threshold: float, trees: int, sample_rows: int, leaf_rows: int
+) -> dict[int, tuple[int, list[Tree]]]:
+    """By length of the vectors the number of their forest and its trees, from one sample
+    of all lengths. A length that is rare in the sample, or fills one leaf, has none."""
+    sample = classes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v")
+    batch = pa.RecordBatch.from_pandas(sample.toPandas())
+    if not batch.num_rows:
+        return {}
+    lengths = pc.list_value_length(batch.column(0)).to_numpy()
+    widths, taken = np.unique(lengths, return_counts=True)
+    # at least two leaves of eight vectors of the sample
+    widths = widths[taken >= 16].tolist()
+    of_width = classes.where(F.size("v").isin(widths)).groupBy(F.size("v").alias("width"))
+    forests = {}
+    for row in of_width.agg(F.count(F.lit(1)).alias("n")).orderBy("width").collect():
+        rows = batch.take(pa.array(np.nonzero(lengths == row.width)[0]))
+        wanted = max(0, int(np.ceil(np.log2(row.n / leaf_rows))))
+        depth = min(wanted, int(np.log2(rows.num_rows / 8)))
+        if depth:
+            units, _ = unit_rows(rows, "v", row.width)
+            fitted = [fit_tree(units, depth, SEED * 1000 + t, threshold) for t in range(trees)]
+            forests[row.width] = (len(forests), fitted)
+    return forests
 
 
 def _met_before(seen: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -213,10 +262,10 @@ def similar_vectors(
     ``kept`` (whether that is its own). Every link given is right; nearly all are
     found (see the measured recall in README).
 
-    Equal vectors are one node that carries their number, so copies cost nothing. A
-    null, empty or zero vector, one with a null or non-finite component, or of
-    another length than most links with nothing, and so does a null vec_id, whose
-    component is null. Rows that repeat a vec_id with another vector are one node: the
+    Equal vectors are one node that carries their number, so copies cost nothing.
+    Vectors of different lengths are never linked; those of each length are compared
+    with each other. A null, empty or zero vector, or one with a null or non-finite
+    component, links with nothing, and so does a null vec_id, whose component is null. Rows that repeat a vec_id with another vector are one node: the
     links of any of them count for all. Other columns are not read. An empty
     table gives an empty result.
     """
@@ -232,10 +281,7 @@ def similar_vectors(
         & F.exists("v", lambda x: x != 0)
     )
     rows = written(rows.withColumn("good", F.coalesce(good, F.lit(False))), "vectors")
-    sizes = rows.where("good").groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"))
-    widths = sizes.orderBy(F.desc("n"), "width").limit(1).collect()
-    width = widths[0].width if widths else 0
-    usable = rows.where(F.col("good") & (F.size("v") == width))
+    usable = rows.where("good")
     # equal vectors are one class, named by the smallest vec_id
     classes, size = measured(
         usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")),
@@ -244,15 +290,10 @@ def similar_vectors(
     )
     found = {"links": None}
     if size["rows"]:
-        sample = classes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v")
-        taken, _ = unit_rows(pa.RecordBatch.from_pandas(sample.toPandas()), "v", width)
-        wanted = max(0, int(np.ceil(np.log2(size["rows"] / leaf_rows))))
-        depth = min(wanted, max(0, int(np.log2(len(taken) / 8))))
-        forest = [fit_tree(taken, depth, SEED * 1000 + t, threshold) for t in range(trees)]
-        shared = shipped(spark, forest)
+        forests = _fit_forests(classes, threshold, trees, sample_rows, leaf_rows)
         routed = written(
             classes.mapInArrow(
-                partial(_route, forest=shared, width=width),
+                partial(_route, forests=shipped(spark, forests)),
                 "id long, n long, x array<double>, leaf long, seen array<long>",
             ),
             "routed",
@@ -282,9 +323,7 @@ def similar_vectors(
     labels = components(links.select("id", "other").union(copies))
     own = named.select("vec_id", "id", "n").join(counts.hint("merge"), "id", "left")
     own = own.select("vec_id", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
-    rest = rows.where(~(F.col("good") & (F.size("v") == width))).select(
-        "vec_id", F.lit(0).cast("long").alias("n_links")
-    )
+    rest = rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"))
     labels = labels.withColumnRenamed("id", "vec_id")
     return (
         own.union(rest)
