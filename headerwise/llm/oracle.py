@@ -58,7 +58,8 @@ keyed AS (
   SELECT *, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(crc AS VARCHAR)) AS k
   FROM docs),
 parts AS (
-  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY k, doc_id, size) - 0.5e0)
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY k, doc_id, size) - 1
+             + CAST('0x' || md5('1:' || coalesce(source, ''))[:13] AS BIGINT) / 4503599627370496e0)
             / count(*) OVER (PARTITION BY source) AS part FROM keyed),
 placed AS (
   SELECT *, row_number() OVER (ORDER BY part, k, source NULLS FIRST, doc_id, size) - 1 AS place,
@@ -103,7 +104,7 @@ VECTORS = f"""WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 links AS (
   SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.vec_id
-  WHERE list_cosine_similarity(p.e, q.e) >= 0.9),
+  WHERE CASE WHEN len(p.e) = len(q.e) THEN list_cosine_similarity(p.e, q.e) >= 0.9 END),
 degrees AS (
   SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links)
   GROUP BY id),

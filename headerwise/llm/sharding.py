@@ -21,6 +21,8 @@ from headerwise.sources.scratch import stored, written
 #: square root of all rows neither the cells nor their number grow out of hand.
 CELL_ROWS = 1000
 _FRACTION = 1 << 52
+#: Seed of the sources' offsets, which keep small sources from meeting in one cell.
+OFFSET_SEED = 1
 
 
 def shuffle_key(seed: int, *columns: str) -> Column:
@@ -29,11 +31,15 @@ def shuffle_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
-def _fraction(key: str) -> Column:
+def _fraction_of(key: Column) -> Column:
     """The first 52 bits of the key as a number from 0 to below 1; keeps its order."""
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(_FRACTION))
 
 
+def _fraction(key: str) -> Column:
+    return _fraction_of(F.col(key))
+
+
 def _numbered(rows: DataFrame, group: list[str], cell: str, order: list, out: str) -> DataFrame:
     """Adds ``out``: the number of rows of the group before the row, in cell order and
     then in ``order``, counted from 0."""
@@ -92,8 +98,9 @@ def interleaved_shards(
     cells = F.ceil(F.col(total) / F.lit(cell_rows))
     rows = rows.withColumn(cell, F.floor(F.col(part) * cells).cast("long"))
     rows = _numbered(rows, [stratum], cell, [order_by, *ties], rank)
-    # the middle of each row's share of its source
-    rows = rows.withColumn(part, (F.col(rank) + F.lit(0.5)) / F.col(total))
+    # a place in each row's share of its source, another for each source
+    offset = _fraction_of(shuffle_key(OFFSET_SEED, stratum))
+    rows = rows.withColumn(part, (F.col(rank) + offset) / F.col(total))
     rows = rows.withColumn(
         cell, F.floor(F.col(part) * F.lit(max(1, -(-n // cell_rows)))).cast("long")
     )

@@ -47,7 +47,13 @@ from headerwise.llm.secrets import (
     secret_spans,
     sensitivity,
 )
-from headerwise.llm.sharding import interleaved_shards, shuffle_key, write_shards
+from headerwise.llm.sharding import (
+    OFFSET_SEED,
+    _fraction_of,
+    interleaved_shards,
+    shuffle_key,
+    write_shards,
+)
 from headerwise.llm.toxicity import ToxicityFeatures, fit_toxic, toxicity_scores
 from tests.llm.conftest import odd_texts, sentence
 
@@ -169,6 +175,18 @@ def test_shards_match_the_mixture(spark, tmp_path):
     assert back.count() == 5000 and back.select("shard").distinct().count() == 7
 
 
+def test_a_source_per_row_spreads_over_cells(spark):
+    """Sources of one row each: every place of the order is taken about evenly."""
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("source")
+    )
+    parts = docs.select(_fraction_of(shuffle_key(OFFSET_SEED, "source")).alias("part"))
+    cells = [r["count"] for r in parts.groupBy(F.floor(F.col("part") * 20)).count().collect()]
+    assert len(cells) == 20 and max(cells) < 1300
+    found = interleaved_shards(docs, 8, shuffle_key(3, "doc_id"), ["doc_id"])
+    assert {r["count"] for r in found.groupBy("shard").count().collect()} == {2500}
+
+
 # learnt models
 
 
@@ -383,6 +401,32 @@ def test_vectors_equal_brute_force(spark):
     assert {r.vec_id: r.component_id for r in whole} == reach
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    rng = np.random.default_rng(6)
+    vectors = []
+    for width, n in ((12, 400), (5, 150), (2, 3), (3, 2), (700, 2)):
+        centres = rng.standard_normal((max(1, n // 4), width))
+        near = centres[rng.integers(0, len(centres), n)] + 0.05 * rng.standard_normal((n, width))
+        vectors += near.tolist()
+    rng.shuffle(order := np.arange(len(vectors)))
+    vectors = [vectors[i] for i in order]
+    units = [np.array(v) / np.linalg.norm(v) for v in vectors]
+    pairs = [
+        (i, j) for i in range(len(units)) for j in range(i)
+        if len(units[i]) == len(units[j]) and units[i] @ units[j] >= 0.9
+    ]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    found = similar_vectors(table, leaf_rows=60, block_rows=50).collect()
+    degree = Counter(i for pair in pairs for i in pair)
+    got = {r.vec_id: r.n_links for r in found}
+    assert all(got[i] <= degree[i] for i in got) and sum(got.values()) >= 0.97 * 2 * len(pairs)
+    whole = similar_vectors(table, leaf_rows=10**6).collect()
+    assert {r.vec_id: r.n_links for r in whole} == {i: degree[i] for i in range(len(units))}
+    assert {r.vec_id: r.component_id for r in whole} == lowest_reachable(
+        range(len(units)), pairs + [(j, i) for i, j in pairs]
+    )
+
+
 # tokens
 
 
