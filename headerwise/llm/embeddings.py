@@ -201,8 +201,8 @@ def _padded(lists) -> np.ndarray:
 def compare_blocks(pair: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links within or between the two blocks of one leaf: ``(id, other, n_links)``.
 
-    ``n_links`` are links of ``id`` first met here; ``other`` is the smallest id
-    linked with it here.
+    ``n_links`` are links of ``id`` first met here; ``other`` is the smallest id that
+    the links found here reach from it, which may be itself.
     """
     sides = [pair[pair.side == s] for s in (0, 1)]
     same = len(pair) > 0 and pair.a.iloc[0] == pair.b.iloc[0]
@@ -219,14 +219,27 @@ def compare_blocks(pair: pd.DataFrame, threshold: float) -> pd.DataFrame:
         return none
     fresh = ~_met_before((_padded(one.seen.tolist()), _padded(two.seen.tolist())), i, j)
     n, m = one.n.to_numpy(), two.n.to_numpy()
-    count = pd.concat(
-        [
-            pd.DataFrame({"id": ids[i], "other": others[j], "n_links": np.where(fresh, m[j], 0)}),
-            pd.DataFrame({"id": others[j], "other": ids[i], "n_links": np.where(fresh, n[i], 0)}),
-        ]
-    )
-    out = count.groupby("id", as_index=False).agg({"other": "min", "n_links": "sum"})
-    return out.astype("int64")
+    nodes, at = np.unique(np.concatenate((ids[i], others[j])), return_inverse=True)
+    p, q = at[: len(i)], at[len(i) :]
+    count = np.zeros(len(nodes), np.int64)
+    np.add.at(count, p, np.where(fresh, m[j], 0))
+    np.add.at(count, q, np.where(fresh, n[i], 0))
+    return pd.DataFrame({"id": nodes, "other": nodes[_lowest(len(nodes), p, q)], "n_links": count})
+
+
+def _lowest(size: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of ``size`` nodes the lowest that the links ``p, q`` reach."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[p], label[q])
+        new = label.copy()
+        # the labels' own nodes follow, so chains shrink to a fraction in each turn
+        for node in (p, q, label[p], label[q]):
+            np.minimum.at(new, node, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _blocks(routed: DataFrame, blocks: DataFrame) -> DataFrame:
