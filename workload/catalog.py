@@ -28,7 +28,8 @@ from headerwise.operators.rules import (
     WeakETag,
     rules_from_rows,
 )
-from headerwise.operators.top_terms import missing_counts
+from headerwise.operators.sketches import sketched_terms, term_sketch
+from headerwise.operators.top_terms import missing_counts, term_counts
 from headerwise.plans.collect import (
     collect,
     domain_counts,
@@ -272,6 +273,18 @@ def _top_urls_hashed(spark: SparkSession, sf: str) -> DataFrame:
     return top_urls(views.wide_log(spark, sf), _wide_options(spark, sf), hashed=True)
 
 
+def _domains_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """All requests of more than 200th of the rows, by a sketch of 200 counters a task,
+    with the exact count and whether the sketch's interval holds it."""
+    logs, keys = views.wide_log(spark, sf).fillna("", ["ipport"]), list(URL_KEYS)
+    sketch = written(term_sketch(logs, keys, 200), "sketch")
+    exact = term_counts(logs, keys).withColumnRenamed("count", "exact")
+    frequent = exact.where(F.col("exact") * 200 > F.lit(logs.count()))
+    found = frequent.join(sketched_terms(sketch, keys), keys, "left")
+    inside = F.col("exact").between(F.col("count"), F.col("count") + F.col("error"))
+    return found.select(*keys, "exact", F.coalesce(inside, F.lit(False)).alias("inside"))
+
+
 def _collect_run(spark: SparkSession, sf: str) -> DataFrame:
     """The whole collect program, its domains from a file, its output read back."""
     root, out, names = _stored_log(spark, sf), new_path(spark, "top"), new_path(spark, "names")
@@ -426,6 +439,7 @@ QUERIES: dict[str, Query] = {
     "log_top_urls_methods": _top_urls_methods,
     "log_top_urls_ranked": _top_urls_ranked,
     "log_top_urls_hashed": _top_urls_hashed,
+    "log_domains_sketch": _domains_sketch,
     "log_rollup_top_urls": _rollup_top_urls,
     "log_missing_referer": _missing_referer,
     "log_top_requests": _top_requests,

@@ -256,6 +256,9 @@ SELECT u.domain, u.method, u.ipport, u.request, u.n AS "count", CAST(m.rk AS INT
 FROM u JOIN p ON (u.domain, u.method, u.ipport) = (p.domain, p.method, p.ipport)
        JOIN m ON (u.domain, u.method) = (m.domain, m.method)""",
     "log_top_urls_hashed": f"WITH {WIDE_LOG}, {WIDE_OPTIONS}, {_urls()} {TOP_URLS}",
+    "log_domains_sketch": f"""WITH {WIDE_LOG}
+SELECT domain, method, coalesce(ipport, '') AS ipport, request, count(*) AS exact, true AS inside
+FROM access_log GROUP BY ALL HAVING count(*) * 200 > (SELECT count(*) FROM access_log)""",
     "log_rollup_top_urls": f"""WITH {ACCESS_LOG.replace("FROM lineitem", "FROM lineitem WHERE l_linenumber BETWEEN 3 AND 6")},
 options AS (SELECT DISTINCT domain, 20 AS min_count, 3 AS top_urls, 3 AS top_agents, 2 AS top_referers,
          5 AS min_count_2 FROM access_log), {_urls()} {TOP_URLS}""",
