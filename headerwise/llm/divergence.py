@@ -45,13 +45,14 @@ def terms_of(text: bytes | None) -> list[bytes]:
 
 
 def prefix_hash(lang: bytes, prefix: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(prefix, xxhash.xxh3_64_intdigest(lang))
+    """What ``xxhash64(lang, prefix)`` of Spark gives, without sign."""
+    return xxhash.xxh64_intdigest(prefix, xxhash.xxh64_intdigest(lang, 42))
 
 
 class _Passing(dict):
     """Whether prefixes of one language survived, as far as they were asked for."""
 
-    def __init__(self, lang: bytes, bits: np.ndarray):
+    def __init__(self, lang: bytes, bits: bytes):
         self.lang, self.bits = lang, bits
 
     def __missing__(self, prefix: bytes) -> bool:
@@ -74,31 +75,30 @@ class _Held:
     def batches(self) -> Iterator[pa.RecordBatch]:
         for (lang, source), docs in self.docs.items():
             times = self.times[lang, source]
-            yield _batch(lang, source, docs, [times[t] for t in docs], None)
+            yield _batch(lang, source, docs, list(map(times.__getitem__, docs)), True)
         for lang, docs in self.prefixes.items():
-            codes = np.array([prefix_hash(lang, p) for p in docs], np.uint64).view(np.int64)
-            yield _batch(lang, b"", docs, [0] * len(docs), codes)
+            yield _batch(lang, b"", docs, [0] * len(docs), False)
 
 
-def _batch(lang: bytes, source: bytes, docs: Counter, times: list[int], codes) -> pa.RecordBatch:
+def _batch(lang: bytes, source: bytes, docs: Counter, times: list[int], done: bool) -> pa.RecordBatch:
     n = len(docs)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([lang] * n, pa.binary()).cast(pa.string()),
-            pa.array([source] * n, pa.binary()).cast(pa.string()),
+            pa.repeat(pa.scalar(lang.decode(), pa.string()), n),
+            pa.repeat(pa.scalar(source.decode(), pa.string()), n),
             pa.array(list(docs), pa.binary()),
-            pa.nulls(n, pa.int64()) if codes is None else pa.array(codes),
+            pa.repeat(done, n),
             pa.array(list(docs.values()), pa.int64()),
             pa.array(times, pa.int64()),
         ],
-        names=["lang", "source", "key", "code", "docs", "times"],
+        names=["lang", "source", "key", "done", "docs", "times"],
     )
 
 
 def _level(batches: Iterator[pa.RecordBatch], before: int, width: int, shared: Broadcast | None):
     """Documents that hold each prefix of ``width`` bytes, and each term that ends within
     them but not within the ``before`` bytes of the last level, combined in the task."""
-    bits = opened(shared) if shared else None
+    bits = opened(shared).tobytes() if shared else None
     passing: dict[bytes, _Passing] = {}
     held = _Held()
     for batch in by_batch(batches, 200):
@@ -113,23 +113,24 @@ def _level(batches: Iterator[pa.RecordBatch], before: int, width: int, shared: B
             done = [t for t in terms if len(t) <= width]
             held.docs[lang, source].update(set(done))
             held.times[lang, source].update(done)
-            held.prefixes[lang].update({t[:width] for t in terms if len(t) > width})
+            if len(done) < len(terms):
+                held.prefixes[lang].update({t[:width] for t in terms if len(t) > width})
         if len(held) > HELD_KEYS:
             yield from held.batches()
             held = _Held()
     yield from held.batches()
 
 
-#: ``code`` is the hash of a prefix, null for a complete term.
-_LEVEL = "lang string, source string, key binary, code long, docs long, times long"
+#: ``done`` for a complete term, not for a prefix.
+_LEVEL = "lang string, source string, key binary, done boolean, docs long, times long"
 
 
 def _bits(prefixes: DataFrame, rows: int) -> np.ndarray:
-    """The bit array of the hashes ``code``: at most FILTER_BYTES reach the driver."""
+    """The bit array of the prefixes' hashes: at most FILTER_BYTES reach the driver."""
     size = 64
     while size < FILTER_BYTES and 8 * size < FILTER_BITS * rows:
         size *= 2
-    at = F.col("code").bitwiseAND(F.lit(8 * size - 1))
+    at = F.xxhash64("lang", "key").bitwiseAND(F.lit(8 * size - 1))
     found = prefixes.select(
         F.shiftright(at, 13).alias("block"), at.bitwiseAND(F.lit(_BLOCK - 1)).cast("short").alias("at")
     )
@@ -157,9 +158,9 @@ def kept_terms(docs: DataFrame, least: int = 3) -> DataFrame:
     before, width, shared, found = 0, FIRST_BYTES, None, []
     while True:
         step = partial(_level, before=before, width=width, shared=shared)
-        counts = rows.mapInArrow(step, _LEVEL).groupBy("lang", "source", "key", F.isnull("code").alias("done"))
+        counts = rows.mapInArrow(step, _LEVEL).groupBy("lang", "source", "key", "done")
         counts = written(
-            counts.agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"), F.max("code").alias("code")),
+            counts.agg(F.sum("docs").alias("docs"), F.sum("times").alias("times")),
             "prefixes",
         )
         n = F.count(F.lit(1)).alias("rows")
@@ -167,7 +168,7 @@ def kept_terms(docs: DataFrame, least: int = 3) -> DataFrame:
         enough = enough.where(F.col("docs") >= least).select("lang", "key")
         terms = counts.where("done").join(enough.hint("merge"), ["lang", "key"])
         found.append(terms.select("lang", "source", F.col("key").cast("string").alias("term"), "times"))
-        longer = counts.where(F.col("docs") >= least).where("NOT done").select("lang", "key", "code")
+        longer = counts.where(F.col("docs") >= least).where("NOT done").select("lang", "key")
         longer, got = measured(longer, "longer", n)
         if not got["rows"]:
             break
@@ -188,8 +189,16 @@ def _f(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) DIV {q}")
 
 
-def _sum(value: Column, name: str) -> Column:
-    return F.sum(value.cast("decimal(20,0)")).alias(name)
+def _sums(value: Column, name: str) -> list[Column]:
+    """The sum in two halves of 32 bits, as decimals are slow and 64 bits too few; sums
+    of 2^31 rows and more end in an error where they do not fit."""
+    low = F.sum(value.bitwiseAND(F.lit((1 << 32) - 1)))
+    return [F.sum(F.shiftright(value, 32)).alias(f"{name}_high"), low.alias(f"{name}_low")]
+
+
+def _whole(name: str) -> Column:
+    high = F.col(f"{name}_high").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)")
+    return (high + F.col(f"{name}_low")).cast("decimal(38,0)")
 
 
 def _groups(docs: DataFrame, kept: DataFrame, langs: DataFrame) -> DataFrame:
@@ -232,15 +241,15 @@ def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
         return _f(p, q) - _f(p, c) - _f(b, q) + _f(b, c)
 
     met = met.groupBy("lang", "source", "source_o").agg(
-        _sum(more("p", "p_o", "base", "base_o"), "x"),
-        _sum(more("p_o", "p", "base_o", "base"), "y"),
+        *_sums(more("p", "p_o", "base", "base_o"), "x"),
+        *_sums(more("p_o", "p", "base_o", "base"), "y"),
     )
     met = met.select(
         "lang",
         F.inline(
             F.array(
-                F.struct(F.col("source"), F.col("source_o").alias("item"), F.col("x").cast("decimal(38,0)")),
-                F.struct(F.col("source_o").alias("source"), F.col("source").alias("item"), F.col("y").cast("decimal(38,0)")),
+                F.struct(F.col("source"), F.col("source_o").alias("item"), _whole("x").alias("x")),
+                F.struct(F.col("source_o").alias("source"), F.col("source").alias("item"), _whole("y").alias("x")),
             )
         ).alias("source", "item", "x"),
     )
