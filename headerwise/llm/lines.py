@@ -11,6 +11,8 @@ their first place only.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,9 @@ _LINE = r"(?s)(?:(?<=\n)|(?<=[.!?]\x20))(?=.)"
 _ENDS = ("\n", ". ", "! ", "? ")
 _MARK = "\u0001"
 _BLANK = " \t\r\n"
+_FAR = r"[\u0E00-\x{10FFFF}]"
+#: White space with any of these is counted by a pattern.
+_UNEVEN = ("\t", "\r", "\v", "\f", "  ", "\n\n", " \n", "\n ")
 
 _SPACE = r"\s\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Scripts without spaces: Thai, Lao, Myanmar, Khmer, Kana, Han; and their punctuation.
@@ -92,12 +97,39 @@ def _parts(words: Column, ends: Column) -> Column:
 def _words(text: Column) -> Column:
     """Runs of signs between white space; signs of scripts without spaces count singly,
     and so does every WORD_CHARS of a longer run."""
-    ascii_spaces = (F.octet_length(text) == F.length(text)) | ~text.rlike(_SPECIAL)
-    words = F.when(ascii_spaces, F.regexp_count(text, F.lit(r"\S+")))
+    # one range is looked for much faster than the many that then decide
+    far = text.rlike(_FAR) | F.contains(text, F.lit("\u0085")) | F.contains(text, F.lit("\u00a0"))
+    ascii_spaces = (F.octet_length(text) == F.length(text)) | ~(far & text.rlike(_SPECIAL))
+    # without a pattern where single blanks and line ends are all the white space there is
+    uneven = reduce(or_, (F.contains(text, F.lit(c)) for c in _UNEVEN))
+    for c in " \n":
+        uneven = uneven | F.startswith(text, F.lit(c)) | F.endswith(text, F.lit(c))
+    bare = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+    words = F.when(F.octet_length(text) == 0, 0)
+    words = words.when(ascii_spaces & ~uneven, 1 + F.octet_length(text) - F.octet_length(bare))
+    words = words.when(ascii_spaces, F.regexp_count(text, F.lit(r"\S+")))
     words = words.otherwise(F.regexp_count(text, F.lit(_COUNTED)))
     return F.greatest(words, F.floor(F.length(text) / WORD_CHARS))
 
 
+def _ends_in(text: Column, signs: str) -> Column:
+    return reduce(or_, (F.endswith(text, F.lit(c)) for c in signs))
+
+
+def _rtrim(text: Column) -> Column:
+    """``rtrim`` of _BLANK, which goes through the whole text, only where blanks alone
+    are not enough."""
+    plain = F.rtrim(text)
+    return F.when(_ends_in(plain, "\t\r\n"), F.rtrim(text, F.lit(_BLANK))).otherwise(plain)
+
+
+def _trim(text: Column) -> Column:
+    plain = F.trim(text)
+    starts = reduce(or_, (F.startswith(plain, F.lit(c)) for c in "\t\r\n"))
+    more = starts | _ends_in(plain, "\t\r\n")
+    return F.when(more, F.btrim(text, F.lit(_BLANK))).otherwise(plain)
+
+
 def _ends(hashes: str) -> Column:
     """Places of the lines that end a chunk: by the rolling hash, and the last one."""
 
@@ -115,7 +147,7 @@ def _chunked(rows: DataFrame, text: str, lines: str, ends: str) -> DataFrame:
     """Adds the lines of ``text`` and the places of the last lines of its chunks."""
     rows = rows.withColumn(lines, _lines(F.coalesce(F.col(text), F.lit(""))))
     rows = rows.withColumn(
-        ends, F.transform(lines, lambda x: F.xxhash64(F.rtrim(x, F.lit(_BLANK))))
+        ends, F.transform(lines, lambda x: F.xxhash64(_rtrim(x)))
     )
     return rows.withColumn(ends, _ends(ends))
 
@@ -135,10 +167,11 @@ def _chunks(docs: DataFrame) -> DataFrame:
 
     def one(k: Column) -> Column:
         chunk, size = _chunk("lines", "ends", k)
-        return F.struct(k.alias("k"), size.alias("size"), F.btrim(chunk, F.lit(_BLANK)).alias("chunk"))
+        return F.struct(k.alias("k"), size.alias("size"), chunk.alias("chunk"))
 
     chunks = F.transform(F.expr("sequence(0, size(ends) - 1)"), one)
-    rows = rows.select("doc_id", "print", F.inline(chunks)).where("chunk <> ''")
+    rows = rows.select("doc_id", "print", F.inline(chunks))
+    rows = rows.withColumn("chunk", _trim(F.col("chunk"))).where("chunk <> ''")
     return rows.withColumns({"h1": F.xxhash64("chunk"), "h2": F.xxhash64("chunk", F.lit(1))})
 
 
