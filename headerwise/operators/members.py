@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from headerwise.operators.joins import measured_join
 from headerwise.operators.top_terms import term_counts
-from headerwise.sources.scratch import Stored
+from headerwise.sources.scratch import Stored, written
+
+#: 64-bit groups of the filter for many keys: 1 << 20 of them take under 64 MB.
+SLOTS = 1 << 20
 
 
 def hash_members(rows: DataFrame, members: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -18,6 +21,26 @@ def hash_members(rows: DataFrame, members: DataFrame, on: Sequence[str]) -> Data
     return rows.join(hashes, F.xxhash64(*on) == F.col("_hash"), "left_semi")
 
 
+def filtered_members(rows: DataFrame, members: Stored, on: Sequence[str]) -> DataFrame:
+    """The rows whose keys occur in ``members``, and strangers.
+
+    Hashes that are measured to fit are broadcast; few strangers share one. Of more keys
+    each sets one bit of a filter of bounded size: as many strangers get through as bits
+    are set. With more keys than bits all rows are left to the join that follows.
+    """
+    if members.number_fits_broadcast():
+        return hash_members(rows, members.table, on)
+    if members.rows > 64 * SLOTS:
+        return rows
+    key = F.xxhash64(*on)
+    slot = F.pmod(F.shiftright(key, 6), F.lit(SLOTS))
+    keys = members.table.select(key.alias("_hash"), slot.alias("_slot"))
+    bit = F.expr("shiftleft(1L, CAST(_hash & 63 AS INT))")
+    bits = written(keys.groupBy("_slot").agg(F.bit_or(bit).alias("_bits")), "members")
+    found = rows.withColumns({"_hash": key, "_slot": slot}).join(F.broadcast(bits), "_slot")
+    return found.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def member_counts(
     rows: DataFrame, by: Sequence[str], members: Stored, on: Sequence[str]
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from headerwise import settings
 from headerwise.functions.text import url_domain
 from headerwise.operators.difference import label_differences
 from headerwise.operators.joins import measured_join
-from headerwise.operators.members import hash_members
+from headerwise.operators.members import filtered_members
 from headerwise.operators.pairing import REQUEST, pair_captures, pair_compared
 from headerwise.operators.rules import RuleSet
 from headerwise.operators.rule_tables import RuleTable, label_by_table
@@ -81,12 +81,10 @@ def compare_url(captures: DataFrame, url: str, rules: RuleSet, method: str = "GE
 def with_header_sets(failing: Stored, captures: DataFrame) -> DataFrame:
     """The failing rows with all four header sets.
 
-    While hashes of the failing ids are measured to fit a broadcast, the captures are
-    filtered by them first, so that full header sets are shuffled for failing requests
-    only; the join at the end is exact.
+    The captures are filtered by the failing ids first, so that full header sets are
+    shuffled for failing requests and few others; the join at the end is exact.
     """
-    if failing.number_fits_broadcast():
-        captures = hash_members(captures, failing.table, ["req_id"])
+    captures = filtered_members(captures, failing, ["req_id"])
     return measured_join(
         pair_captures(captures), failing.table, "req_id", "inner", failing.fits_broadcast()
     )

@@ -175,7 +175,8 @@ def write_diffs(
     as_of: dt.datetime | None = None,
     rows: int | None = None,
 ) -> str | None:
-    """Write the failing rows as JSON; nothing is written (None) when there are none.
+    """Write the failing rows as gzipped JSON, as their four header sets are much alike;
+    nothing is written (None) when there are none.
 
     Give their number as ``rows`` if it is known, or they are computed twice. Earlier
     rows of that name are replaced in one step once the new ones are complete, so they
@@ -184,7 +185,7 @@ def write_diffs(
     if diffs.isEmpty() if rows is None else rows == 0:
         return None
     path = f"{folder.rstrip('/')}/{name or diff_name(as_of)}"
-    write_version(diffs, path, lambda df, folder: df.write.json(folder))
+    write_version(diffs, path, lambda df, folder: df.write.json(folder, compression="gzip"))
     return path
 
 
