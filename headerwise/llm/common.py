@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -90,3 +91,17 @@ def by_batch(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def releasing(step: Callable) -> Callable:
+    """``step`` over batches that gives Arrow's memory back at its end: an idle worker
+    would otherwise keep that of its largest batches beside the stages that follow."""
+
+    @wraps(step)
+    def run(batches: Iterator[pa.RecordBatch], *args, **named) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches, *args, **named)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run

@@ -25,6 +25,7 @@ from headerwise.llm.common import (
     extended,
     free_name,
     opened,
+    releasing,
     shipped,
     text_column,
 )
@@ -214,6 +215,7 @@ _ADDED = (
 )
 
 
+@releasing
 def _marks(batches: Iterator[pa.RecordBatch], automaton, text: str, names: list[str]):
     """Adds the hit columns to each row, or merges into those of earlier items."""
     automaton = opened(automaton)
@@ -237,10 +239,14 @@ def _marks(batches: Iterator[pa.RecordBatch], automaton, text: str, names: list[
         yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
 
-def _marked(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, list[str]]:
-    """``docs`` with the hit columns, and their names."""
+def _marked(
+    docs: DataFrame, items: DataFrame, window: int, coverage: float | None = None
+) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the hit columns, and their names; with ``coverage`` the last block
+    also cuts the hits out and drops those columns, in the same workers."""
     spark = docs.sparkSession
     docs = text_column(docs, "text")
+    plain = docs.schema
     items = items.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"),
         F.col("text").cast("string").alias("text"),
@@ -253,10 +259,12 @@ def _marked(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame,
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = [(r.item_id, r.text.encode() if r.text else None) for r in part.collect()]
-        automaton = shipped(spark, ItemAutomaton(rows, window))
-        docs = docs.mapInArrow(
-            partial(_marks, automaton=automaton, text="text", names=names), schema
+        step = partial(
+            _marks, automaton=shipped(spark, ItemAutomaton(rows, window)), text="text", names=names
         )
+        if coverage is not None and block == blocks - 1:
+            step, schema = partial(_marks_and_cut, marks=step, coverage=coverage), plain
+        docs = docs.mapInArrow(step, schema)
         if blocks > 1:
             docs = written(docs, "decontaminate")
     return docs, names
@@ -318,6 +326,12 @@ def _cut(batches: Iterator[pa.RecordBatch], text: str, names: list[str], coverag
         yield pa.RecordBatch.from_arrays(columns, kept).filter(pa.array(keep, pa.bool_()))
 
 
+@releasing
+def _marks_and_cut(batches: Iterator[pa.RecordBatch], marks: partial, coverage: float):
+    """Both steps in one worker: two in a row would take two workers for each task."""
+    yield from _cut(marks(batches), marks.keywords["text"], marks.keywords["names"], coverage)
+
+
 def decontaminated(
     docs: DataFrame, items: DataFrame, window: int = 10, coverage: float = 0.5
 ) -> DataFrame:
@@ -327,6 +341,4 @@ def decontaminated(
     out when more than ``coverage`` of its words are hit. All other rows and all
     columns stay as they are, also null and empty texts and repeated rows.
     """
-    schema = text_column(docs, "text").schema
-    marked, names = _marked(docs, items, window)
-    return marked.mapInArrow(partial(_cut, text="text", names=names, coverage=coverage), schema)
+    return _marked(docs, items, window, coverage)[0]

@@ -35,6 +35,7 @@ from headerwise.llm.common import (
     free_name,
     joined,
     mix,
+    releasing,
     text_column,
 )
 from headerwise.llm.components import components
@@ -120,6 +121,7 @@ def sketch(codes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+@releasing
 def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int):
     known = WordHashes()
     for batch in by_batch(batches, 500):
@@ -143,6 +145,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int):
         )
 
 
+@releasing
 def _sets(batches: Iterator[pa.RecordBatch], width: int):
     known = WordHashes()
     for batch in by_batch(batches, 500):
@@ -153,6 +156,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int):
         )
 
 
+@releasing
 def _linked(batches: Iterator[pa.RecordBatch], percent: int):
     for batch in by_batch(batches, 500):
         one, other = column_bytes(batch, "codes_a"), column_bytes(batch, "codes_b")

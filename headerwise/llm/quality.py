@@ -26,6 +26,7 @@ from headerwise.llm.common import (
     extended,
     free_name,
     opened,
+    releasing,
     shipped,
     text_column,
 )
@@ -172,6 +173,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     return fit_ordinal(training_rows(sample, QualityFeatures))
 
 
+@releasing
 def _scores(batches: Iterator[pa.RecordBatch], model, text: str, names: list[str]):
     model, make = opened(model), QualityFeatures()
     low, steps = model.grades[0], np.diff(model.grades)
