@@ -143,36 +143,29 @@ def _ends(hashes: str) -> Column:
     return F.filter(F.expr(f"sequence(0, size({hashes}) - 1)"), ends)
 
 
-def _chunked(rows: DataFrame, text: str, lines: str, ends: str) -> DataFrame:
-    """Adds the lines of ``text`` and the places of the last lines of its chunks."""
-    rows = rows.withColumn(lines, _lines(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.withColumn(
-        ends, F.transform(lines, lambda x: F.xxhash64(_rtrim(x)))
-    )
-    return rows.withColumn(ends, _ends(ends))
-
-
-def _chunk(lines: str, ends: str, k: Column) -> tuple[Column, Column]:
-    """Text and number of lines of chunk ``k``."""
-    first = F.when(k > 0, F.get(ends, k - 1) + 1).otherwise(F.lit(0))
-    size = F.get(ends, k) + 1 - first
-    return F.array_join(F.slice(lines, first + 1, size), ""), size
-
-
-def _chunks(docs: DataFrame) -> DataFrame:
-    """All chunks: ``doc_id, print, k, size, chunk, h1, h2``."""
-    rows = _chunked(
-        docs.select("doc_id", "text", F.xxhash64("text").alias("print")), "text", "lines", "ends"
-    )
+def _chunked(docs: DataFrame, chunks: str, sizes: str, hashes: str) -> DataFrame:
+    """Adds the chunks of ``text``, which make it again when put together, the number of
+    lines of each, and its hash without white space at its ends; null if that is all."""
+    rows = docs.withColumn(chunks, _lines(F.coalesce(F.col("text"), F.lit(""))))
+    rows = rows.withColumn(sizes, F.transform(chunks, lambda x: F.xxhash64(_rtrim(x))))
+    rows = rows.withColumn(sizes, _ends(sizes))
+
+    def size(end: Column, k: Column) -> Column:
+        return end - F.when(k > 0, F.get(sizes, k - 1)).otherwise(F.lit(-1))
+
+    def chunk(end: Column, k: Column) -> Column:
+        lines = F.when(size(end, k) == 1, F.get(chunks, end))
+        return lines.otherwise(
+            F.array_join(F.slice(chunks, end + 2 - size(end, k), size(end, k)), "")
+        )
 
-    def one(k: Column) -> Column:
-        chunk, size = _chunk("lines", "ends", k)
-        return F.struct(k.alias("k"), size.alias("size"), chunk.alias("chunk"))
+    def stamp(x: Column) -> Column:
+        return F.transform(F.array(_trim(x)), lambda t: F.when(t != "", F.xxhash64(t)))[0]
 
-    chunks = F.transform(F.expr("sequence(0, size(ends) - 1)"), one)
-    rows = rows.select("doc_id", "print", F.inline(chunks))
-    rows = rows.withColumn("chunk", _trim(F.col("chunk"))).where("chunk <> ''")
-    return rows.withColumns({"h1": F.xxhash64("chunk"), "h2": F.xxhash64("chunk", F.lit(1))})
+    # as generated columns they are computed once, whatever is then made of them
+    both = F.struct(F.transform(sizes, chunk).alias(chunks), F.transform(sizes, size).alias(sizes))
+    rows = rows.select(*docs.columns, F.inline(F.array(both)))
+    return rows.withColumn(hashes, F.transform(chunks, stamp))
 
 
 def _maybe_repeated(chunks: DataFrame) -> DataFrame:
@@ -189,10 +182,18 @@ def _maybe_repeated(chunks: DataFrame) -> DataFrame:
     return found.where(F.col("bits").bitwiseAND(bit) != 0).drop("slot", "bits")
 
 
-def _repeats(docs: DataFrame) -> DataFrame:
-    """The runs that go: ``doc_id, print, gone``, of the ``first`` and ``last`` chunk."""
-    found = _maybe_repeated(_chunks(docs))
-    found = written(found.withColumn("words", _words(F.col("chunk"))), "chunks")
+def _repeats(rows: DataFrame) -> DataFrame:
+    """The runs that go: ``doc_id, print, gone``, of the ``first`` and ``last`` chunk;
+    ``rows`` have ``doc_id, print, chunks, sizes, hashes``."""
+    each = F.arrays_zip(
+        F.expr("sequence(0, size(chunks) - 1)").alias("k"),
+        F.col("sizes").alias("size"),
+        F.col("chunks").alias("chunk"),
+        F.col("hashes").alias("h1"),
+    )
+    found = _maybe_repeated(rows.select("doc_id", "print", F.inline(each)).where("h1 IS NOT NULL"))
+    found = found.withColumn("chunk", _trim(F.col("chunk")))
+    found = found.withColumn("h2", F.xxhash64("chunk", F.lit(1)))
     place = F.struct("doc_id", "print", "k")
     chunks = found.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n"),
@@ -202,7 +203,8 @@ def _repeats(docs: DataFrame) -> DataFrame:
     )
     # the byte comparison: different chunks that share both hashes all stay
     chunks = chunks.where("n > 1 AND low = high").select("h1", "h2", "first")
-    again = found.drop("chunk").join(chunks.hint("merge"), ["h1", "h2"])
+    # read once more rather than written with all its text
+    again = found.withColumn("words", _words(F.col("chunk"))).drop("chunk").join(chunks.hint("merge"), ["h1", "h2"])
     again = again.where(~place.eqNullSafe(F.col("first")))
     # rows that agree in doc_id and text have each chunk several times
     again = again.dropDuplicates(["doc_id", "print", "k"])
@@ -239,31 +241,38 @@ def deduplicated_lines(docs: DataFrame, report: bool = False) -> DataFrame:
     replacing any of those names. An empty table gives an empty result.
     """
     docs = text_column(docs, "text")
-    own, stamp, gone, lines, ends = (
-        free_name(docs.columns, f"_{n}") for n in ("id", "print", "gone", "lines", "ends")
+    own, stamp, mark, gone, chunks, sizes, hashes = (
+        free_name(docs.columns, f"_{n}")
+        for n in ("id", "print", "mark", "gone", "chunks", "sizes", "hashes")
+    )
+    # texts are cut once; what follows reads the pieces
+    cut = _chunked(docs, chunks, sizes, hashes).withColumn(mark, F.xxhash64("text"))
+    # only whether there is a text is kept of it
+    cut = written(cut.withColumn("text", F.when(F.col("text").isNotNull(), "")), "cut")
+    pieces = cut.selectExpr(
+        "doc_id", f"{mark} AS print", f"{chunks} AS chunks", f"{sizes} AS sizes", f"{hashes} AS hashes"
     )
-    repeats = lasting(docs.sparkSession, "repeats", lambda: _repeats(docs)).select(
+    repeats = lasting(docs.sparkSession, "repeats", lambda: _repeats(pieces)).select(
         F.col("doc_id").alias(own),
         F.col("print").alias(stamp),
         F.flatten(F.transform("gone", lambda r: F.sequence(r["first"], r["last"]))).alias(gone),
     )
-    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(stamp))
-    rows = docs.join(repeats.hint("merge"), same, "left")
-    # only texts with something to go are cut again, unless the pieces are counted
-    cut = F.col("text") if report else F.when(F.col(gone).isNotNull(), F.col("text"))
-    rows = _chunked(rows.withColumn(own, cut), own, lines, ends)
-    stay = F.array_except(F.expr(f"sequence(0, size({ends}) - 1)"), F.col(gone))
-    rest = F.array_join(F.transform(stay, lambda k: _chunk(lines, ends, k)[0]), "")
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(stamp))
+    lines = F.aggregate(sizes, F.lit(0), lambda n, x: n + x)
+    rows = cut.drop(hashes).withColumn(sizes, lines).join(repeats.hint("merge"), same, "left")
+    stay = F.array_except(F.expr(f"sequence(0, size({chunks}) - 1)"), F.col(gone))
+    rest = F.array_join(F.transform(stay, lambda k: F.get(chunks, k)), "")
     added = {}
     if report:
-        some = F.coalesce(F.length("text"), F.lit(0)) > 0
+        some = F.col(chunks) != F.array(F.lit(""))
         added = {
-            "n_lines": F.when(some, F.size(lines)).otherwise(0).cast("long"),
-            "n_chunks": F.when(some, F.size(ends)).otherwise(0).cast("long"),
+            "n_lines": F.when(some, F.col(sizes)).otherwise(0).cast("long"),
+            "n_chunks": F.when(some, F.size(chunks)).otherwise(0).cast("long"),
             "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
         }
         rows = rows.drop(*[c for c in added if c in docs.columns])
-    text = F.when(F.col(gone).isNotNull(), rest).otherwise(F.col("text"))
+    text = F.when(F.col(gone).isNotNull(), rest)
+    text = text.when(F.col("text").isNotNull(), F.array_join(chunks, ""))
     order = [c for c in docs.columns if c not in added]
     # as a generated column the text is computed once, whatever is then asked of it
     rows = rows.withColumns(added).withColumn(own, F.explode(F.array(text)))
