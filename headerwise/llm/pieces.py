@@ -28,6 +28,7 @@ from headerwise.llm.common import (
     column_text,
     extended,
     opened,
+    releasing,
     shipped,
     text_column,
 )
@@ -218,7 +219,7 @@ class Codec:
     def _restart(self) -> None:
         self.known: dict[str, int] = {}
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.equal = np.zeros(0, bool)
+        self.equal, self.exact = np.zeros(0, bool), np.zeros(0, bool)
         self.flat = np.zeros(0, np.int32)
 
     def stretches(self, text: str) -> list[str]:
@@ -234,7 +235,8 @@ class Codec:
         return [s[1:] if s[0] == _MARK else f"\x00{s}" for s in _STRETCH.findall(normal)]
 
     def _together(self, words: list[str], marked: bool):
-        """Ids of several stretches in one go: all ids, the number of each, and parity.
+        """Ids of several stretches in one go: all ids, the number of each, parity, and
+        whether decoding gives each back.
 
         They are joined by their markers, or by line ends. The bytes that each piece
         stands for tell where a stretch ends; None if they do not, or if SentencePiece
@@ -244,8 +246,13 @@ class Codec:
         whole = "".join([lead + w for w in words])
         skip = 0 if marked else len(_MARK.encode())
         whole = whole if marked else _MARK + whole
-        ids = np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, np.int32)
-        other = self.reference.encode(whole[1:].replace(_MARK, " "), out_type=int)
+        # a batch of one, as that leaves out the offsets
+        ids = self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids
+        text = whole.replace(_MARK, " ")
+        other = self.reference.encode(text[1:], out_type=int)
+        # where the bytes of the whole are right, so are those between any two ends
+        exact = b"".join(map(self.bytes_of.__getitem__, ids)) == text.encode("utf-8", "replace")
+        ids = np.array(ids, np.int32)
         length = [len(w.encode("utf-8", "replace")) for w in words]
         wanted = np.cumsum(np.array(length, np.int64) + len(lead.encode())) + skip
         ends = np.cumsum(self.bytes_in[ids])
@@ -261,9 +268,9 @@ class Codec:
             keep[0] = False
             keep[at - size + 1] = False
             ids, size = ids[keep], size - 1
-        return ids, size, np.ones(len(words), bool)
+        return ids, size, np.ones(len(words), bool), np.full(len(words), exact)
 
-    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         whole = [w[1:] if w[:1] == "\x00" else _MARK + w for w in words]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
         equal = np.ones(len(words), bool)
@@ -276,7 +283,9 @@ class Codec:
                      for w, o, b in zip(words, other, bare, strict=True)]
             equal = np.array([a == b for a, b in zip(found, other, strict=True)], bool)
         flat = np.array([i for f in found for i in f], np.int32)
-        return flat, np.array([len(f) for f in found], np.int64), equal
+        back = (b"".join(map(self.bytes_of.__getitem__, f)) for f in found)
+        exact = [b == w.replace(_MARK, " ").encode("utf-8", "replace") for b, w in zip(back, whole, strict=True)]
+        return flat, np.array([len(f) for f in found], np.int64), equal, np.array(exact, bool)
 
     def _learn(self, words: list[str]) -> None:
         """Add stretches to what is known, many at a time where one ends in a letter."""
@@ -284,50 +293,64 @@ class Codec:
         bare = [w for w in words if self.identity and self.line_ends and w[:1] == "\x00"]
         single = sorted(set(words).difference(marked, bare))
         groups = [(g[i : i + 1000], g is marked) for g in (marked, bare) for i in range(0, len(g), 1000)]
+        first, at = len(self.size), len(self.flat)
+        learnt = []
         for group, has_mark in [*groups, (single, None)]:
             if not group:
                 continue
             together = None
             if has_mark is not None:
                 together = self._together(group if has_mark else [w[1:] for w in group], has_mark)
-            flat, size, equal = together or self._each(group)
-            first = len(self.size)
-            self.known.update((w, first + i) for i, w in enumerate(group))
-            start = len(self.flat) + np.cumsum(size) - size
-            self.start = np.concatenate((self.start, start))
-            self.size = np.concatenate((self.size, size))
-            self.equal = np.concatenate((self.equal, equal))
-            self.flat = np.concatenate((self.flat, flat))
+            learnt.append(together or self._each(group))
+            self.known.update(zip(group, range(first, first + len(group)), strict=True))
+            first += len(group)
+        # the arrays grow once for all groups, as growing copies them
+        flat, size, equal, exact = (np.concatenate(parts) for parts in zip(*learnt, strict=True))
+        self.start = np.concatenate((self.start, at + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.equal = np.concatenate((self.equal, equal))
+        self.exact = np.concatenate((self.exact, exact))
+        self.flat = np.concatenate((self.flat, flat))
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids of each text, and whether they are SentencePiece's."""
+        return self.encode_checked(texts)[:2]
+
+    def encode_checked(
+        self, texts: list[str | None]
+    ) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """``encode``, and whether decoding the ids is known to give the normal form
+        back, as it does for every stretch."""
         if not self.separable:
             found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
             other = self.reference.encode([t or "" for t in texts], num_threads=1)
             same = np.array([f.ids == o for f, o in zip(found, other, strict=True)], bool)
-            return [np.array(f.ids, np.int32) for f in found], same
+            return [np.array(f.ids, np.int32) for f in found], same, np.zeros(len(texts), bool)
         if len(self.known) > CACHE_WORDS:
             self._restart()
-        words = [self.stretches(t) if t else [] for t in texts]
-        places = [self._places(ws) for ws in words]
-        new = {ws[i] for ws, at in zip(words, places, strict=True) for i in np.flatnonzero(at < 0)}
+        words, edges = [], [0]
+        for t in texts:
+            words += self.stretches(t) if t else []
+            edges.append(len(words))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        new = {words[i] for i in missing}
         if new:
             self._learn(sorted(new))
-        out, same = [], np.ones(len(texts), bool)
-        for i, at in enumerate(places):
-            for j in np.flatnonzero(at < 0):
-                at[j] = self.known[words[i][j]]
-            size = self.size[at]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)])
-            same[i] = self.equal[at].all()
+            at[missing] = [self.known[words[i]] for i in missing]
+        size = self.size[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)]
+        ends = np.concatenate(([0], ends))[edges]
+        out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        same, exact = (
+            np.array([x[a:b].all() for a, b in zip(edges[:-1], edges[1:], strict=True)], bool)
+            for x in (self.equal[at], self.exact[at])
+        )
         for w in [w for w in new if len(w) > LONG_WORD]:
             del self.known[w]
-        return out, same
-
-    def _places(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        return out, same, exact & (self.identity and self.model.dummy_prefix)
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -344,12 +367,17 @@ class Codec:
 _ADDED = (("n_tokens", "long"), ("ids", "array<int>"), ("round_trip", "boolean"), ("parity", "boolean"))
 
 
+@releasing
 def _encode(batches: Iterator[pa.RecordBatch], shared, text: str, threads: int):
     codec = Codec(*opened(shared), threads)
     for batch in by_batch(batches, 200):
         texts = column_text(batch, text)
-        ids, parity = codec.encode(texts)
-        back = [codec.decode(i) == (codec.normal(t) if t else "") for i, t in zip(ids, texts, strict=True)]
+        ids, parity, exact = codec.encode_checked(texts)
+        # stretches whose own bytes all come back make up the text again
+        back = [
+            bool(e) or codec.decode(i) == (codec.normal(t) if t else "")
+            for i, t, e in zip(ids, texts, exact, strict=True)
+        ]
         columns = [
             pa.array([len(i) for i in ids], pa.int64()),
             pa.array(ids, pa.list_(pa.int32())),

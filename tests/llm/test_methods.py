@@ -728,3 +728,42 @@ def test_positions_of_very_many_findings(spark):
     numbers = spark.range(1, 70).select(F.sequence(F.lit(1), F.col("id").cast("int")).alias("x"))
     for x, sums in numbers.select("x", running_sum(F.col("x"))).collect():
         assert sums == [sum(x[: i + 1]) for i in range(len(x))]
+
+
+def test_decontamination_takes_one_worker_a_task(spark):
+    """Pipeline out of memory in decontaminate: two Arrow steps in a row took two workers."""
+    docs = small_docs(spark, [(1, "a b c d e f"), (2, "x y"), (3, None)])
+    items = spark.createDataFrame([("i", "b c")], "item_id string, text string")
+    out = decontaminated(docs, items, coverage=0.5)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(1, "a  d e f"), (2, "x y"), (3, None)}
+
+
+def test_lines_are_cut_once(spark):
+    """op9_lines over its time: every text was cut three times."""
+    shared = "One line here is long enough. Two lines here are as well. Three it is now. "
+    rows = [(i, f"{shared * 2}End {i}.") for i in range(6)] + [(6, ""), (7, None), (None, "\n")]
+    out = deduplicated_lines(small_docs(spark, rows), report=True)
+    assert "replace(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.doc_id: r for r in out.collect()}
+    assert found[6].text == "" and found[7].text is None and found[None].text == "\n"
+    assert (found[6].n_lines, found[7].n_chunks, found[None].n_lines) == (0, 0, 1)
+    assert found[0].text == rows[0][1] or found[0].n_removed
+    assert all(found[i].n_removed == found[1].n_removed > 0 for i in range(1, 6))
+
+
+def test_known_stretches_are_not_decoded_again(spark, monkeypatch):
+    """op8_sentencepiece over its time: each text was decoded token by token."""
+    decoded = []
+    whole = Codec.decode
+    monkeypatch.setattr(Codec, "decode", lambda self, ids: decoded.append(1) or whole(self, ids))
+    codec = Codec(*codec_parts(load_model()))
+    texts = ["a plain text", "two\nlines  and blanks", " \u2581 mark", "\U0001f600 \u4f60", None, ""]
+    ids, same, exact = codec.encode_checked(texts)
+    assert same.all() and exact.all() and not decoded
+    for text, own in zip(texts, ids, strict=True):
+        assert whole(codec, own) == (codec.normal(text) if text else "")
+
+
+def small_docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
